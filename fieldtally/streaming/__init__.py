@@ -1,0 +1,6 @@
+"""Empty on purpose: every operator here is a batch job.
+
+Monthly and weekly reports arrive as whole extracts; the refresh plan and the
+incremental merge in :mod:`fieldtally.sources.refresh` are batch change
+detection, so there is no state, watermark or late data to handle.
+"""
