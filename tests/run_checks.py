@@ -16,7 +16,7 @@ def main() -> int:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
     spark = build_session(master="local[8]", shuffle_partitions=8, driver_memory="16g")
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con, failed = duck(sf), 0
     queries, oracles = entry.queries(), entry.oracle_sql()
     names = [n for n in queries if not wanted or any(n.startswith(w) for w in wanted)]
@@ -37,7 +37,7 @@ def main() -> int:
             failed += note is not None
         except Exception as exc:  # noqa: BLE001
             failed += 1
-            print(f"FAIL {name:34s} {type(exc).__name__}: {str(exc)[:700]}", flush=True)
+            print(f"FAIL {name:34s} {type(exc).__name__}: {str(exc)[:400]}", flush=True)
     print(f"{len(names)} queries, {failed} failed")
     return failed
 
