@@ -16,6 +16,8 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 DIGITS = 4
+# Added before rounding so that ties fall the same way in both engines.
+NUDGE = 1e-7
 
 
 def presentable(df: DataFrame) -> DataFrame:
@@ -28,7 +30,7 @@ def presentable(df: DataFrame) -> DataFrame:
         elif isinstance(f.dataType, T.BooleanType):
             c = c.cast("int")
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), DIGITS) + F.lit(0.0)
+            c = F.round(c.cast("double") + NUDGE, DIGITS) + F.lit(0.0)
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
@@ -49,7 +51,7 @@ def query(name: str, sql: str | None = None, dates: str = "", bools: str = "", n
 def oracle(body: str, dates: str, bools: str, nums: str) -> str:
     swaps = [f"CAST(CAST({c} AS DATE) AS VARCHAR) AS {c}" for c in dates.split()]
     swaps += [f"CAST({c} AS INTEGER) AS {c}" for c in bools.split()]
-    swaps += [f"round(CAST({c} AS DOUBLE), {DIGITS}) + 0.0 AS {c}" for c in nums.split()]
+    swaps += [f"round(CAST({c} AS DOUBLE) + 0.0000001, {DIGITS}) + 0.0 AS {c}" for c in nums.split()]
     star = f"* REPLACE ({', '.join(swaps)})" if swaps else "*"
     ctes = fx.cte_prefix(body)
     return f"{ctes}SELECT {star} FROM (\n{body.strip()}\n) AS result"
