@@ -66,67 +66,72 @@ def scaled(value: Column, keys: list[str]) -> Column:
     return F.try_divide(value - F.avg(value).over(w), F.stddev_samp(value).over(w)) + 1
 
 
-def exact_quantiles(
-    df: DataFrame,
-    group_cols: list[str],
-    value: str,
-    probs: list[float],
-    names: list[str],
-    pieces: int = 64,
+def _null_safe(keys: list[str], extra: list | None = None) -> Column:
+    conds = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys] + (extra or [])
+    return reduce(lambda a, b: a & b, conds)
+
+
+def running_totals(
+    df: DataFrame, keys: list[str], value: str, weight: Column, order: list[str], pieces: int = 64
 ) -> DataFrame:
-    """Exact interpolated quantiles of groups of any size.
+    """Add ``_end``, the running sum of ``weight`` in the order of ``value``
+    (then ``order``) within each group, and ``_total``.
 
-    A built-in exact percentile holds all distinct values of a group in one
-    task. Here values are counted first, cut into ``pieces`` ranges of
-    similar size by an approximate sketch, and only the running counts inside
-    each range and across ranges are ordered, so the largest sort is about
-    one ``pieces``-th of a group's distinct values.
+    A plain window would sort a whole group in one task. Groups are cut into
+    ``pieces`` value ranges of similar size by an approximate sketch; sums run
+    inside each range and are shifted by the sums of the ranges before it, so
+    the result is exact and the largest sort is about one piece.
     """
-    keys = group_cols or ["_all"]
-    base = df if group_cols else df.withColumn("_all", F.lit(1))
-    counts = (
-        base.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    cuts = counts.groupBy(*keys).agg(
+    cuts = df.groupBy(*keys).agg(
         F.array_distinct(
             F.percentile_approx(
-                "_v",
-                F.array(*[F.lit(i / pieces) for i in range(1, pieces)]),
-                F.lit(10 * pieces),
+                value, F.array(*[F.lit(i / pieces) for i in range(1, pieces)]), F.lit(10 * pieces)
             )
         ).alias("_cuts")
     )
-    keyed = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
     placed = (
-        counts.alias("l")
-        .join(cuts.alias("r"), reduce(lambda a, b: a & b, keyed), "inner")
-        .select(
-            *[F.col(f"l.{k}") for k in keys],
-            "_v",
-            "_c",
-            F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_b"),
-        )
+        df.withColumn("_w", weight)
+        .alias("l")
+        .join(cuts.alias("r"), _null_safe(keys), "inner")
+        .select("l.*", F.size(F.filter("r._cuts", lambda c: c < F.col(f"l.{value}"))).alias("_b"))
     )
-    per_piece = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_n"))
     across = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_piece.select(
-        *keys,
-        "_b",
-        F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_before"),
-        F.sum("_n").over(W.partitionBy(*keys)).alias("_total"),
+    offsets = (
+        placed.groupBy(*keys, "_b")
+        .agg(F.sum("_w").alias("_n"))
+        .select(
+            *keys,
+            "_b",
+            F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_before"),
+            F.sum("_n").over(W.partitionBy(*keys)).alias("_total"),
+        )
     )
-    inside = W.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    keyed = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys] + [
-        F.col("l._b") == F.col("r._b")
-    ]
-    ranked = (
+    inside = W.partitionBy(*keys, "_b").orderBy(value, *order).rowsBetween(W.unboundedPreceding, 0)
+    return (
         placed.alias("l")
-        .join(offsets.alias("r"), reduce(lambda a, b: a & b, keyed), "inner")
-        .select(*[F.col(f"l.{k}") for k in keys], "_v", "_c", F.col("l._b"), "_before", "_total")
-        .withColumn("_end", F.col("_before") + F.sum("_c").over(inside))
+        .join(offsets.alias("r"), _null_safe(keys, [F.col("l._b") == F.col("r._b")]), "inner")
+        .select("l.*", "r._before", "r._total")
+        .withColumn("_end", F.col("_before") + F.sum("_w").over(inside))
+        .drop("_before", "_b")
     )
+
+
+def exact_quantiles(
+    df: DataFrame, group_cols: list[str], value: str, probs: list[float], names: list[str]
+) -> DataFrame:
+    """Exact interpolated quantiles of groups of any size.
+
+    A built-in exact percentile holds all distinct values of a group in one
+    task; here values are counted first and ranked piecewise.
+    """
+    keys = group_cols or ["_all"]
+    base = df if group_cols else df.withColumn("_all", F.lit(1))
+    counts = (
+        base.filter(F.col(value).isNotNull())
+        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_c"))
+    )
+    ranked = running_totals(counts, keys, "_v", F.col("_c"), [])
     aggs = []
     for p, name in zip(probs, names):
         h = (F.col("_total") - 1) * F.lit(p)
@@ -164,18 +169,73 @@ def dense_index(df: DataFrame, group_cols: list[str], order_col: str, name: str)
     )
 
 
-def weighted_median(df: DataFrame, group_cols: list[str], value: str, weight: str, name: str):
-    """Smallest value whose cumulative weight reaches half of the total.
+def weighted_median(df: DataFrame, group_cols: list[str], value: str, weight: str, name: str) -> DataFrame:
+    """Value where the cumulative weight passes half of the total.
 
-    Weights are summed per distinct value before ordering.
+    With an even whole total the mean of that value and the last one at or
+    below half. Rows without value or weight, or with weight 0, are left out.
     """
-    sums = df.groupBy(*group_cols, value).agg(F.sum(weight).alias("_w"))
-    w = W.partitionBy(*group_cols)
-    run = w.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    return (
-        sums.withColumn("_run", F.sum("_w").over(run))
-        .withColumn("_tot", F.sum("_w").over(w))
-        .filter(F.col("_run") * 2 >= F.col("_tot"))
-        .groupBy(*group_cols)
-        .agg(F.min(value).alias(name))
+    blocks = (
+        df.filter(F.col(value).isNotNull() & (F.col(weight) != 0))
+        .groupBy(*group_cols, F.col(value).alias("_v"), F.col(weight).alias("_u"))
+        .agg(F.count(F.lit(1)).alias("_c"))
+    )
+    r = running_totals(blocks, group_cols, "_v", F.col("_c") * F.col("_u"), ["_u"])
+    half = F.col("_total") / 2
+    start = F.col("_end") - F.col("_w")
+    first = F.min(F.when(F.col("_end") > half, F.col("_v")))
+    last = F.max(F.when(start + F.col("_u") <= half, F.col("_v")))
+    even = F.max(F.col("_total") % 2) == 0
+    return r.groupBy(*group_cols).agg(
+        F.when(even, (first + F.coalesce(last, first)) / 2).otherwise(first).alias(name)
+    )
+
+
+# -- means of positive quantities -------------------------------------------------
+
+# Fixed value: floor below which harmonic means do not look.
+HARMONIC_FLOOR = 0.00001
+
+
+def harmonic_mean(x: Column) -> Column:
+    finite = x.isNotNull() & ~F.isnan(x) & (x != float("inf"))
+    usable = F.when(finite, F.greatest(x, F.lit(HARMONIC_FLOOR)))
+    return F.lit(1.0) / F.avg(F.lit(1.0) / usable)
+
+
+def harmonic_mean_sd(x: Column) -> Column:
+    inv = F.lit(1.0) / x
+    return F.sqrt(F.pow(F.avg(inv), F.lit(-4.0)) * F.var_samp(inv) / F.count(F.lit(1)))
+
+
+def geometric_mean(x: Column) -> Column:
+    """exp of the summed logs of positive values over the number of rows."""
+    return F.exp(F.sum(F.when(x > 0, F.log(x))) / F.count(F.lit(1)))
+
+
+def geometric_sd(x: Column) -> Column:
+    return F.exp(F.stddev_samp(F.when(x > 0, F.log(x))))
+
+
+def weighted_mean_variance(df: DataFrame, group_cols: list[str], value: str, weight: str, name: str) -> DataFrame:
+    """Variance of a weighted mean (Cochran's ratio form).
+
+    All sums are of products of value and weight, so one aggregation does.
+    """
+    x, w = F.col(value), F.col(weight)
+    p = df.filter(x.isNotNull() & w.isNotNull()).groupBy(*group_cols).agg(
+        F.count(F.lit(1)).cast("double").alias("n"),
+        F.sum(w).alias("sw"),
+        F.sum(w * x).alias("swx"),
+        F.sum(w * w).alias("sww"),
+        F.sum(w * w * x).alias("swwx"),
+        F.sum(w * w * x * x).alias("swwxx"),
     )
+    n, wbar = F.col("n"), F.col("sw") / F.col("n")
+    mean = F.col("swx") / F.col("sw")
+    # Expanded sums of squares and products around wbar and wbar * mean.
+    a = F.col("swwxx") - 2 * wbar * mean * F.col("swx") + n * F.pow(wbar * mean, F.lit(2))
+    b = F.col("swwx") - wbar * mean * F.col("sw") - wbar * F.col("swx") + n * wbar * wbar * mean
+    c = F.col("sww") - 2 * wbar * F.col("sw") + n * wbar * wbar
+    factor = F.try_divide(n, (n - 1) * F.pow(F.col("sw"), F.lit(2)))
+    return p.select(*group_cols, (factor * (a - 2 * mean * b + mean * mean * c)).alias(name))
