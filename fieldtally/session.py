@@ -6,9 +6,6 @@ scripts, tests and the benchmark.
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -41,20 +38,3 @@ def build_session(
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared folder for checkpoints.
-
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset
-    and the session runs on one machine, a fresh folder is used; on a
-    cluster without the setting this raises, since a machine-local folder
-    would be lost with its executor.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    folder = os.path.join(tempfile.mkdtemp(prefix="fieldtally-"), "checkpoints")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
