@@ -103,14 +103,20 @@ def hierarchy_spec(
 
 
 def aggregate_hierarchy(
-    df: DataFrame, spec: str, covariates: list[str] | None = None, period: str | None = None
+    df: DataFrame,
+    spec: str,
+    covariates: list[str] | None = None,
+    period: str | None = None,
+    fixed: list[str] | None = None,
 ) -> DataFrame:
     """Totals of every node of a hierarchy per period, in one pass.
 
+    ``fixed`` columns are never summed over, like the period.
     Columns that a node sums over hold ``<aggregated>``. Ratio tables get
     ratios of sums; covariates are averaged.
     """
     period = period or period_column(df)
+    keep = [period, *(fixed or [])]
     sets = hierarchy_sets(spec)
     names = list(dict.fromkeys(c for s in sets for c in s))
     ratio = {"numerator", "denominator"} <= set(df.columns)
@@ -120,7 +126,7 @@ def aggregate_hierarchy(
         aggs += [stats.sum0(F.col(c)).alias(c) for c in ("numerator", "denominator")]
     aggs += [F.avg(c).alias(c) for c in (covariates or [])]
     grouped = df.groupingSets(
-        [[F.col(period), *[F.col(c) for c in s]] for s in sets], F.col(period), *[F.col(c) for c in names]
+        [[F.col(c) for c in (*keep, *s)] for s in sets], *[F.col(c) for c in (*keep, *names)]
     ).agg(*aggs, *[F.grouping(c).alias(f"_g_{c}") for c in names])
     total = F.col("total")
     if ratio:
@@ -129,7 +135,7 @@ def aggregate_hierarchy(
         F.when(F.col(f"_g_{c}") == 1, F.lit(ALL)).otherwise(F.col(c).cast("string")).alias(c) for c in names
     ]
     rest = (["numerator", "denominator"] if ratio else []) + list(covariates or [])
-    return grouped.select(period, *shown, total.alias("total"), *rest)
+    return grouped.select(*keep, *shown, total.alias("total"), *rest)
 
 
 def national_node(nodes: DataFrame, level_names: list[str], split: list[str] | None = None) -> DataFrame:
