@@ -117,19 +117,25 @@ def running_totals(
 
 
 def exact_quantiles(
-    df: DataFrame, group_cols: list[str], value: str, probs: list[float], names: list[str]
+    df: DataFrame,
+    group_cols: list[str],
+    value: str,
+    probs: list[float],
+    names: list[str],
+    count: str | None = None,
 ) -> DataFrame:
     """Exact interpolated quantiles of groups of any size.
 
     A built-in exact percentile holds all distinct values of a group in one
-    task; here values are counted first and ranked piecewise.
+    task; here values are counted first and ranked piecewise. ``count``
+    names a column of counts where the values are counted already.
     """
     keys = group_cols or ["_all"]
     base = df if group_cols else df.withColumn("_all", F.lit(1))
     counts = (
         base.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .agg((F.sum(count) if count else F.count(F.lit(1))).alias("_c"))
     )
     ranked = running_totals(counts, keys, "_v", F.col("_c"), [])
     aggs = []

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.periods import period_column
+from ..sources.staging import settle
 
 # Comparison names of rules.
 COMPARISONS = {
@@ -22,6 +23,7 @@ COMPARISONS = {
 }
 PAIR = "COMPULSORY_PAIR"
 MAX_RULES = 20000
+RULE_SCHEMA = "id string, name string, operator string, left_raw string, right_raw string"
 
 _REF = re.compile(r"#\{(" + text.UID + r")(?:\.(" + text.UID + r"))?\}")
 _ARITHMETIC = re.compile(r"^[\d.+\-*/()\s]*$")
@@ -146,11 +148,11 @@ def evaluate_rules(facts: DataFrame, rules: DataFrame, data_ids: list[str] | Non
     on it as plain expressions and only decided results leave the row, so no
     table with a column per series is built.
     """
-    rules = rules_for(rules, data_ids)
-    values = rule_values(facts, rules)
+    listed = rule_list(rules_for(rules, data_ids))
+    rules = facts.sparkSession.createDataFrame(listed, RULE_SCHEMA)
+    values = settle(rule_values(facts, rules))
     period = period_column(values)
     maps = value_maps(values).withColumn("year", F.year(period))
-    listed = rule_list(rules)
     outcome = [
         F.struct(
             F.lit(r["id"]).alias("id"),
@@ -164,7 +166,7 @@ def evaluate_rules(facts: DataFrame, rules: DataFrame, data_ids: list[str] | Non
         .groupBy(F.col("o.id").alias("id"), "year")
         .agg(F.count_if("o.pass").alias("p"), F.count_if(~F.col("o.pass")).alias("f"))
     )
-    years = maps.agg(F.array_sort(F.collect_set("year"))).scalar()
+    years = values.agg(F.array_sort(F.collect_set(F.year(period)))).scalar()
     frame = rules.select("id", "name", F.explode(years).alias("year"))
     gaps = incomplete_rules(rules, values).select("id", F.lit(True).alias("_gap"))
     zero = lambda c: F.when(F.col("_gap"), 0).otherwise(F.coalesce(c, F.lit(0))).cast("long")
@@ -210,12 +212,11 @@ def rule_table(results: DataFrame) -> DataFrame:
 def rule_detail(facts: DataFrame, rules: DataFrame, rule_id: str, max_rows: int | None = 2000) -> DataFrame:
     """Facility-periods where one rule failed or could not be decided, newest
     first. ``n_total`` tells how many there are before the report's limit."""
-    one = rules.filter(F.col("id") == rule_id)
-    listed = rule_list(one)
+    listed = rule_list(rules.filter(F.col("id") == rule_id))
     if not listed:
         raise ValueError(f"no rule {rule_id}")
     r = listed[0]
-    values = rule_values(facts, one)
+    values = settle(rule_values(facts, facts.sparkSession.createDataFrame(listed, RULE_SCHEMA)))
     period = period_column(values)
     maps = (
         value_maps(values)

@@ -59,15 +59,33 @@ def ratio_step(step: Step) -> DataFrame:
     below 0.
     """
 
-    def load(side: Side, name: str):
-        d, flags, period = _cleaned(side)
-        total = stats.sum0(F.col("_val")) if step.na_rm else stats.strict_sum(F.col("_val"))
-        aggs = [F.coalesce(F.bool_or(f), F.lit(False)).alias(f"{f}_{name}") for f in flags]
-        return d.groupBy("orgUnit", period).agg(total.alias(name), *aggs), flags, period
-
-    num, num_flags, period = load(step.numerator, "numerator")
-    den, den_flags, _ = load(step.denominator, "denominator")
-    both = num.join(den, ["orgUnit", period], "full_outer")
+    num, den = step.numerator, step.denominator
+    num_flags, den_flags = present(num.source, SOURCE_FLAGS), present(den.source, SOURCE_FLAGS)
+    period = period_column(num.source)
+
+    def aggregates(side: Side, name: str, mine: Column, value: str) -> list[Column]:
+        v = F.when(mine, F.col(value))
+        rows = F.count_if(mine)
+        total = F.when(rows > 0, stats.sum0(v)) if step.na_rm else F.when((rows > 0) & (F.count(v) == rows), F.sum(v))
+        flags = present(side.source, SOURCE_FLAGS)
+        return [total.alias(name), *[F.coalesce(F.bool_or(mine & F.col(f)), F.lit(False)).alias(f"{f}_{name}") for f in flags]]
+
+    def rows_of(side: Side, value: str) -> DataFrame:
+        return clean_to_level(side.source.filter(F.col("data").isin(side.values)), side.cleaning_level, value)
+
+    if num.source is den.source:
+        # One table: both sides come out of a single grouping.
+        d = num.source.filter(F.col("data").isin([*num.values, *den.values]))
+        d = clean_to_level(clean_to_level(d, num.cleaning_level, "_vn"), den.cleaning_level, "_vd")
+        both = d.groupBy("orgUnit", period).agg(
+            *aggregates(num, "numerator", F.col("data").isin(num.values), "_vn"),
+            *aggregates(den, "denominator", F.col("data").isin(den.values), "_vd"),
+        )
+    else:
+        everything = F.lit(True)
+        n = rows_of(num, "_v").groupBy("orgUnit", period).agg(*aggregates(num, "numerator", everything, "_v"))
+        d = rows_of(den, "_v").groupBy("orgUnit", period).agg(*aggregates(den, "denominator", everything, "_v"))
+        both = n.join(d, ["orgUnit", period], "full_outer")
 
     def either(f: str) -> Column:
         sides = [s for s, have in (("numerator", num_flags), ("denominator", den_flags)) if f in have]

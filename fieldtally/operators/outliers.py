@@ -25,6 +25,7 @@ from ..functions.flags import (
     with_error_label,
 )
 from ..functions.periods import period_column
+from ..sources.staging import settle
 
 SERIES = ["orgUnit", "data_id"]
 
@@ -45,9 +46,7 @@ def key_entry_values(df: DataFrame, by: str = "dataElement") -> DataFrame:
     rows of an element meet.
     """
     value = F.col("original")
-    printed = F.when(value == F.floor(value), F.format_string("%d", value.cast("long"))).otherwise(
-        value.cast("string")
-    )
+    printed = F.when(value == F.floor(value), value.cast("long").cast("string")).otherwise(value.cast("string"))
     counts = (
         df.filter(F.col("effectiveLeaf") & (F.length(printed) > 3))
         .groupBy(by, "original")
@@ -367,13 +366,18 @@ def outlier_summary(df: DataFrame, flags: list[str] | None = None) -> DataFrame:
     flags the largest of theirs.
     """
     flags = present(df, flags or SUMMARY_FLAGS)
-    groups = df.groupBy(*flags).agg(
-        F.count("original").alias("n"),
-        stats.sum0(F.col("original")).alias("total"),
-        F.min("original").alias("lo"),
-        F.max("original").alias("hi"),
+    # One pass over the rows: distinct values per combination of flags, counted.
+    counts = settle(
+        df.groupBy(*flags, F.col("original").cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    )
+    known = F.when(F.col("v").isNotNull(), F.col("c")).otherwise(F.lit(0))
+    groups = counts.groupBy(*flags).agg(
+        F.sum(known).alias("n"),
+        stats.sum0(F.col("v") * F.col("c")).alias("total"),
+        F.min("v").alias("lo"),
+        F.max("v").alias("hi"),
     )
-    medians = stats.exact_quantiles(df, flags, "original", [0.5], ["med"])
+    medians = stats.exact_quantiles(counts, flags, "v", [0.5], ["med"], count="c")
     cond = reduce(
         lambda a, b: a & b, [F.col(f"g.{f}").eqNullSafe(F.col(f"m.{f}")) for f in flags]
     )
@@ -422,17 +426,21 @@ def monthly_outliers(df: DataFrame, flags: list[str] | None = None) -> DataFrame
     flag (Combined) and over all series (All), with shares of the totals."""
     flags = present(df, flags or ["mad15", "mad10", "seasonal5", "seasonal3"])
     base = df.filter("effectiveLeaf").select("Month", "data", "original", *flags)
+    # One pass: a row goes to each of its flags, to Combined and to the totals.
     names = F.array_compact(
-        F.array(*[F.when(is_set(f), F.lit(f)) for f in flags], F.when(any_set(flags), F.lit("Combined")))
+        F.array(
+            *[F.when(is_set(f), F.lit(f)) for f in flags],
+            F.when(any_set(flags), F.lit("Combined")),
+            F.lit("Total"),
+        )
     )
-    errors = (
+    sums = settle(
         base.withColumn("Alg", F.explode(names))
         .groupBy("Month", "data", "Alg")
         .agg(stats.sum0(F.col("original")).alias("e"), F.count(F.lit(1)).alias("n_e"))
     )
-    totals = base.groupBy("Month", "data").agg(
-        stats.sum0(F.col("original")).alias("t"), F.count(F.lit(1)).alias("n_t")
-    )
+    errors = sums.filter("Alg <> 'Total'")
+    totals = sums.filter("Alg = 'Total'").select("Month", "data", F.col("e").alias("t"), F.col("n_e").alias("n_t"))
     by_series = totals.join(errors, ["Month", "data"])
     all_errors = errors.groupBy("Month", "Alg").agg(F.sum("e").alias("e"), F.sum("n_e").alias("n_e"))
     all_totals = totals.groupBy("Month").agg(F.sum("t").alias("t"), F.sum("n_t").alias("n_t"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import stats, text
 from ..functions.flags import FLAG_ORDER, any_set, present
 from ..functions.periods import period_column
+from ..sources.staging import settle
 
 RULES = ("any_data", "any_selected", "all_elements", "all_categories")
 UNKNOWN_REGION = "(Unknown)"
@@ -28,27 +29,30 @@ def within(df: DataFrame, period: str, start=None, end=None) -> DataFrame:
 
 
 def _counted_periods(df: DataFrame, period: str, rule: str, categories: list[str] | None):
-    """(facility-periods that count as reported, rows that define the calendar)."""
+    """(facility-periods that count as reported, facility-periods that define
+    the calendar), both from one distinct table of facility, period and unit."""
     if rule not in RULES:
         raise ValueError(f"reporting_rule must be one of {RULES}")
     if rule == "any_data" or not categories:
-        return df.select("orgUnit", period).distinct(), df
+        seen = df.select("orgUnit", period).distinct()
+        return seen, seen
     chosen = df.filter(F.col("data").isin(categories))
     if rule == "any_selected":
-        return chosen.select("orgUnit", period).distinct(), chosen
+        seen = chosen.select("orgUnit", period).distinct()
+        return seen, seen
+    unit = F.col("data") if rule == "all_categories" else text.base_element(F.col("data"))
+    seen = chosen.select("orgUnit", period, unit.alias("_unit")).distinct()
     if rule == "all_categories":
-        unit, needed = F.col("data"), F.lit(len(set(categories)))
+        needed = F.lit(len(set(categories)))
     else:
-        chosen = chosen.withColumn("_base", text.base_element(F.col("data")))
-        unit = F.col("_base")
-        needed = chosen.agg(F.countDistinct("_base")).scalar()
+        needed = seen.agg(F.countDistinct("_unit")).scalar()
     reported = (
-        chosen.groupBy("orgUnit", period)
-        .agg(F.countDistinct(unit).alias("_units"))
+        seen.groupBy("orgUnit", period)
+        .agg(F.count(F.lit(1)).alias("_units"))
         .filter(F.col("_units") >= needed)
         .select("orgUnit", period)
     )
-    return reported, chosen
+    return reported, seen
 
 
 def champions(
@@ -113,45 +117,42 @@ def champion_grid(df: DataFrame, settings: list[dict], period: str | None = None
             F.array(*[F.lit(c) for c in used]).cast("array<string>").alias("cats"),
         )
 
-    unit = (
-        F.when(F.col("rule") == "all_categories", F.col("data"))
-        .when(F.col("rule") == "all_elements", text.base_element(F.col("data")))
-        .otherwise(F.lit(""))
+    # One row per facility and period with the set of its series (at most the
+    # dictionary of series); settings are then checked on that set.
+    sets = (
+        df.filter(F.col("original").isNotNull())
+        .groupBy("orgUnit", period)
+        .agg(F.collect_set("data").alias("have"))
     )
+    base = F.array_distinct(F.transform("found", text.base_element))
     sent = (
-        df.filter(F.col("original").isNotNull())
-        .select("orgUnit", "data", period, F.explode(F.array(*[literal(s) for s in settings])).alias("p"))
-        .filter(
-            F.col(period).between(F.col("p.s"), F.col("p.e"))
-            & ((F.size("p.cats") == 0) | F.array_contains("p.cats", F.col("data")))
-        )
-        .select("orgUnit", "data", period, "p.setting", "p.missing_reports", "p.rule", F.size("p.cats").alias("n_cats"))
-        .withColumn("unit", unit)
-        .select("setting", "missing_reports", "rule", "n_cats", "orgUnit", period, "unit")
-        .distinct()
+        sets.select("orgUnit", period, "have", F.explode(F.array(*[literal(s) for s in settings])).alias("p"))
+        .filter(F.col(period).between(F.col("p.s"), F.col("p.e")))
+        .select("orgUnit", period, "p.*", "have")
+        .withColumn("found", F.array_intersect("have", "cats"))
+        .filter((F.size("cats") == 0) | (F.size("found") > 0))
+        .withColumn("units", F.when(F.col("rule") == "all_elements", base).otherwise(F.col("found")))
+        .select("setting", "missing_reports", "rule", F.size("cats").alias("n_cats"), "orgUnit", period, "units")
     )
-    found = sent.groupBy("setting").agg(F.countDistinct("unit").alias("n_found"))
     per_year = (
-        sent.select("setting", period)
-        .distinct()
-        .groupBy("setting", F.year(period).alias("year"))
-        .agg(F.count(F.lit(1)).alias("periods"))
+        sent.groupBy("setting", F.year(period).alias("year"))
+        .agg(F.countDistinct(period).alias("periods"))
         .withColumn("n_years", F.count(F.lit(1)).over(W.partitionBy("setting")))
-        .join(found, "setting")
     )
-    needed = F.when(F.col("rule") == "all_categories", F.col("n_cats")).otherwise(F.col("n_found"))
+    found = sent.groupBy("setting").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set("units")))).alias("n_found")
+    )
+    needed = (
+        F.when(F.col("rule") == "all_categories", F.col("n_cats"))
+        .when(F.col("rule") == "all_elements", F.col("n_found"))
+        .otherwise(F.lit(0))
+    )
     return (
-        sent.groupBy("setting", "missing_reports", "rule", "n_cats", "orgUnit", period)
-        .agg(F.count(F.lit(1)).alias("units"))
-        .withColumn("year", F.year(period))
+        sent.join(found, "setting")
+        .filter(F.size("units") >= needed)
+        .groupBy("setting", "missing_reports", "orgUnit", F.year(period).alias("year"))
+        .agg(F.count(F.lit(1)).alias("reports"))
         .join(per_year, ["setting", "year"])
-        .filter(F.col("units") >= needed)
-        .groupBy("setting", "missing_reports", "orgUnit", "year")
-        .agg(
-            F.count(F.lit(1)).alias("reports"),
-            F.max("periods").alias("periods"),
-            F.max("n_years").alias("n_years"),
-        )
         .groupBy("setting", "orgUnit")
         .agg(
             F.count(F.lit(1)).alias("years"),
@@ -310,24 +311,20 @@ def champion_share(selected: DataFrame, region_col: str) -> DataFrame:
 # -- yearly completeness --------------------------------------------------------
 
 
-def _yearly_consistent(df: DataFrame, missing_reports: int, drop_last: bool) -> DataFrame:
-    """(year, orgUnit) pairs consistent within that single year."""
-    latest = F.trunc(df.agg(F.max("Month")).scalar(), "month")
-    rows = df.filter(F.col("original").isNotNull())
+def _facility_months(df: DataFrame, *cols: str) -> DataFrame:
+    """One row per facility and month: was any value present?"""
+    return df.groupBy("orgUnit", *cols, "Month").agg((F.count("original") > 0).alias("has"))
+
+
+def _yearly_consistent(months: DataFrame, missing_reports: int, drop_last: bool) -> DataFrame:
+    """Facilities consistent within a single year, from facility-months."""
+    rows = months.filter("has")
     if drop_last:
-        rows = rows.filter(F.col("Month") < latest)
-    seen = rows.select("orgUnit", "Month").distinct()
-    per_facility = seen.groupBy("orgUnit", F.year("Month").alias("Year")).agg(
-        F.count(F.lit(1)).alias("reports")
-    )
-    per_year = (
-        seen.select("Month").distinct().groupBy(F.year("Month").alias("Year")).agg(F.count(F.lit(1)).alias("periods"))
-    )
-    return (
-        per_facility.join(per_year, "Year")
-        .filter(F.col("reports") >= F.col("periods") - missing_reports)
-        .select("Year", "orgUnit")
-    )
+        rows = rows.filter(F.col("Month") < months.agg(F.max("Month")).scalar())
+    keys = [c for c in months.columns if c not in ("Month", "has")]
+    per_facility = rows.groupBy(*keys, F.year("Month").alias("Year")).agg(F.count(F.lit(1)).alias("reports"))
+    per_year = rows.groupBy(F.year("Month").alias("Year")).agg(F.countDistinct("Month").alias("periods"))
+    return per_facility.join(per_year, "Year").filter(F.col("reports") >= F.col("periods") - missing_reports)
 
 
 def yearly_completeness(df: DataFrame, missing_reports: int = 0, drop_last_month: bool = True) -> DataFrame:
@@ -336,9 +333,10 @@ def yearly_completeness(df: DataFrame, missing_reports: int = 0, drop_last_month
     ``drop_last_month`` leaves out the newest month of the data, which is
     often incomplete.
     """
-    years = df.select(F.year("Month").alias("Year")).distinct()
-    n_all = df.agg(F.countDistinct("orgUnit")).scalar()
-    good = _yearly_consistent(df, missing_reports, drop_last_month).groupBy("Year").agg(
+    months = settle(_facility_months(df))
+    years = months.select(F.year("Month").alias("Year")).distinct()
+    n_all = months.agg(F.countDistinct("orgUnit")).scalar()
+    good = _yearly_consistent(months, missing_reports, drop_last_month).groupBy("Year").agg(
         F.count(F.lit(1)).alias("n")
     )
     return (
@@ -357,18 +355,14 @@ def yearly_completeness_by_region(
     df: DataFrame, level_col: str, missing_reports: int = 0, drop_last_month: bool = True
 ) -> DataFrame:
     """The same per region, for every region and year."""
-    region = (
-        df.filter(F.col(level_col).isNotNull())
-        .select("orgUnit", F.col(level_col).alias("region_name"))
-        .distinct()
-    )
-    totals = region.groupBy("region_name").agg(F.count(F.lit(1)).alias("n_total"))
-    all_years = df.agg(F.array_sort(F.collect_set(F.year("Month")))).scalar()
+    months = settle(_facility_months(df, level_col))
+    placed = months.filter(F.col(level_col).isNotNull())
+    totals = placed.groupBy(F.col(level_col).alias("region_name")).agg(F.countDistinct("orgUnit").alias("n_total"))
+    all_years = months.agg(F.array_sort(F.collect_set(F.year("Month")))).scalar()
     frame = totals.withColumn("Year", F.explode(all_years))
     good = (
-        _yearly_consistent(df, missing_reports, drop_last_month)
-        .join(region, "orgUnit")
-        .groupBy("region_name", "Year")
+        _yearly_consistent(months, missing_reports, drop_last_month)
+        .groupBy(F.col(level_col).alias("region_name"), "Year")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     return frame.join(good, ["region_name", "Year"], "left").select(
@@ -445,20 +439,22 @@ def facility_status_shares(status: DataFrame) -> DataFrame:
 def reporting_grid(df: DataFrame, level_col: str) -> DataFrame:
     """Every facility in every month of the data: reported 1, else 0."""
     live = F.col("original").isNotNull() & (F.col("original") != 0)
-    cells = df.groupBy("orgUnit", "Month").agg(F.bool_or(live).cast("int").alias("reported"))
-    months = df.agg(F.array_sort(F.collect_set("Month"))).scalar()
-    units = (
-        df.groupBy("orgUnit")
-        .agg(
+    cells = settle(
+        df.groupBy("orgUnit", "Month").agg(
+            F.bool_or(live).cast("int").alias("reported"),
             F.min("orgUnitName").alias("orgUnitName"),
             F.min(F.coalesce(F.col(level_col), F.lit(UNKNOWN_REGION))).alias("region"),
         )
     )
-    totals = cells.groupBy("orgUnit").agg(F.sum("reported").alias("total_reported"))
+    months = cells.agg(F.array_sort(F.collect_set("Month"))).scalar()
+    units = cells.groupBy("orgUnit").agg(
+        F.min("orgUnitName").alias("orgUnitName"),
+        F.min("region").alias("region"),
+        F.sum("reported").alias("total_reported"),
+    )
     return (
-        units.join(totals, "orgUnit")
-        .withColumn("Month", F.explode(months))
-        .join(cells, ["orgUnit", "Month"], "left")
+        units.withColumn("Month", F.explode(months))
+        .join(cells.select("orgUnit", "Month", "reported"), ["orgUnit", "Month"], "left")
         .select(
             "orgUnit",
             "orgUnitName",

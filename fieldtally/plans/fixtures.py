@@ -324,30 +324,30 @@ FROM hashed LEFT JOIN tree ON hashed.orgUnit = tree.orgUnit
 
 def fact(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").select(
-        F.concat(F.lit("F"), "l_suppkey").alias("orgUnit"),
+        "l_suppkey",
         F.trunc(F.col("l_shipdate").cast("date"), "month").alias("Month"),
         "l_returnflag",
         "l_linestatus",
         "l_quantity",
     )
+    sums = li.groupBy("l_suppkey", "Month", "l_returnflag", "l_linestatus").agg(
+        F.sum("l_quantity").alias("v"), F.max("l_quantity").alias("top")
+    )
+    unit = F.concat(F.lit("F"), "l_suppkey").alias("orgUnit")
     rf, ls = F.col("l_returnflag"), F.col("l_linestatus")
-    cases = (
-        li.groupBy("orgUnit", "Month", "l_returnflag", "l_linestatus")
-        .agg(F.sum("l_quantity").alias("v"))
-        .select(
-            "orgUnit",
-            F.concat(F.lit("Cases "), rf).alias("dataElement"),
-            F.concat(F.lit("Cases "), rf, F.lit("_"), ls).alias("data"),
-            F.concat(F.lit("de"), rf, F.lit("00000001_cc"), ls, F.lit("00000001")).alias("data_id"),
-            "Month",
-            "v",
-        )
+    cases = sums.select(
+        unit,
+        F.concat(F.lit("Cases "), rf).alias("dataElement"),
+        F.concat(F.lit("Cases "), rf, F.lit("_"), ls).alias("data"),
+        F.concat(F.lit("de"), rf, F.lit("00000001_cc"), ls, F.lit("00000001")).alias("data_id"),
+        "Month",
+        "v",
     )
     stock = (
-        li.groupBy("orgUnit", "Month")
-        .agg(F.max("l_quantity").alias("v"))
+        sums.groupBy("l_suppkey", "Month")
+        .agg(F.max("top").alias("v"))
         .select(
-            "orgUnit",
+            unit,
             F.lit("Stock out days").alias("dataElement"),
             F.lit("Stock out days").alias("data"),
             F.lit("deS00000001").alias("data_id"),
