@@ -97,21 +97,27 @@ def rule_values(facts: DataFrame, rules: DataFrame) -> DataFrame:
     """
     period = period_column(facts)
     wanted = rule_ids(rules).select(text.element_uid(F.col("ref")).alias("uid")).distinct()
-    per_id = (
+    uid, data_id = F.col("uid"), F.col("data_id")
+    refs = F.array_compact(
+        F.array(
+            F.struct(data_id.alias("ref"), F.lit(False).alias("summed")),
+            F.when(data_id != uid, F.struct(uid.alias("ref"), F.lit(True).alias("summed"))),
+        )
+    )
+    sums = (
         facts.filter(F.col("effectiveLeaf") & F.col("original").isNotNull())
-        .withColumn("uid", text.element_uid(F.col("data_id")))
+        .withColumn("uid", text.element_uid(data_id))
         .join(wanted, "uid", "left_semi")
-        .groupBy("orgUnit", "orgUnitName", period, "uid", "data_id")
+        .select("orgUnit", "orgUnitName", period, "original", F.explode(refs).alias("r"))
+        .groupBy("orgUnit", "orgUnitName", period, F.col("r.ref").alias("ref"), F.col("r.summed").alias("summed"))
         .agg(F.sum("original").alias("v"))
     )
-    bare = per_id.filter(F.col("data_id") == F.col("uid")).select("uid").distinct()
-    totals = (
-        per_id.join(bare, "uid", "left_anti")
-        .groupBy("orgUnit", "orgUnitName", period, "uid")
-        .agg(F.sum("v").alias("v"))
-        .withColumn("data_id", F.col("uid"))
+    bare = (
+        sums.filter(~F.col("summed") & ~F.col("ref").contains("_"))
+        .select("ref", F.lit(True).alias("summed"))
+        .distinct()
     )
-    return per_id.unionByName(totals).select("orgUnit", "orgUnitName", period, F.col("data_id").alias("ref"), "v")
+    return sums.join(bare, ["ref", "summed"], "left_anti").select("orgUnit", "orgUnitName", period, "ref", "v")
 
 
 def value_maps(values: DataFrame) -> DataFrame:

@@ -379,6 +379,14 @@ def fact(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stored_fact(spark: SparkSession, sf: str) -> DataFrame:
+    """The processed table as users have it: written once, then read by the
+    several branches of a query."""
+    from ..sources.staging import settle
+
+    return settle(fact(spark, sf))
+
+
 # Weekly facts from the event stream's table.
 SQL["weekly"] = """
 SELECT 'U' || user_id AS orgUnit, event_type AS data, CAST(date_trunc('week', ts) AS DATE) AS Week,

@@ -28,8 +28,9 @@ FROM fact f LEFT JOIN champs c ON f.orgUnit = c.orgUnit
 
 
 def bdata(spark, sf):
-    marks = champs(spark, sf).withColumn("_m", F.lit(True))
-    f = fx.fact(spark, sf).join(marks, "orgUnit", "left")
+    facts = fx.stored_fact(spark, sf)
+    marks = champs(spark, sf, facts).withColumn("_m", F.lit(True))
+    f = facts.join(marks, "orgUnit", "left")
     label = F.when(F.col("_m").isNull() | (F.col("Region") == "ASIA"), "Non-Champion").otherwise("Champion")
     return f.select("orgUnit", "Month", "data", F.col("original").alias("value"), "Region", label.alias("Selected"))
 

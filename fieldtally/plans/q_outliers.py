@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from ..functions.flags import FLAG_ORDER, with_error_label
 from ..operators import outliers as ol
+from ..operators import conform as cf
 from ..operators import reporting as rp
+from ..operators import seasonal_models as sm
 from . import fixtures as fx
 from .fixtures import SQL
 from .q_reporting import champs
@@ -69,7 +71,7 @@ FROM {season_sql("mad_masked", "nm")}
 
 
 def madded(spark, sf):
-    return ol.mad_flags(fx.fact(spark, sf))
+    return ol.mad_flags(fx.stored_fact(spark, sf))
 
 
 def flagged(spark, sf):
@@ -343,3 +345,29 @@ def flag_counts(spark, sf):
 )
 def top_flagged_periods(spark, sf):
     return rp.top_flagged_periods(flagged(spark, sf))
+
+
+@query("model_seasonal_flags")
+def model_seasonal_flags(spark, sf):
+    """Seasonal flags from a decomposition of each series."""
+    out = sm.model_seasonal_flags(madded(spark, sf), ol.SERIES)
+    return out.select("orgUnit", "data_id", "Month", "seasonal5", "seasonal3", "expected")
+
+
+@query("remainder_outliers")
+def remainder_outliers(spark, sf):
+    f = fx.fact(spark, sf).select("orgUnit", "data_id", "Month", "original")
+    return sm.remainder_outliers(cf.fill_gaps(f, ol.SERIES), "original", ol.SERIES)
+
+
+@query(
+    "date_window",
+    "SELECT data, CAST(count(*) AS BIGINT) AS n FROM fact WHERE Month >= DATE '1997-03-01' AND Month <= (SELECT max(Month) - INTERVAL 1 MONTH FROM fact) GROUP BY 1",
+)
+def date_window(spark, sf):
+    """Rows from a start to the month before the newest."""
+    f = fx.fact(spark, sf)
+    newest = f.agg(F.add_months(F.max("Month"), -1)).scalar()
+    return rp.within(f, "Month", "1997-03-01").filter(F.col("Month") <= newest).groupBy("data").agg(
+        F.count(F.lit(1)).alias("n")
+    )

@@ -59,16 +59,18 @@ WHERE effectiveLeaf AND data IN ({_IN}) AND Month >= DATE '{START}'
 """
 
 
-def champs(spark, sf):
-    return champ(spark, sf, "all_categories", 11)
+def champs(spark, sf, facts=None):
+    facts = fx.fact(spark, sf) if facts is None else facts
+    return rp.champions(facts, START, END, 11, "all_categories", SERIES)
 
 
 def selected(spark, sf):
+    facts = fx.stored_fact(spark, sf)
     return rp.select_data(
-        fx.fact(spark, sf),
+        facts,
         fx.LEVELS,
         categories=SERIES,
-        champion_units=champs(spark, sf),
+        champion_units=champs(spark, sf, facts),
         start=START,
     ).withColumn("dataCol", F.col("original"))
 
@@ -96,12 +98,13 @@ def champions_weekly(spark, sf):
     nums="total",
 )
 def select_data_labels(spark, sf):
+    facts = fx.stored_fact(spark, sf)
     out = rp.select_data(
-        fx.fact(spark, sf),
+        facts,
         fx.LEVELS,
         regions={"Region": ["ASIA", "EUROPE", "AFRICA"]},
         categories=SERIES,
-        champion_units=champs(spark, sf),
+        champion_units=champs(spark, sf, facts),
         start=START,
     )
     return out.groupBy("Region", "Selected", "data").agg(
