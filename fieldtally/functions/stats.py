@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.staging import settle
+
 # Scale of the median absolute deviation for a normal law, and
 # the two normal quantiles used for intervals.
 MAD_SCALE = 1.4826
@@ -82,6 +84,7 @@ def running_totals(
     inside each range and are shifted by the sums of the ranges before it, so
     the result is exact and the largest sort is about one piece.
     """
+    df = settle(df)  # distinct values only; used by the sketch and by the ranking
     cuts = df.groupBy(*keys).agg(
         F.array_distinct(
             F.percentile_approx(

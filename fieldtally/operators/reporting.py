@@ -270,6 +270,7 @@ def volume_quartiles(volume: DataFrame, champion_units: DataFrame) -> DataFrame:
     Quartiles are right-closed like a cut at the quartile values; the
     smallest value falls outside and has no quartile.
     """
+    volume = settle(volume)
     qs = stats.exact_quantiles(
         volume, [], "medianValue", [0.0, 0.25, 0.5, 0.75, 1.0], ["q0", "q1", "q2", "q3", "q4"]
     ).select(F.array_sort(F.array_distinct(F.array("q0", "q1", "q2", "q3", "q4"))).alias("breaks"))

@@ -29,17 +29,20 @@ def _fill(y: np.ndarray) -> np.ndarray:
     return np.interp(at, at[seen], y[seen])
 
 
-def _decompose(y: np.ndarray, season: np.ndarray, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """(trend, seasonal) of a complete series; the season repeats exactly."""
-    kernel = np.r_[0.5, np.ones(11), 0.5] / 12
+def _decompose(y: np.ndarray, season: np.ndarray, robust: bool, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """(trend, seasonal) of a complete series; the season repeats exactly.
+
+    ``robust`` uses running and monthly medians in place of means, so that
+    a spike does not bend what it is compared with.
+    """
+    middle = "median" if robust else "mean"
     seasonal = np.zeros(len(y))
-    trend = np.full(len(y), y.mean())
+    trend = np.full(len(y), getattr(np, middle)(y))
     for _ in range(rounds):
         if len(y) >= MIN_ROWS:
-            padded = np.r_[np.full(6, (y - seasonal)[:6].mean()), y - seasonal, np.full(6, (y - seasonal)[-6:].mean())]
-            trend = np.convolve(padded, kernel, mode="valid")
-        means = pd.Series(y - trend).groupby(season).transform("mean").to_numpy()
-        seasonal = means - means.mean()
+            trend = pd.Series(y - seasonal).rolling(13, center=True, min_periods=7).agg(middle).to_numpy()
+        level = pd.Series(y - trend).groupby(season).transform(middle).to_numpy()
+        seasonal = level - level.mean()
     return trend, seasonal
 
 
@@ -52,7 +55,7 @@ def _clean(value: str, period: str, keys: list[str]):
         if seen.sum() >= MIN_VALUES:
             y = _fill(2 * (np.sqrt(np.maximum(x, 0)) - 1))
             season = pd.to_datetime(pdf[period]).dt.month.to_numpy()
-            trend, seasonal = _decompose(y, season)
+            trend, seasonal = _decompose(y, season, True)
             rest = y - trend - seasonal
             q1, q3 = np.quantile(rest[seen], [0.25, 0.75])
             odd = seen & ((rest < q1 - IQR_REACH * (q3 - q1)) | (rest > q3 + IQR_REACH * (q3 - q1)))
@@ -91,7 +94,7 @@ def _remainders(value: str, period: str, keys: list[str], deviation: float, meth
         flag = pd.array([None] * len(x), dtype="boolean")
         if len(x) >= MIN_ROWS and np.isfinite(x).sum() >= MIN_VALUES:
             y = _fill(x)
-            trend, seasonal = _decompose(y, pd.to_datetime(pdf[period]).dt.month.to_numpy())
+            trend, seasonal = _decompose(y, pd.to_datetime(pdf[period]).dt.month.to_numpy(), False)
             rest = y - trend - seasonal
             scale = np.std(rest, ddof=1) if method == "sd" else MAD_SCALE * np.median(np.abs(rest - np.median(rest)))
             flag = pd.array(np.abs(rest) > deviation * scale, dtype="boolean")
