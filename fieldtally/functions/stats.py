@@ -26,11 +26,6 @@ def strict_sum(col: Column) -> Column:
     return F.when(F.count(col) == F.count(F.lit(1)), F.sum(col))
 
 
-def null_if_empty_sum(col: Column) -> Column:
-    """Sum of the known values, NULL when all are NULL."""
-    return F.sum(col)
-
-
 def residual_sigma(y: Column, x: Column) -> Column:
     """Residual standard error of the regression of y on x."""
     n = F.regr_count(y, x)

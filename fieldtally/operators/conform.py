@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import periods
+from ..sources.staging import settle
 
 LIST_SEPARATOR = r" ;\n "
 
@@ -267,21 +268,24 @@ def flatten_tree(units: DataFrame, level_names: list[str]) -> DataFrame:
 def descendants(units: DataFrame, node_name: str, max_depth: int = 12) -> DataFrame:
     """All units below a node, by name regardless of case and outer spaces.
 
-    ``units`` has ``name`` and ``parentName``. Level by level; stops at
-    ``max_depth`` levels, and units already found are not visited again.
+    ``units`` has ``name`` and ``parentName``. One level per round, each
+    written out so that the plan stays small; stops when a level is empty and
+    never visits a unit twice.
     """
     norm = lambda c: F.trim(F.lower(c))
     edges = units.select(
         F.col("name"), norm(F.col("name")).alias("_n"), norm(F.col("parentName")).alias("_p")
     )
     start = node_name.lower().strip()
-    found = edges.filter(F.col("_p") == start).select("name", "_n")
-    front = found.select("_n").distinct()
+    edges = settle(edges)
+    front = settle(edges.filter(F.col("_p") == start).select("name", "_n").distinct())
+    found = front
     for _ in range(max_depth - 1):
-        nxt = edges.join(front.withColumnRenamed("_n", "_f"), F.col("_p") == F.col("_f")).select("name", "_n")
-        nxt = nxt.join(found.select("_n").distinct(), "_n", "left_anti").select("name", "_n")
-        front = nxt.select("_n").distinct()
-        found = found.unionByName(nxt)
+        below = edges.join(front.select(F.col("_n").alias("_p")).distinct(), "_p", "left_semi")
+        front = settle(below.select("name", "_n").distinct().join(found, "_n", "left_anti").select("name", "_n"))
+        if front.isEmpty():
+            break
+        found = found.unionByName(front)
     return found.select("name").distinct()
 
 

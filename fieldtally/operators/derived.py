@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -34,7 +33,6 @@ class Step:
     denominator: Side | None = None
     na_rm: bool = True
     max_value: float | None = None
-    extra: dict = field(default_factory=dict)
 
 
 def _cleaned(side: Side) -> tuple[DataFrame, list[str], str]:

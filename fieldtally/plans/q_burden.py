@@ -113,7 +113,7 @@ def champion_multiple(spark, sf):
     return res_a(spark, sf)
 
 
-# Method B: the attendance series lacks facilities in one region.
+# Method B. Planted gap: half of one region's facilities never report attendance.
 SQL["b_in"] = f"""SELECT * FROM bd WHERE {_WIN} AND NOT (data = '{ATTEND}' AND Region = 'EUROPE' AND CAST(substr(orgUnit, 2) AS INTEGER) % 2 = 0)"""
 SQL["b_tgt"] = f"""
 SELECT t.*, a.attend FROM (SELECT orgUnit, data AS category, Region AS region, Selected, sum("value") AS total FROM b_in WHERE data IN ({_T}) AND "value" IS NOT NULL GROUP BY ALL) t

@@ -14,12 +14,14 @@ def build_session(
     master: str | None = None,
     shuffle_partitions: int | None = None,
     driver_memory: str | None = None,
+    checkpoint_dir: str | None = None,
 ) -> SparkSession:
     """Create a session in UTC with adaptive execution on.
 
     On a cluster leave ``master`` and ``shuffle_partitions`` unset: the
     submit command names the first, and adaptive execution merges the
-    second from the cluster's own setting.
+    second from the cluster's own setting. ``checkpoint_dir`` must be a folder
+    all machines share; leave it unset where the cluster names one.
     """
     builder = (
         SparkSession.builder.appName(app_name)
@@ -35,6 +37,8 @@ def build_session(
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if driver_memory is not None:
         builder = builder.config("spark.driver.memory", driver_memory)
+    if checkpoint_dir is not None:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     return builder.getOrCreate()
 
 

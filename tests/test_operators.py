@@ -1,6 +1,7 @@
 """Operators on small tables with known answers or brute-force checks."""
 
 import datetime as dt
+import pathlib
 import statistics
 
 import numpy as np
@@ -371,10 +372,8 @@ def test_dedup_and_gaps(spark):
     assert column(full, "original") == [1.0, None, 3.0] and set(column(full, "dataElement")) == {"Cases"}
 
 
-def test_shared_folder_comes_from_the_session(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert staging.settle(spark.range(5)).count() == 5
-        assert any(p.name.startswith("fieldtally-") for p in tmp_path.iterdir())
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_shared_folder_comes_from_the_session(spark):
+    folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    assert staging.settle(spark.range(5)).count() == 5
+    assert staging.shared_folder(spark) == str(folder)
+    assert any(p.name.startswith("fieldtally-") for p in folder.iterdir())
