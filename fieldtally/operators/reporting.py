@@ -139,8 +139,10 @@ def champion_grid(df: DataFrame, settings: list[dict], period: str | None = None
         .agg(F.countDistinct(period).alias("periods"))
         .withColumn("n_years", F.count(F.lit(1)).over(W.partitionBy("setting")))
     )
-    found = sent.groupBy("setting").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("units")))).alias("n_found")
+    found = (
+        sent.select("setting", F.explode_outer("units").alias("u"))
+        .groupBy("setting")
+        .agg(F.countDistinct("u").alias("n_found"))
     )
     needed = (
         F.when(F.col("rule") == "all_categories", F.col("n_cats"))
