@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.staging import settle
 
 # Scale of the median absolute deviation for a normal law, and
 # the two normal quantiles used for intervals.
@@ -68,6 +67,16 @@ def _null_safe(keys: list[str], extra: list | None = None) -> Column:
     return reduce(lambda a, b: a & b, conds)
 
 
+def lookup(table: DataFrame, key: str | Column, value: str | Column) -> Column:
+    """A short table with one row per key as a map that every row can look into.
+
+    For keys of which there are few by nature (years, settings, elements): joining a
+    large table on them would send each key's rows to one task.
+    """
+    key = F.col(key) if isinstance(key, str) else key
+    return table.filter(key.isNotNull()).agg(F.map_from_entries(F.collect_list(F.struct(key, value)))).scalar()
+
+
 def running_totals(
     df: DataFrame, keys: list[str], value: str, weight: Column, order: list[str], pieces: int = 64
 ) -> DataFrame:
@@ -79,7 +88,6 @@ def running_totals(
     inside each range and are shifted by the sums of the ranges before it, so
     the result is exact and the largest sort is about one piece.
     """
-    df = settle(df)  # distinct values only; used by the sketch and by the ranking
     cuts = df.groupBy(*keys).agg(
         F.array_distinct(
             F.percentile_approx(

@@ -244,7 +244,8 @@ def flatten_tree(units: DataFrame, level_names: list[str]) -> DataFrame:
         F.array(F.col("name")).alias("_path"),
         F.col("parent_id").alias("_up"),
     )
-    for _ in range(len(level_names) - 1):
+    deepest = units.agg(F.max("level")).first()[0] or 1
+    for _ in range(max(deepest, len(level_names)) - 1):
         up = edges.select(F.col("id").alias("_i"), F.col("name").alias("_n"), F.col("parent_id").alias("_p"))
         out = out.join(up, F.col("_up") == F.col("_i"), "left").select(
             "orgUnit",
@@ -265,12 +266,12 @@ def flatten_tree(units: DataFrame, level_names: list[str]) -> DataFrame:
     )
 
 
-def descendants(units: DataFrame, node_name: str, max_depth: int = 12) -> DataFrame:
+def descendants(units: DataFrame, node_name: str) -> DataFrame:
     """All units below a node, by name regardless of case and outer spaces.
 
     ``units`` has ``name`` and ``parentName``. One level per round, each
-    written out so that the plan stays small; stops when a level is empty and
-    never visits a unit twice.
+    written out so that the plan stays small. Rounds go on until a level brings
+    no new unit; a unit is never visited twice.
     """
     norm = lambda c: F.trim(F.lower(c))
     edges = units.select(
@@ -280,7 +281,7 @@ def descendants(units: DataFrame, node_name: str, max_depth: int = 12) -> DataFr
     edges = settle(edges)
     front = settle(edges.filter(F.col("_p") == start).select("name", "_n").distinct())
     found = front
-    for _ in range(max_depth - 1):
+    while True:
         below = edges.join(front.select(F.col("_n").alias("_p")).distinct(), "_p", "left_semi")
         front = settle(below.select("name", "_n").distinct().join(found, "_n", "left_anti").select("name", "_n"))
         if front.isEmpty():

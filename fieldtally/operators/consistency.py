@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 from ..functions.periods import period_column
-from ..sources.staging import settle
 
 # Comparison names of rules.
 COMPARISONS = {
@@ -22,11 +22,15 @@ COMPARISONS = {
     "GREATER_THAN_OR_EQUAL_TO": lambda a, b: a >= b,
 }
 PAIR = "COMPULSORY_PAIR"
-MAX_RULES = 20000
-RULE_SCHEMA = "id string, name string, operator string, left_raw string, right_raw string"
 
 _REF = re.compile(r"#\{(" + text.UID + r")(?:\.(" + text.UID + r"))?\}")
-_ARITHMETIC = re.compile(r"^[\d.+\-*/()\s]*$")
+_NUMBER = re.compile(r"(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)")
+_SPACE = re.compile(r"\s*")
+# Steps of a side in the order in which they are evaluated.
+STEPS = T.ArrayType(
+    T.StructType([T.StructField("op", T.StringType()), T.StructField("num", T.DoubleType()), T.StructField("ref", T.StringType())])
+)
+SALTS = 16  # pieces in which the values of one element meet the rules
 
 
 def holds(left: Column, right: Column, operator: str) -> Column:
@@ -48,39 +52,102 @@ def holds_by_name(left: Column, right: Column, operator: Column) -> Column:
     return out
 
 
-def side_expression(raw: str | None, values: str = "vals") -> Column:
-    """Column for one side of a rule over a map of values by id.
+def side_steps(raw: str | None) -> list[tuple[str, float | None, str | None]] | None:
+    """One side of a rule as steps of a stack machine; None if it cannot be read.
 
-    Only references, numbers, + - * / and brackets are understood; anything
-    else gives NULL. Division by zero gives NULL.
+    References, numbers, + - * /, signs and brackets are understood.
     """
-    null = F.lit(None).cast("double")
-    if not raw or not _ARITHMETIC.match(_REF.sub("1", raw)):
-        return null
-    sql = _REF.sub(lambda m: f"try_element_at({values}, '{'_'.join(g for g in m.groups() if g)}')", raw)
-    parts = sql.split("/")
-    out = parts[0]
-    for p in parts[1:]:
-        out += f"/ nullif({_first_operand(p)}, 0D) {p[len(_first_operand(p)):]}"
-    return F.expr(f"CAST({out} AS DOUBLE)")
-
-
-def _first_operand(s: str) -> str:
-    """Leading operand of a text: up to the first operator outside brackets."""
-    depth = 0
-    for i, ch in enumerate(s):
-        if depth == 0 and s[:i].strip() and (ch in "+*" or (ch == "-") or ch == ")"):
-            return s[:i]
-        depth += (ch == "(") - (ch == ")")
-    return s
-
-
-def rule_list(rules: DataFrame) -> list[Row]:
-    """Rules on the driver: a short metadata table, with its size checked."""
-    rows = rules.select("id", "name", "operator", "left_raw", "right_raw").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules; split them")
-    return rows
+    if raw is None or not raw.strip():
+        return None
+    steps: list[tuple[str, float | None, str | None]] = []
+    at = 0
+
+    def peek() -> str:
+        nonlocal at
+        at = _SPACE.match(raw, at).end()
+        return raw[at : at + 1]
+
+    def operand() -> bool:
+        nonlocal at
+        sign = peek()
+        if sign and sign in "+-":
+            at += 1
+            done = operand()
+            if done and sign == "-":
+                steps.append(("neg", None, None))
+            return done
+        if sign == "(":
+            at += 1
+            if not chain(("+", "-")) or peek() != ")":
+                return False
+            at += 1
+            return True
+        for kind, pattern in (("ref", _REF), ("num", _NUMBER)):
+            if m := pattern.match(raw, at):
+                at = m.end()
+                steps.append((kind, float(m[0]), None) if kind == "num" else (kind, None, "_".join(g for g in m.groups() if g)))
+                return True
+        return False
+
+    def chain(signs: tuple[str, str]) -> bool:
+        """Operands joined by signs of one rank; those of the rank above are chains themselves."""
+        nonlocal at
+        part = operand if signs == ("*", "/") else lambda: chain(("*", "/"))
+        if not part():
+            return False
+        while peek() in signs:
+            sign = peek()
+            at += 1
+            if not part():
+                return False
+            steps.append((sign, None, None))
+        return True
+
+    return steps if chain(("+", "-")) and peek() == "" else None
+
+
+_APPLY = {
+    "+": lambda a, b: a + b,
+    "-": lambda a, b: a - b,
+    "*": lambda a, b: a * b,
+    "/": lambda a, b: F.try_divide(a, b),
+}
+
+
+def side_expression(raw: str | None, values: str = "vals") -> Column:
+    """Column for one side of a rule over a map of values by id; NULL if the
+    side cannot be read, a value is missing or a divisor is zero."""
+    stack: list[Column] = []
+    for op, num, ref in side_steps(raw) or [("num", None, None)]:
+        if op in _APPLY:
+            right, left = stack.pop(), stack.pop()
+            stack.append(_APPLY[op](left, right))
+        elif op == "neg":
+            stack.append(-stack.pop())
+        else:
+            stack.append(F.lit(num).cast("double") if op == "num" else F.try_element_at(F.col(values), F.lit(ref)))
+    return stack[0].cast("double")
+
+
+def side_value(steps: Column, values: Column) -> Column:
+    """The same where the steps are a column of ``STEPS``."""
+    empty = F.expr("cast(array() as array<double>)")
+
+    def step(stack: Column, t: Column) -> Column:
+        last, before = F.get(stack, F.size(stack) - 1), F.get(stack, F.size(stack) - 2)
+        value = F.when(t["op"] == "num", t["num"]).when(t["op"] == "ref", F.try_element_at(values, t["ref"])).when(t["op"] == "neg", -last)
+        for op, apply in _APPLY.items():
+            value = value.when(t["op"] == op, apply(before, last))
+        used = F.when(t["op"].isin("num", "ref"), 0).when(t["op"] == "neg", 1).otherwise(2)
+        return F.concat(F.slice(stack, F.lit(1), F.size(stack) - used), F.array(value.cast("double")))
+
+    return F.get(F.aggregate(steps, empty, step), F.lit(0))
+
+
+def with_steps(rules: DataFrame) -> DataFrame:
+    """Rules with the steps of both sides; the rule table is metadata, one row per rule."""
+    read = F.udf(lambda raw: side_steps(raw), STEPS)
+    return rules.select("id", "name", "operator", "left_raw", "right_raw", read("left_raw").alias("left_steps"), read("right_raw").alias("right_steps"))
 
 
 def rule_ids(rules: DataFrame) -> DataFrame:
@@ -150,32 +217,49 @@ def incomplete_rules(rules: DataFrame, values: DataFrame) -> DataFrame:
 def evaluate_rules(facts: DataFrame, rules: DataFrame, data_ids: list[str] | None = None) -> DataFrame:
     """Counts of evaluated, passed and failed facility-periods per rule and year.
 
-    Each facility-period holds one map of its values; all rules are evaluated
-    on it as plain expressions and only decided results leave the row, so no
-    table with a column per series is built.
+    Values meet the rules that mention them, salted by facility since an
+    element has many values; a rule is then evaluated on the few values it needs. Facility-
+    periods with none of them all have the outcome of a rule without values
+    (a compulsory pair holds) and are only counted. A rule that cannot be read, or
+    needs ids that the data lack, is incomplete; others are not affected.
     """
-    listed = rule_list(rules_for(rules, data_ids))
-    rules = facts.sparkSession.createDataFrame(listed, RULE_SCHEMA)
-    values = settle(rule_values(facts, rules))
+    rules = rules_for(rules, data_ids)
+    values = rule_values(facts, rules)
     period = period_column(values)
-    maps = value_maps(values).withColumn("year", F.year(period))
-    outcome = [
-        F.struct(
-            F.lit(r["id"]).alias("id"),
-            holds(side_expression(r["left_raw"]), side_expression(r["right_raw"]), r["operator"] or "").alias("pass"),
-        )
-        for r in listed
-    ]
-    decided = F.filter(F.array(*outcome), lambda o: o["pass"].isNotNull())
-    counts = (
-        maps.select("year", F.explode(decided).alias("o"))
-        .groupBy(F.col("o.id").alias("id"), "year")
-        .agg(F.count_if("o.pass").alias("p"), F.count_if(~F.col("o.pass")).alias("f"))
+    unit = ["orgUnit", "orgUnitName", period]
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    salt = F.pmod(F.xxhash64("orgUnit"), F.lit(SALTS)).cast("int")
+    refs = rule_ids(rules).select("id", "ref", salts)
+    met = values.withColumn("_salt", salt).join(refs, ["ref", "_salt"]).groupBy("id", "_salt", *unit)
+    met = met.agg(F.map_from_entries(F.collect_list(F.struct("ref", "v"))).alias("vals"))
+    read = with_steps(rules)
+
+    def outcome(vals: Column) -> Column:
+        left, right = side_value(F.col("left_steps"), vals), side_value(F.col("right_steps"), vals)
+        return holds_by_name(left, right, F.col("operator"))
+
+    decided = met.join(read.select("id", "operator", "left_steps", "right_steps", salts), ["id", "_salt"]).select(
+        "id", F.year(period).alias("year"), outcome(F.col("vals")).alias("pass")
+    )
+    counts = decided.groupBy("id", "year").agg(
+        F.count(F.lit(1)).alias("seen"), F.count_if("pass").alias("p"), F.count_if(~F.col("pass")).alias("f")
+    )
+    units = values.select(*unit).distinct().groupBy(F.year(period).alias("year")).agg(F.count(F.lit(1)).alias("all"))
+    totals = units.agg(F.map_from_entries(F.collect_list(F.struct("year", "all")))).scalar()
+    without = outcome(F.create_map().cast("map<string,double>"))
+    frame = read.select(
+        "id",
+        "name",
+        without.alias("_without"),
+        (F.col("left_steps").isNull() | F.col("right_steps").isNull()).alias("_unread"),
+        F.explode(totals).alias("year", "all"),
     )
-    years = values.agg(F.array_sort(F.collect_set(F.year(period)))).scalar()
-    frame = rules.select("id", "name", F.explode(years).alias("year"))
     gaps = incomplete_rules(rules, values).select("id", F.lit(True).alias("_gap"))
-    zero = lambda c: F.when(F.col("_gap"), 0).otherwise(F.coalesce(c, F.lit(0))).cast("long")
+    missing = F.coalesce("_gap", "_unread")
+    rest = F.col("all") - F.coalesce("seen", F.lit(0))
+    passed = F.coalesce("p", F.lit(0)) + F.when(F.col("_without"), rest).otherwise(0)
+    failed = F.coalesce("f", F.lit(0)) + F.when(~F.col("_without"), rest).otherwise(0)
+    count = lambda c: F.when(missing, 0).otherwise(c).cast("long")
     return (
         frame.join(counts, ["id", "year"], "left")
         .join(gaps, "id", "left")
@@ -183,10 +267,10 @@ def evaluate_rules(facts: DataFrame, rules: DataFrame, data_ids: list[str] | Non
             F.col("id").alias("rule_id"),
             F.col("name").alias("rule_name"),
             "year",
-            F.coalesce("_gap", F.lit(False)).alias("incomplete"),
-            zero(F.col("p") + F.col("f")).alias("n_evaluated"),
-            zero(F.col("p")).alias("n_passed"),
-            zero(F.col("f")).alias("n_failed"),
+            missing.alias("incomplete"),
+            count(passed + failed).alias("n_evaluated"),
+            count(passed).alias("n_passed"),
+            count(failed).alias("n_failed"),
         )
     )
 
@@ -215,21 +299,24 @@ def rule_table(results: DataFrame) -> DataFrame:
     )
 
 
-def rule_detail(facts: DataFrame, rules: DataFrame, rule_id: str, max_rows: int | None = 2000) -> DataFrame:
+def rule_detail(facts: DataFrame, rules: DataFrame, rule_id: str, max_rows: int | None = None) -> DataFrame:
     """Facility-periods where one rule failed or could not be decided, newest
-    first. ``n_total`` tells how many there are before the report's limit."""
-    listed = rule_list(rules.filter(F.col("id") == rule_id))
-    if not listed:
+    first. ``n_total`` tells how many there are; a report may ask for the first
+    ``max_rows`` only. A rule that cannot be read is undecided everywhere."""
+    one = rules.filter(F.col("id") == rule_id)
+    r = one.select("operator", "left_raw", "right_raw").first()
+    if r is None:
         raise ValueError(f"no rule {rule_id}")
-    r = listed[0]
-    values = settle(rule_values(facts, facts.sparkSession.createDataFrame(listed, RULE_SCHEMA)))
+    values = rule_values(facts, one)
     period = period_column(values)
     maps = (
         value_maps(values)
         .withColumn("left_side", side_expression(r["left_raw"]))
         .withColumn("right_side", side_expression(r["right_raw"]))
     )
-    bad = maps.withColumn("ok", holds(F.col("left_side"), F.col("right_side"), r["operator"] or "")).filter(
+    readable = side_steps(r["left_raw"]) is not None and side_steps(r["right_raw"]) is not None
+    ok = holds(F.col("left_side"), F.col("right_side"), (r["operator"] or "") if readable else "")
+    bad = maps.withColumn("ok", ok).filter(
         ~F.coalesce("ok", F.lit(False))
     )
     out = bad.select(

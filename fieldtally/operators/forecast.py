@@ -161,7 +161,7 @@ def _fit_series(keys, cut, horizon, models, transform, covariate):
                 status = "ok"
             except (ValueError, np.linalg.LinAlgError) as exc:
                 mean = sd = np.full(horizon, np.nan)
-                status = str(exc)[:80]
+                status = str(exc)
             out.append(pd.DataFrame({**head, "Month": ahead.dt.date, "model": m, "mean": mean, "sd": sd, "status": status}))
         return pd.concat(out)
 
@@ -295,8 +295,9 @@ def swape(drawn: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
     return per_draw.groupBy(*keys, "model").agg(F.avg("swape").alias("swape"))
 
 
-def rank_models(accuracy: DataFrame, metric: str, groups: list[str] | None = None, top: int = 1000) -> DataFrame:
-    """Rank by a metric, percent gap to the best, and the model's mean."""
+def rank_models(accuracy: DataFrame, metric: str, groups: list[str] | None = None, top: int | None = None) -> DataFrame:
+    """Rank by a metric, percent gap to the best, and the model's mean; all
+    ranks unless a report asks for the first ``top``."""
     means = accuracy.groupBy("model").agg(F.avg(metric).alias("mean"))
     w = W.partitionBy(*(groups or [F.lit(1)])).orderBy(F.asc(metric), F.asc("model"))
     shown = F.round(metric, 3)
@@ -305,7 +306,7 @@ def rank_models(accuracy: DataFrame, metric: str, groups: list[str] | None = Non
         accuracy.withColumn("rank", F.row_number().over(w))
         .withColumn("percent_diff", F.round(100 * F.try_divide(shown - best, best), 3))
         .withColumn(metric, shown)
-        .filter(F.col("rank") <= top)
+        .filter(F.lit(True) if top is None else F.col("rank") <= top)
         .join(means, "model")
     )
 

@@ -25,7 +25,6 @@ from ..functions.flags import (
     with_error_label,
 )
 from ..functions.periods import period_column
-from ..sources.staging import settle
 
 SERIES = ["orgUnit", "data_id"]
 
@@ -54,8 +53,8 @@ def key_entry_values(df: DataFrame, by: str = "dataElement") -> DataFrame:
     )
     w = W.partitionBy(by).orderBy(F.desc("n"), F.asc("original"))
     top = counts.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= 10)
-    limit = top.groupBy(by).agg(F.median("n").alias("m"))
-    return counts.join(limit, by).filter(F.col("n") > 3 * F.col("m")).select(by, "original")
+    limits = stats.lookup(top.groupBy(by).agg(F.median("n").alias("m")), by, "m")
+    return counts.withColumn("_m", limits).filter(F.col("n") > 3 * F.try_element_at("_m", F.col(by))).select(by, "original")
 
 
 def add_scale(df: DataFrame, value: str, keys: list[str], prefix: str = "_s") -> DataFrame:
@@ -131,8 +130,8 @@ def mad_flags(
     repeated = key_entry if key_entry is not None else key_entry_values(df, element)
     # More than three times the median of the ten highest counts: at most five
     # values per element, so this is a short list on a dictionary-sized table.
-    lists = repeated.groupBy(element).agg(F.collect_set("original").alias("_bad"))
-    out = df.join(lists, element, "left")
+    lists = stats.lookup(repeated.groupBy(element).agg(F.collect_set("original").alias("_bad")), element, "_bad")
+    out = df.withColumn("_bad", F.try_element_at(lists, F.col(element)))
     known = F.col("original").isNotNull()
     capped = F.col("data").rlike(STOCK_WORD) & F.col("data").rlike(STOCK_OUT_WORD) & F.col("effectiveLeaf")
     out = out.withColumns(
@@ -367,9 +366,7 @@ def outlier_summary(df: DataFrame, flags: list[str] | None = None) -> DataFrame:
     """
     flags = present(df, flags or SUMMARY_FLAGS)
     # One pass over the rows: distinct values per combination of flags, counted.
-    counts = settle(
-        df.groupBy(*flags, F.col("original").cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    )
+    counts = df.groupBy(*flags, F.col("original").cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
     known = F.when(F.col("v").isNotNull(), F.col("c")).otherwise(F.lit(0))
     groups = counts.groupBy(*flags).agg(
         F.sum(known).alias("n"),
@@ -434,7 +431,7 @@ def monthly_outliers(df: DataFrame, flags: list[str] | None = None) -> DataFrame
             F.lit("Total"),
         )
     )
-    sums = settle(
+    sums = (
         base.withColumn("Alg", F.explode(names))
         .groupBy("Month", "data", "Alg")
         .agg(stats.sum0(F.col("original")).alias("e"), F.count(F.lit(1)).alias("n_e"))

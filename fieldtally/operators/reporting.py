@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..functions import stats, text
 from ..functions.flags import FLAG_ORDER, any_set, present
 from ..functions.periods import period_column
-from ..sources.staging import settle
 
 RULES = ("any_data", "any_selected", "all_elements", "all_categories")
 UNKNOWN_REGION = "(Unknown)"
@@ -76,15 +75,15 @@ def champions(
         .distinct()
         .groupBy(F.year(period).alias("year"))
         .agg(F.count(F.lit(1)).alias("periods"))
-        .withColumn("n_years", F.count(F.lit(1)).over(W.partitionBy(F.lit(1))))
     )
+    periods = stats.lookup(per_year, "year", "periods")
     return (
-        per_facility.join(per_year, "year")
+        per_facility.withColumn("_periods", periods)
         .groupBy("orgUnit")
         .agg(
             F.count(F.lit(1)).alias("years"),
-            F.max("n_years").alias("n_years"),
-            F.bool_and(F.col("reports") >= F.col("periods") - missing_reports).alias("consistent"),
+            F.max(F.size("_periods")).alias("n_years"),
+            F.bool_and(F.col("reports") >= F.try_element_at("_periods", F.col("year")) - missing_reports).alias("consistent"),
         )
         .filter("consistent AND years = n_years")
         .select("orgUnit")
@@ -134,32 +133,35 @@ def champion_grid(df: DataFrame, settings: list[dict], period: str | None = None
         .withColumn("units", F.when(F.col("rule") == "all_elements", base).otherwise(F.col("found")))
         .select("setting", "missing_reports", "rule", F.size("cats").alias("n_cats"), "orgUnit", period, "units")
     )
-    per_year = (
+    years = (
         sent.groupBy("setting", F.year(period).alias("year"))
         .agg(F.countDistinct(period).alias("periods"))
-        .withColumn("n_years", F.count(F.lit(1)).over(W.partitionBy("setting")))
+        .groupBy("setting")
+        .agg(F.map_from_entries(F.collect_list(F.struct("year", "periods"))).alias("calendar"))
     )
     found = (
         sent.select("setting", F.explode_outer("units").alias("u"))
         .groupBy("setting")
         .agg(F.countDistinct("u").alias("n_found"))
     )
+    years, found = stats.lookup(years, "setting", "calendar"), stats.lookup(found, "setting", "n_found")
     needed = (
         F.when(F.col("rule") == "all_categories", F.col("n_cats"))
-        .when(F.col("rule") == "all_elements", F.col("n_found"))
+        .when(F.col("rule") == "all_elements", F.try_element_at("_found", F.col("setting")))
         .otherwise(F.lit(0))
     )
     return (
-        sent.join(found, "setting")
+        sent.withColumn("_found", found)
         .filter(F.size("units") >= needed)
         .groupBy("setting", "missing_reports", "orgUnit", F.year(period).alias("year"))
         .agg(F.count(F.lit(1)).alias("reports"))
-        .join(per_year, ["setting", "year"])
+        .withColumn("_years", years)
+        .withColumn("_calendar", F.try_element_at("_years", F.col("setting")))
         .groupBy("setting", "orgUnit")
         .agg(
             F.count(F.lit(1)).alias("years"),
-            F.max("n_years").alias("n_years"),
-            F.bool_and(F.col("reports") >= F.col("periods") - F.col("missing_reports")).alias("ok"),
+            F.max(F.size("_calendar")).alias("n_years"),
+            F.bool_and(F.col("reports") >= F.try_element_at("_calendar", F.col("year")) - F.col("missing_reports")).alias("ok"),
         )
         .filter("ok AND years = n_years")
         .select("setting", "orgUnit")
@@ -272,7 +274,6 @@ def volume_quartiles(volume: DataFrame, champion_units: DataFrame) -> DataFrame:
     Quartiles are right-closed like a cut at the quartile values; the
     smallest value falls outside and has no quartile.
     """
-    volume = settle(volume)
     qs = stats.exact_quantiles(
         volume, [], "medianValue", [0.0, 0.25, 0.5, 0.75, 1.0], ["q0", "q1", "q2", "q3", "q4"]
     ).select(F.array_sort(F.array_distinct(F.array("q0", "q1", "q2", "q3", "q4"))).alias("breaks"))
@@ -327,7 +328,12 @@ def _yearly_consistent(months: DataFrame, missing_reports: int, drop_last: bool)
     keys = [c for c in months.columns if c not in ("Month", "has")]
     per_facility = rows.groupBy(*keys, F.year("Month").alias("Year")).agg(F.count(F.lit(1)).alias("reports"))
     per_year = rows.groupBy(F.year("Month").alias("Year")).agg(F.countDistinct("Month").alias("periods"))
-    return per_facility.join(per_year, "Year").filter(F.col("reports") >= F.col("periods") - missing_reports)
+    periods = stats.lookup(per_year, "Year", "periods")
+    return (
+        per_facility.withColumn("_periods", periods)
+        .filter(F.col("reports") >= F.try_element_at("_periods", F.col("Year")) - missing_reports)
+        .drop("_periods")
+    )
 
 
 def yearly_completeness(df: DataFrame, missing_reports: int = 0, drop_last_month: bool = True) -> DataFrame:
@@ -336,7 +342,7 @@ def yearly_completeness(df: DataFrame, missing_reports: int = 0, drop_last_month
     ``drop_last_month`` leaves out the newest month of the data, which is
     often incomplete.
     """
-    months = settle(_facility_months(df))
+    months = _facility_months(df)
     years = months.select(F.year("Month").alias("Year")).distinct()
     n_all = months.agg(F.countDistinct("orgUnit")).scalar()
     good = _yearly_consistent(months, missing_reports, drop_last_month).groupBy("Year").agg(
@@ -358,7 +364,7 @@ def yearly_completeness_by_region(
     df: DataFrame, level_col: str, missing_reports: int = 0, drop_last_month: bool = True
 ) -> DataFrame:
     """The same per region, for every region and year."""
-    months = settle(_facility_months(df, level_col))
+    months = _facility_months(df, level_col)
     placed = months.filter(F.col(level_col).isNotNull())
     totals = placed.groupBy(F.col(level_col).alias("region_name")).agg(F.countDistinct("orgUnit").alias("n_total"))
     all_years = months.agg(F.array_sort(F.collect_set(F.year("Month")))).scalar()
@@ -442,12 +448,10 @@ def facility_status_shares(status: DataFrame) -> DataFrame:
 def reporting_grid(df: DataFrame, level_col: str) -> DataFrame:
     """Every facility in every month of the data: reported 1, else 0."""
     live = F.col("original").isNotNull() & (F.col("original") != 0)
-    cells = settle(
-        df.groupBy("orgUnit", "Month").agg(
-            F.bool_or(live).cast("int").alias("reported"),
-            F.min("orgUnitName").alias("orgUnitName"),
-            F.min(F.coalesce(F.col(level_col), F.lit(UNKNOWN_REGION))).alias("region"),
-        )
+    cells = df.groupBy("orgUnit", "Month").agg(
+        F.bool_or(live).cast("int").alias("reported"),
+        F.min("orgUnitName").alias("orgUnitName"),
+        F.min(F.coalesce(F.col(level_col), F.lit(UNKNOWN_REGION))).alias("region"),
     )
     months = cells.agg(F.array_sort(F.collect_set("Month"))).scalar()
     units = cells.groupBy("orgUnit").agg(
@@ -519,16 +523,11 @@ def facilities_list(df: DataFrame) -> DataFrame:
 
 
 def _newest(df: DataFrame, n: int) -> DataFrame:
-    """Rows of the n newest periods; the calendar is ranked, not the rows."""
+    """Rows of the n newest periods, those since the n-th newest."""
     period = period_column(df)
-    keep = (
-        df.select(period)
-        .distinct()
-        .withColumn("_r", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc(period))))
-        .filter(F.col("_r") <= n)
-        .select(period)
-    )
-    return df.join(keep, period, "left_semi")
+    calendar = F.sort_array(F.collect_set(period), asc=False)
+    since = df.agg(F.coalesce(F.get(calendar, F.lit(n - 1)), F.min(period))).scalar()
+    return df.filter(F.col(period) >= since)
 
 
 def completeness_by_element(df: DataFrame, max_periods: int = 24) -> DataFrame:

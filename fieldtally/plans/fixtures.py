@@ -255,6 +255,16 @@ SELECT 'rule_pair_' || substr(a, 3, 1), a || ' with ' || b, 'compulsory_pair',
 UNION ALL
 SELECT 'rule_gone_' || substr(a, 3, 1), a || ' equals absent', 'equal_to',
        '#{' || a || '}', '#{deZ00000009}' FROM e
+UNION ALL
+SELECT 'rule_nest_' || substr(a, 3, 1), a || ' nested', 'greater_than',
+       '#{' || a || '}', '#{' || b || '} / (#{' || a || '} / #{' || b || '})' FROM e WHERE b IS NOT NULL
+UNION ALL
+SELECT 'rule_neg_' || substr(a, 3, 1), a || ' two signs', 'greater_than', '#{' || a || '}--1', '#{' || b || '}' FROM e WHERE b IS NOT NULL
+UNION ALL
+SELECT 'rule_zero_' || substr(a, 3, 1), a || ' by zero', 'compulsory_pair',
+       '#{' || a || '} / (#{' || b || '} - #{' || b || '})', '#{' || b || '}' FROM e WHERE b IS NOT NULL
+UNION ALL
+SELECT 'rule_odd_' || substr(a, 3, 1), a || ' unreadable', 'compulsory_pair', '#{' || a || '} * / 2', '#{' || b || '}' FROM e WHERE b IS NOT NULL
 """
 
 
@@ -289,6 +299,13 @@ def rules(spark: SparkSession, sf: str) -> DataFrame:
             F.concat(ref(b, f), F.lit(" * 2 + 10")),
         )
     ).unionByName(rule("pair", F.concat(a, F.lit(" with "), b), "compulsory_pair", ref(a, o), ref(b, o)))
+    t = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    out = (
+        out.unionByName(rule("nest", t(a, " nested"), "greater_than", ref(a), t(ref(b), " / (", ref(a), " / ", ref(b), ")")))
+        .unionByName(rule("neg", t(a, " two signs"), "greater_than", t(ref(a), "--1"), ref(b)))
+        .unionByName(rule("zero", t(a, " by zero"), "compulsory_pair", t(ref(a), " / (", ref(b), " - ", ref(b), ")"), ref(b)))
+        .unionByName(rule("odd", t(a, " unreadable"), "compulsory_pair", t(ref(a), " * / 2"), ref(b)))
+    )
     pairs = e
     return out.unionByName(
         rule("gone", F.concat(a, F.lit(" equals absent")), "equal_to", ref(a), F.lit("#{deZ00000009}"))
@@ -380,11 +397,8 @@ def fact(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stored_fact(spark: SparkSession, sf: str) -> DataFrame:
-    """The processed table as users have it: written once, then read by the
-    several branches of a query."""
-    from ..sources.staging import settle
-
-    return settle(fact(spark, sf))
+    """The processed table as users have it."""
+    return fact(spark, sf)
 
 
 # Weekly facts from the event stream's table.

@@ -426,12 +426,6 @@ def not_modelled_share(spark, sf):
     return bd.not_modelled_share(res_c1(spark, sf))
 
 
-@query("region_groups")
-def region_groups(spark, sf):
-    results = res_a(spark, sf)
-    return bd.region_groups(results, 3)
-
-
 @query(
     "touching_regions",
     """

@@ -511,7 +511,7 @@ def drop_phantom_units(spark, sf):
        WHERE p.name = 'EUROPE' OR g.name = 'EUROPE'""",
 )
 def descendants(spark, sf):
-    return cf.descendants(parented(spark, sf), " Europe", max_depth=4)
+    return cf.descendants(parented(spark, sf), " Europe")
 
 
 @query("level_names", 'SELECT levelName, "level" FROM unit_levels')

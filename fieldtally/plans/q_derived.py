@@ -234,13 +234,18 @@ SELECT id, name, operator, replace(regexp_extract(left_raw, '#\{([^}]*)\}', 1),
 FROM rules
 """
 SQL["rule_eval"] = """
-SELECT t.id, t.name, u.orgUnit, u.orgUnitName, u.Month, a.v AS ls, b.v * mul + plus AS rs,
-  CASE operator WHEN 'greater_than' THEN a.v > b.v * mul + plus WHEN 'less_than_or_equal_to' THEN a.v <= b.v * mul + plus
-    WHEN 'equal_to' THEN a.v = b.v * mul + plus WHEN 'compulsory_pair' THEN (a.v IS NULL) = (b.v IS NULL) END AS pass,
-  NOT (t.l IN (SELECT ref FROM rule_vals) AND t.r IN (SELECT ref FROM rule_vals)) AS incomplete
+WITH s AS (
+SELECT t.id, t.name, t.operator, t.l, t.r, u.orgUnit, u.orgUnitName, u.Month,
+  CASE WHEN t.id LIKE 'rule_neg%' THEN a.v + 1 WHEN t.id LIKE 'rule_zero%' OR t.id LIKE 'rule_odd%' THEN NULL ELSE a.v END AS ls,
+  CASE WHEN t.id LIKE 'rule_nest%' THEN b.v / nullif(a.v / nullif(b.v, 0), 0) ELSE b.v * mul + plus END AS rs
 FROM rule_terms t CROSS JOIN (SELECT DISTINCT orgUnit, orgUnitName, Month FROM rule_vals) u
 LEFT JOIN rule_vals a ON a.orgUnit = u.orgUnit AND a.Month = u.Month AND a.ref = t.l
-LEFT JOIN rule_vals b ON b.orgUnit = u.orgUnit AND b.Month = u.Month AND b.ref = t.r
+LEFT JOIN rule_vals b ON b.orgUnit = u.orgUnit AND b.Month = u.Month AND b.ref = t.r)
+SELECT id, name, orgUnit, orgUnitName, Month, ls, rs,
+  CASE operator WHEN 'greater_than' THEN ls > rs WHEN 'less_than_or_equal_to' THEN ls <= rs
+    WHEN 'equal_to' THEN ls = rs WHEN 'compulsory_pair' THEN (ls IS NULL) = (rs IS NULL) END AS pass,
+  NOT (l IN (SELECT ref FROM rule_vals) AND r IN (SELECT ref FROM rule_vals)) OR id LIKE 'rule_odd%' AS incomplete
+FROM s
 """
 SQL["rule_counts"] = """
 SELECT id AS rule_id, name AS rule_name, year(Month) AS "year", incomplete,
@@ -330,7 +335,7 @@ def rule_table(spark, sf):
     WITH w AS (SELECT DISTINCT orgUnit, orgUnitName, Month FROM rule_vals WHERE starts_with(ref, 'deA') OR starts_with(ref, 'deN')),
     b AS (SELECT w.orgUnitName, w.Month, year(w.Month) AS "year", ls AS left_side, rs AS right_side, CASE WHEN pass IS NULL THEN 'Incomplete' ELSE 'Failed' END AS result
           FROM rule_eval e JOIN w ON e.orgUnit = w.orgUnit AND e.Month = w.Month WHERE id = 'rule_gt_A' AND NOT coalesce(pass, FALSE))
-    SELECT *, (SELECT count(*) FROM b) AS n_total FROM b ORDER BY "year" DESC, Month, orgUnitName LIMIT 2000
+    SELECT *, (SELECT count(*) FROM b) AS n_total FROM b
     """,
     dates="Month",
     nums="left_side right_side",

@@ -54,17 +54,12 @@ def stale_periods(stored: DataFrame, current: DataFrame, wanted: DataFrame) -> D
 
 def merge_refresh(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """Replace the refreshed periods and keep the rest; rows without a count
-    are dropped. Sorted by period, facility, element, category."""
+    are dropped. Rows are in no order; a writer sorts within its partitions."""
     names = ["dataElement", "categoryOptionCombo", "orgUnit", "period", "COUNT", "SUM"]
     text_cols = lambda d: d.select(*[F.col(c).cast("string").alias(c) for c in names])
     kept = stored.join(fresh.select("period").distinct(), "period", "left_anti")
     n = F.col("COUNT").try_cast("double")
-    return (
-        text_cols(kept)
-        .unionByName(text_cols(fresh))
-        .filter(n.isNotNull() & (n != 0))
-        .orderBy("period", "orgUnit", "dataElement", "categoryOptionCombo")
-    )
+    return text_cols(kept).unionByName(text_cols(fresh)).filter(n.isNotNull() & (n != 0))
 
 
 def raw_from_processed(facts: DataFrame) -> DataFrame:

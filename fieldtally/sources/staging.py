@@ -1,34 +1,22 @@
 """Intermediate tables in the cluster's shared folder.
 
-Methods that use one aggregated table in many places write it once. The
-result survives the loss of executors, cuts the plan, and has real size
+Loops, and methods that use one aggregated table in many places, write it once.
+The result survives the loss of executors, cuts the plan, and has real size
 statistics, so Spark can choose joins by size.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folders: dict[str, str] = {}
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``.
-
-    Where that is unset and the session runs on one machine, a fresh folder
-    of this process is used. A cluster must name one, since a machine-local
-    folder is not seen by other machines.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-    return _local_folders.setdefault(context.applicationId, tempfile.mkdtemp(prefix="fieldtally-"))
+    """Folder named by ``spark.checkpoint.dir``; where that is unset, a folder
+    beside the session's tables, which its executors share as well."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return (named or spark.conf.get("spark.sql.warehouse.dir") + "/staging").rstrip("/")
 
 
 def settle(df: DataFrame) -> DataFrame:
