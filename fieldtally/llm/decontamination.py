@@ -116,9 +116,10 @@ def _automaton(key: str, items: list[tuple[int, bytes]], window: int):
     return _built[key]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """``keep`` columns (doc_id if none are named) and for each document
-    n_words, n_hit, items, hit_words (ranges of words) and spans (code points)."""
+    n_words, n_hit, items, hit_words (ranges of words) and spans (code points),
+    their names after ``prefix``."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("binary")).where(F.col("text").isNotNull())
     # In a fixed order and a block at a time; one block for most benchmarks.
@@ -126,7 +127,8 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list
     blocks = [listed[k : k + BLOCK_ITEMS] for k in range(0, len(listed), BLOCK_ITEMS)] or [[]]
     columns = keep or ["doc_id"]
     slim = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").cast("binary").alias("_bytes"))
-    schema = T.StructType(list(slim.drop("_bytes").schema.fields) + list(RESULT.fields))
+    made_fields = [T.StructField(prefix + f.name, f.dataType) for f in RESULT.fields]
+    schema = T.StructType(list(slim.drop("_bytes").schema.fields) + made_fields)
     held = []
     for block in blocks:
         key = hashlib.sha256(repr((window, block)).encode()).hexdigest()
@@ -148,8 +150,8 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list
                 made = [pa.array([r[f.name] for r in out], _arrow[f.name]) for f in RESULT.fields]
                 yield pa.RecordBatch.from_arrays([here.column(i) for i in range(len(columns))] + made, schema.fieldNames())
 
-    n_hit = F.aggregate("hit_words", F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["first"])
-    return slim.mapInArrow(scanned, schema).withColumn("n_hit", n_hit)
+    n_hit = F.aggregate(f"{prefix}hit_words", F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["first"])
+    return slim.mapInArrow(scanned, schema).withColumn(f"{prefix}n_hit", n_hit)
 
 
 _arrow = {
