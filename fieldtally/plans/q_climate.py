@@ -1,8 +1,12 @@
 """Rainfall queries: suppliers stand for pixels, nations for polygons."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import climate as cl
+from ..sources import tables
+from ..sources.staging import shared_folder
 from . import fixtures as fx
 from .fixtures import SQL
 from .registry import query
@@ -62,6 +66,14 @@ def zonal_rainfall(spark, sf):
     return rain(spark, sf)
 
 
+@query("write_rainfall", 'SELECT id, "year", "month", mean_rain, 3 AS "level" FROM rain', nums="mean_rain")
+def write_rainfall(spark, sf):
+    """Rainfall written to the shared folder, read back from two copies as one."""
+    path = f"{shared_folder(spark)}/rain-{uuid.uuid4().hex}"
+    tables.write_rainfall(rain(spark, sf).select("id", "year", "month", "mean_rain", F.lit(3).alias("level")), path)
+    return tables.read_rainfall(spark, [path, path])
+
+
 @query(
     "flat_rainfall",
     """SELECT 'grid' AS source, 'Level 3' AS level_label, "year", "month", strftime(make_date("year", "month", 1), '%b') AS month_name, id, name, parentName,

@@ -1,10 +1,13 @@
 """Sources, conforming and scalar-function queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import periods, text
 from ..operators import conform as cf
 from ..sources import refresh, tables
+from ..sources.staging import shared_folder
 from . import fixtures as fx
 from .fixtures import SQL
 from .registry import query
@@ -168,6 +171,14 @@ FROM fact WHERE year(Month) >= 1997 GROUP BY ALL
 """
 
 
+@query("write_facts", "SELECT orgUnit, data_id, Month, original FROM fact", dates="Month", nums="original")
+def write_facts(spark, sf):
+    """The processed table written to the shared folder and read back."""
+    path = f"{shared_folder(spark)}/facts-{uuid.uuid4().hex}"
+    tables.write_facts(fx.fact(spark, sf), path)
+    return tables.read_facts(spark, path).select("orgUnit", "data_id", "Month", "original")
+
+
 @query(
     "union_rainfall",
     """SELECT * FROM rain_a UNION ALL SELECT b.* FROM rain_b b ANTI JOIN rain_a a

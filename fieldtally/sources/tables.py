@@ -48,13 +48,14 @@ def _index_date(df: DataFrame, period: str):
 def write_facts(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Save a processed table partitioned by year, sorted by series inside files.
 
-    Rows of a year are spread over facilities, so one big year is written by
-    many tasks; series of a data element lie together for pruning.
+    Spark rebalances the rows of a year to tasks of about its advisory size, so
+    the number of writers follows the data; series of a data element lie together
+    for pruning.
     """
     period = periods.period_column(df)
     (
         df.withColumn("year", F.year(period))
-        .repartition("year", F.pmod(F.xxhash64("orgUnit"), F.lit(64)))
+        .hint("rebalance", "year")
         .sortWithinPartitions("year", "data", "orgUnit", period)
         .write.mode(mode)
         .partitionBy("year")
