@@ -191,11 +191,14 @@ def span_classifier(table: DataFrame) -> tuple[dict[str, dict[str, float]], floa
     sums = marked.select("p", F.explode(pairs).alias("f")).groupBy("f.feature", "f.value").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no"))
     yes = sum(n * posterior[k, v] for k, v, n in patterns)
     no = sum(n for _, _, n in patterns) - yes
+    share = (yes + 0.5) / (yes + no + 1)
+    prior = math.log(share / (1 - share))
     odds: dict[str, dict[str, float]] = {f: {} for f in FEATURES}
     # All four have few values: 5 kinds, 81 vote patterns, 21 lengths, 400 runs of three out of seven signs.
     for r in sums.collect():
-        odds[r["feature"]][r["value"]] = math.log((r["yes"] + 0.5) / (yes + 1)) - math.log((r["no"] + 0.5) / (no + 1))
-    return odds, math.log((yes + 0.5) / (no + 0.5))
+        # One more candidate with the odds of all: values seen rarely say little.
+        odds[r["feature"]][r["value"]] = math.log((r["yes"] + share) / (r["no"] + 1 - share)) - prior
+    return odds, prior
 
 
 def find(docs: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def extracted(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     columns = keep or ["doc_id"]
     first = docs.select(*[F.col(f"`{c}`") for c in columns], whole(F.col("text")).alias("_text")).select(
         *[F.col(f"`{c}`") for c in columns],
-        F.when(F.col("_text").rlike("[:0-9]"), F.xxhash64("_text")).alias("text_key"),
+        F.xxhash64("_text").alias("text_key"),
         *[c.alias(k) for k, c in base_spans(F.col("_text")).items()],
         find_spans(F.col("_text"), IDENTIFIER, gate=F.col("_text").rlike("[:=]")).alias("identifier"),
         find_spans(F.col("_text"), ENDPOINT, gate=F.contains(F.col("_text"), F.lit("://"))).alias("endpoint"),
@@ -146,9 +146,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     )
     every = every.where(F.size("_spans") > 0).dropDuplicates(["_doc", "_key"])
     text = whole(F.col("text"))
-    key = F.when(text.rlike("[:0-9]"), F.xxhash64(text))
-    # Texts without any sign that a span needs stay out of the join.
-    on = F.col("doc_id").eqNullSafe(F.col("_doc")) & (key == F.col("_key"))
+    on = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("_key"))
     joined = docs.join(every, on, "left")
     cut = F.aggregate(
         "_spans",
@@ -161,15 +159,12 @@ def redacted(docs: DataFrame) -> DataFrame:
         ),
         lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))),
     )
-    columns = []
-    for c in docs.columns:
-        if c == "text":
-            columns.append(F.when(F.col("_spans").isNotNull(), cut).otherwise(F.col("text")).alias("text"))
-        elif c == "n_chars":
-            columns.append(F.when(F.col("_spans").isNotNull(), F.char_length(cut).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars"))
-        else:
-            columns.append(F.col(f"`{c}`"))
-    return joined.select(*columns)
+    found = F.col("_spans").isNotNull()
+    out = joined.withColumn("text", F.when(found, cut).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(found, size).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _place(spans: Column) -> Column:
