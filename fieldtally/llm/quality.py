@@ -79,8 +79,8 @@ def train(rows: list[tuple[bytes, int]], alpha: float = 0.5, l1: float = 1e-4, l
     examples = []
     for raw, y in rows:
         buckets, counts = np.unique(np.frombuffer(raw, np.int32), return_counts=True)
-        share = counts / max(1, counts.sum())
-        examples.append((np.append(buckets, size - 1), np.append(10 * share, 1.0), y))
+        share = 10 * counts / max(1, counts.sum())
+        examples.append((np.append(buckets, np.int32(size - 1)), np.append(share, 1.0).astype(np.float32), y))
     for _ in range(EPOCHS):
         for i, x, y in examples:
             w = weights(i)
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, per_class: int =
 
     slim = sample.select("order", "label", F.col("text").cast("binary").alias("text"))
     got = slim.mapInArrow(hashed, "order long, label int, grams binary").collect()
-    return train([(bytes(r.grams), r.label) for r in sorted(got, key=lambda r: (r.order, r.label, bytes(r.grams)))])
+    return train([(r.grams, r.label) for r in sorted(got, key=lambda r: (r.order, r.label, bytes(r.grams)))])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
