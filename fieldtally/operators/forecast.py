@@ -73,9 +73,12 @@ def _design(month: pd.Series, t: np.ndarray, x: np.ndarray | None) -> np.ndarray
 
 
 def _linear(y, X, Xf):
-    coef, *_ = np.linalg.lstsq(X, y, rcond=None)
+    """Fit to the months that have a value; residuals are NaN in the others."""
+    known = np.isfinite(y)
+    coef, *_ = np.linalg.lstsq(X[known], y[known], rcond=None)
     resid = y - X @ coef
-    return Xf @ coef, float(np.std(resid) * np.sqrt(len(y) / max(len(y) - X.shape[1], 1))), resid
+    n = int(known.sum())
+    return Xf @ coef, float(np.std(resid[known]) * np.sqrt(n / max(n - X.shape[1], 1))), resid
 
 
 def _trend_season(y, X, Xf, h):
@@ -84,73 +87,93 @@ def _trend_season(y, X, Xf, h):
 
 
 def _autoregression(y, X, Xf, h):
+    """First order, from neighbouring months that both have a value; the last
+    residual fades over the months since it."""
     mean, _, r = _linear(y, X, Xf)
-    power = float(r[:-1] @ r[:-1])
-    phi = float(np.clip(r[1:] @ r[:-1] / power, -0.95, 0.95)) if power > 0 else 0.0
-    noise = float(np.std(r[1:] - phi * r[:-1]))
-    steps = np.arange(1, h + 1)
-    return mean + r[-1] * phi**steps, noise * np.sqrt(np.cumsum(phi ** (2 * (steps - 1))))
+    both = np.isfinite(r[1:]) & np.isfinite(r[:-1])
+    before, after = r[:-1][both], r[1:][both]
+    power = float(before @ before)
+    phi = float(np.clip(after @ before / power, -0.95, 0.95)) if power > 0 else 0.0
+    noise = float(np.std(after - phi * before)) if len(before) else float(np.nanstd(r))
+    last = int(np.flatnonzero(np.isfinite(r))[-1])
+    steps = np.arange(1, h + 1) + (len(r) - 1 - last)
+    spread = np.cumsum(phi ** (2 * np.arange(steps[-1])))
+    return mean + r[last] * phi**steps, noise * np.sqrt(spread[steps - 1])
 
 
 def _season_naive(y, h):
+    """Latest known value of the same month of the year."""
     if len(y) < 13:
         raise ValueError("less than 13 months")
-    sd = float(np.std(y[12:] - y[:-12]))
-    k = np.arange(h)
-    return y[-12:][k % 12], sd * np.sqrt(k // 12 + 1)
+    change = y[12:] - y[:-12]
+    sd = float(np.std(change[np.isfinite(change)])) if np.isfinite(change).any() else float(np.nanstd(y))
+    mean, years = np.full(h, np.nan), np.zeros(h)
+    for k in range(h):
+        at = len(y) + k
+        earlier = np.arange(at - 12, -1, -12)
+        earlier = earlier[earlier < len(y)]
+        seen = earlier[np.isfinite(y[earlier])]
+        if len(seen):
+            mean[k], years[k] = y[seen[0]], (at - seen[0]) // 12
+    return mean, sd * np.sqrt(years)
 
 
 def _smoothing(y, h):
-    """Additive Holt-Winters, weights by a small grid search."""
-    if len(y) < 24:
+    """Additive Holt-Winters, weights by a small grid search. A month without
+    a value leaves level and season as expected."""
+    if len(y) < 24 or not np.isfinite(y[:12]).any() or not np.isfinite(y[12:24]).any():
         raise ValueError("less than 24 months")
     best = None
+    first, second = np.nanmean(y[:12]), np.nanmean(y[12:24])
     for alpha in (0.1, 0.3, 0.6):
         for beta in (0.0, 0.1):
             for gamma in (0.05, 0.3):
-                level, trend = y[:12].mean(), (y[12:24].mean() - y[:12].mean()) / 12
-                season, errors = list(y[:12] - level), []
+                level, trend = first, (second - first) / 12
+                season, errors = list(np.nan_to_num(y[:12] - level)), []
                 for i, v in enumerate(y):
                     s = season[i % 12]
+                    if not np.isfinite(v):
+                        errors.append(np.nan)
+                        level += trend
+                        continue
                     errors.append(v - level - trend - s)
                     new = alpha * (v - s) + (1 - alpha) * (level + trend)
                     trend = beta * (new - level) + (1 - beta) * trend
                     season[i % 12] = gamma * (v - new) + (1 - gamma) * s
                     level = new
-                sse = float(np.sum(np.square(errors[12:])))
+                sse = float(np.nansum(np.square(errors[12:])))
                 if best is None or sse < best[0]:
                     ahead = [level + (k + 1) * trend + season[(len(y) + k) % 12] for k in range(h)]
-                    best = (sse, np.array(ahead), float(np.std(errors[12:])), alpha)
+                    best = (sse, np.array(ahead), float(np.nanstd(errors[12:])), alpha)
     _, mean, sd, alpha = best
     return mean, sd * np.sqrt(1 + np.arange(h) * alpha**2)
 
 
 def _fit_series(keys, cut, horizon, models, transform, covariate):
     cut = pd.Timestamp(cut)
+    ahead = pd.Series(pd.date_range(cut, periods=horizon, freq="MS"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("Month")
+        """The series is laid out by month from its first value to the cut, with
+        gaps kept: months without a value are NaN, at the end as well."""
         month = pd.to_datetime(pdf["Month"])
-        train = pdf[(month < cut) & pdf["total"].notna()]
-        ahead = pd.Series(pd.date_range(cut, periods=horizon, freq="MS"))
+        seen = pdf.assign(_month=month)[(month < cut) & pdf["total"].notna()].drop_duplicates("_month", keep="last")
         out = []
         for m in models:
             head = {k: [pdf[k].iloc[0]] * horizon for k in keys}
             try:
-                y = train["total"].to_numpy(dtype=float)
-                if len(y) < 3:
+                if len(seen) < 3:
                     raise ValueError("too few values")
+                tm = pd.Series(pd.date_range(seen["_month"].min(), cut - pd.DateOffset(months=1), freq="MS"))
+                y = seen.set_index("_month")["total"].astype(float).reindex(tm).to_numpy()
                 y = {"log1p": np.log1p, "sqrt": lambda v: 2 * (np.sqrt(v) - 1)}.get(transform, lambda v: v)(y)
-                tm = pd.to_datetime(train["Month"])
                 t = ((tm - cut).dt.days / 30.4375).to_numpy()
                 tf = ((ahead - cut).dt.days / 30.4375).to_numpy()
                 x = xf = None
                 if covariate is not None:
-                    by_month = pdf.set_index(month)[covariate].astype(float)
+                    by_month = pdf.assign(_month=month).drop_duplicates("_month", keep="last").set_index("_month")[covariate].astype(float)
                     known = by_month.groupby(by_month.index.month).mean()
-                    x = train[covariate].fillna(tm.dt.month.map(known)).to_numpy(dtype=float)
-                    xf = by_month.reindex(ahead).fillna(pd.Series(ahead.dt.month.map(known).to_numpy(), index=ahead))
-                    xf = xf.to_numpy(dtype=float)
+                    x, xf = (by_month.reindex(d).fillna(pd.Series(d.dt.month.map(known).to_numpy(), index=d)).to_numpy(dtype=float) for d in (tm, ahead))
                 if m in ("a", "t"):
                     args = (y, _design(tm, t, x), _design(ahead, tf, xf), horizon)
                     mean, sd = _autoregression(*args) if m == "a" else _trend_season(*args)

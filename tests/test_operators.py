@@ -343,6 +343,18 @@ def test_trend_season_recovers_an_exact_series(spark):
     assert np.allclose(got["mean"], v[36:], atol=1.0)
 
 
+@pytest.mark.parametrize("gap", [[], [30], [30, 47], [0, 13, 44, 45, 46]])
+def test_models_keep_their_months_over_gaps(spark, gap):
+    level = [100.0 + 10 * (i % 12) for i in range(48)]
+    values = [None if i in gap else v for i, v in enumerate(level)]
+    d = series(spark, values).select("orgUnit", "Month", F.col("original").cast("double").alias("total"))
+    for rows in (d, d.filter("total IS NOT NULL")):
+        got = forecast.fit_forecast(rows, ["orgUnit"], month(48), 12).toPandas()
+        assert (got.status == "ok").all()
+        for m in "aest":
+            assert np.allclose(got[got.model == m].sort_values("Month")["mean"], level[:12], atol=3.0 if m == "e" else 1e-6)
+
+
 def test_density_interval(spark):
     x = [float(i) for i in (0, 1, 2, 3, 4, 5, 6, 7, 8, 50)]
     d = spark.createDataFrame([("m", v) for v in x], "model string, v double")
