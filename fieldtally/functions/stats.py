@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .joins import lookup
 
 # Scale of the median absolute deviation for a normal law, and
 # the two normal quantiles used for intervals.
@@ -67,27 +68,22 @@ def _null_safe(keys: list[str], extra: list | None = None) -> Column:
     return reduce(lambda a, b: a & b, conds)
 
 
-def lookup(table: DataFrame, key: str | Column, value: str | Column) -> Column:
-    """A short table with one row per key as a map that every row can look into.
-
-    For keys of which there are few by nature (years, settings, elements): joining a
-    large table on them would send each key's rows to one task.
-    """
-    key = F.col(key) if isinstance(key, str) else key
-    return table.filter(key.isNotNull()).agg(F.map_from_entries(F.collect_list(F.struct(key, value)))).scalar()
-
-
 def running_totals(
-    df: DataFrame, keys: list[str], value: str, weight: Column, order: list[str], pieces: int = 64
+    df: DataFrame, keys: list[str], value: str, weight: Column, order: list[str], pieces: int | None = None
 ) -> DataFrame:
     """Add ``_end``, the running sum of ``weight`` in the order of ``value``
     (then ``order``) within each group, and ``_total``.
 
     A plain window would sort a whole group in one task. Groups are cut into
-    ``pieces`` value ranges of similar size by an approximate sketch; sums run
-    inside each range and are shifted by the sums of the ranges before it, so
-    the result is exact and the largest sort is about one piece.
+    ``pieces`` value ranges of similar size by an approximate sketch (as many as
+    the session has shuffle partitions, if not given); sums run inside each range
+    and are shifted by the sums of the ranges before it, so the result is exact and
+    the largest sort is about one piece. Without ``keys`` the ranges and
+    their sums are short lists that rows look into.
     """
+    pieces = pieces or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if not keys:
+        return _running_totals_of_all(df, value, weight, order, pieces)
     cuts = df.groupBy(*keys).agg(
         F.array_distinct(
             F.percentile_approx(
@@ -122,6 +118,25 @@ def running_totals(
     )
 
 
+def _running_totals_of_all(df: DataFrame, value: str, weight: Column, order: list[str], pieces: int) -> DataFrame:
+    at = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
+    cuts = df.agg(F.array_distinct(F.percentile_approx(value, at, F.lit(10 * pieces)))).scalar()
+    placed = df.withColumn("_w", weight).withColumn("_cuts", cuts)
+    placed = placed.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    one_row_per_piece = W.partitionBy(F.lit(1))
+    sizes = placed.groupBy("_b").agg(F.sum("_w").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(one_row_per_piece.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_b", before.alias("_before"), F.sum("_n").over(one_row_per_piece).alias("_total"))
+    shifts = lookup(sizes, "_b", F.struct("_before", "_total"))
+    inside = W.partitionBy("_b").orderBy(value, *order).rowsBetween(W.unboundedPreceding, 0)
+    return (
+        placed.withColumn("_shift", F.try_element_at(shifts, F.col("_b")))
+        .withColumn("_end", F.col("_shift._before") + F.sum("_w").over(inside))
+        .withColumn("_total", F.col("_shift._total"))
+        .drop("_shift", "_b")
+    )
+
+
 def exact_quantiles(
     df: DataFrame,
     group_cols: list[str],
@@ -136,10 +151,9 @@ def exact_quantiles(
     task; here values are counted first and ranked piecewise. ``count``
     names a column of counts where the values are counted already.
     """
-    keys = group_cols or ["_all"]
-    base = df if group_cols else df.withColumn("_all", F.lit(1))
+    keys = group_cols
     counts = (
-        base.filter(F.col(value).isNotNull())
+        df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg((F.sum(count) if count else F.count(F.lit(1))).alias("_c"))
     )
@@ -152,8 +166,7 @@ def exact_quantiles(
         v_lo, v_hi = F.max(F.when(hit(lo), F.col("_v"))), F.max(F.when(hit(hi), F.col("_v")))
         frac = F.max(h - lo)
         aggs.append((v_lo + (v_hi - v_lo) * frac).alias(name))
-    out = ranked.groupBy(*keys).agg(*aggs)
-    return out if group_cols else out.drop("_all")
+    return ranked.groupBy(*keys).agg(*aggs)
 
 
 def dense_index(df: DataFrame, group_cols: list[str], order_col: str, name: str) -> DataFrame:

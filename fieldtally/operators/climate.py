@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.joins import lookup, with_dictionary
+
 # Fixed value: pixel values below this mean no data.
 NO_DATA_BELOW = -9000.0
 
@@ -126,9 +128,8 @@ def attach_rainfall(facts: DataFrame, rain: DataFrame, area_col: str) -> DataFra
     by_area = rain.select(
         F.col("name").alias(area_col), F.col("year").alias("_y"), F.col("month").alias("_m"), "mean_rain"
     )
-    national = rain.groupBy(F.col("year").alias("_y"), F.col("month").alias("_m")).agg(
-        F.avg("mean_rain").alias("_nat")
-    )
+    national = rain.groupBy((F.col("year") * 12 + F.col("month")).alias("_at")).agg(F.avg("mean_rain").alias("_nat"))
+    national = lookup(national, "_at", "_nat")
     keyed = facts.withColumns({"_y": F.year("Month"), "_m": F.month("Month")})
     seen = keyed.select(area_col, "_y", "_m").distinct()
     n_match = (
@@ -137,8 +138,8 @@ def attach_rainfall(facts: DataFrame, rain: DataFrame, area_col: str) -> DataFra
         .scalar()
     )
     return (
-        keyed.join(by_area, [area_col, "_y", "_m"], "left")
-        .join(national, ["_y", "_m"], "left")
+        with_dictionary(keyed, by_area, [area_col, "_y", "_m"])
+        .withColumn("_nat", F.try_element_at(national, F.col("_y") * 12 + F.col("_m")))
         .withColumn("mean_rain", F.when(n_match > 0, F.col("mean_rain")).otherwise(F.col("_nat")))
         .drop("_y", "_m", "_nat")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import periods
+from ..functions.joins import with_dictionary
 from ..sources.staging import settle
 
 LIST_SEPARATOR = r" ;\n "
@@ -36,11 +37,8 @@ def attach_formula(data: DataFrame, formula: DataFrame, order_by: list[str]) ->
     d = data.withColumnRenamed("dataElement", "dataElement_id").withColumnRenamed(
         "categoryOptionCombo", "categoryOptionCombo_ids"
     )
-    cond = (F.col("d.dataElement_id") == F.col("m.dataElement_id")) & F.col(
-        "d.categoryOptionCombo_ids"
-    ).eqNullSafe(F.col("m._cat"))
-    extra = [c for c in dim.columns if c not in ("dataElement_id", "_cat")]
-    return d.alias("d").join(dim.alias("m"), cond, "left").select("d.*", *[F.col(f"m.{c}") for c in extra])
+    dim = dim.filter(F.col("dataElement_id").isNotNull()).withColumnRenamed("_cat", "categoryOptionCombo_ids")
+    return with_dictionary(d, dim, ["dataElement_id", "categoryOptionCombo_ids"], "orgUnit", null_safe=True)
 
 
 def expand_categories(categories: DataFrame, separator: str = LIST_SEPARATOR) -> DataFrame:
@@ -63,11 +61,11 @@ def attach_names(data: DataFrame, elements: DataFrame, categories: DataFrame) ->
         ["categoryOptionCombo_id"],
         ["Category"],
     ).withColumnRenamed("categoryOptionCombo_id", "categoryOptionCombo_ids")
-    return (
-        data.withColumnRenamed("dataElement", "dataElement_id")
-        .withColumnRenamed("categoryOptionCombo", "categoryOptionCombo_ids")
-        .join(el, "dataElement_id", "left")
-        .join(cat, "categoryOptionCombo_ids", "left")
+    data = data.withColumnRenamed("dataElement", "dataElement_id").withColumnRenamed(
+        "categoryOptionCombo", "categoryOptionCombo_ids"
+    )
+    return with_dictionary(
+        with_dictionary(data, el, ["dataElement_id"], "orgUnit"), cat, ["categoryOptionCombo_ids"], "orgUnit"
     )
 
 
@@ -188,7 +186,7 @@ def prepare(
     if "categoryOptionCombo" not in raw.columns:
         raw = raw.withColumn("categoryOptionCombo", F.lit(None).cast("string"))
     named = attach_names(raw.filter(F.col("SUM").isNotNull()), elements, categories)
-    placed = named.join(datasets_per_element(dataset_elements), "dataElement_id", "left").join(
+    placed = with_dictionary(named, datasets_per_element(dataset_elements), ["dataElement_id"], "orgUnit").join(
         tree, "orgUnit", "left"
     )
     leaves = effective_leaf(placed)

@@ -244,8 +244,8 @@ def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
 
     Values are counted first and ranked piecewise, so no task sorts all rows.
     """
-    counts = df.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_all", F.lit(1))
-    r = stats.running_totals(counts, ["_all"], "_v", F.col("_c"), [])
+    counts = df.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    r = stats.running_totals(counts, [], "_v", F.col("_c"), [])
     return r.select(F.col("_v").alias(value), (F.col("_end") - (F.col("_c") - 1) / 2).alias(name))
 
 

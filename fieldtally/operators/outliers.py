@@ -24,6 +24,7 @@ from ..functions.flags import (
     present,
     with_error_label,
 )
+from ..functions.joins import lookup
 from ..functions.periods import period_column
 
 SERIES = ["orgUnit", "data_id"]
@@ -53,7 +54,7 @@ def key_entry_values(df: DataFrame, by: str = "dataElement") -> DataFrame:
     )
     w = W.partitionBy(by).orderBy(F.desc("n"), F.asc("original"))
     top = counts.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= 10)
-    limits = stats.lookup(top.groupBy(by).agg(F.median("n").alias("m")), by, "m")
+    limits = lookup(top.groupBy(by).agg(F.median("n").alias("m")), by, "m")
     return counts.withColumn("_m", limits).filter(F.col("n") > 3 * F.try_element_at("_m", F.col(by))).select(by, "original")
 
 
@@ -130,7 +131,7 @@ def mad_flags(
     repeated = key_entry if key_entry is not None else key_entry_values(df, element)
     # More than three times the median of the ten highest counts: at most five
     # values per element, so this is a short list on a dictionary-sized table.
-    lists = stats.lookup(repeated.groupBy(element).agg(F.collect_set("original").alias("_bad")), element, "_bad")
+    lists = lookup(repeated.groupBy(element).agg(F.collect_set("original").alias("_bad")), element, "_bad")
     out = df.withColumn("_bad", F.try_element_at(lists, F.col(element)))
     known = F.col("original").isNotNull()
     capped = F.col("data").rlike(STOCK_WORD) & F.col("data").rlike(STOCK_OUT_WORD) & F.col("effectiveLeaf")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats, text
 from ..functions.flags import FLAG_ORDER, any_set, present
+from ..functions.joins import lookup
 from ..functions.periods import period_column
 
 RULES = ("any_data", "any_selected", "all_elements", "all_categories")
@@ -76,7 +77,7 @@ def champions(
         .groupBy(F.year(period).alias("year"))
         .agg(F.count(F.lit(1)).alias("periods"))
     )
-    periods = stats.lookup(per_year, "year", "periods")
+    periods = lookup(per_year, "year", "periods")
     return (
         per_facility.withColumn("_periods", periods)
         .groupBy("orgUnit")
@@ -144,7 +145,7 @@ def champion_grid(df: DataFrame, settings: list[dict], period: str | None = None
         .groupBy("setting")
         .agg(F.countDistinct("u").alias("n_found"))
     )
-    years, found = stats.lookup(years, "setting", "calendar"), stats.lookup(found, "setting", "n_found")
+    years, found = lookup(years, "setting", "calendar"), lookup(found, "setting", "n_found")
     needed = (
         F.when(F.col("rule") == "all_categories", F.col("n_cats"))
         .when(F.col("rule") == "all_elements", F.try_element_at("_found", F.col("setting")))
@@ -328,7 +329,7 @@ def _yearly_consistent(months: DataFrame, missing_reports: int, drop_last: bool)
     keys = [c for c in months.columns if c not in ("Month", "has")]
     per_facility = rows.groupBy(*keys, F.year("Month").alias("Year")).agg(F.count(F.lit(1)).alias("reports"))
     per_year = rows.groupBy(F.year("Month").alias("Year")).agg(F.countDistinct("Month").alias("periods"))
-    periods = stats.lookup(per_year, "Year", "periods")
+    periods = lookup(per_year, "Year", "periods")
     return (
         per_facility.withColumn("_periods", periods)
         .filter(F.col("reports") >= F.try_element_at("_periods", F.col("Year")) - missing_reports)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.flags import is_set
+from ..functions.joins import lookup
 from ..functions.periods import period_column
 from . import reporting
 from .conform import fill_gaps
@@ -188,11 +189,13 @@ def trend_data(
         out = out.join(medians, [*at, period], "left")
     out = out.withColumn("grouping_var", F.col(split) if split else F.lit("Total"))
     if scale:
-        sums = out.groupBy("grouping_var").agg(F.avg("total").alias("_m"), F.stddev_samp("total").alias("_s"))
+        sums = out.groupBy("grouping_var").agg(F.avg("total").alias("m"), F.stddev_samp("total").alias("s"))
+        scale_of = lookup(sums, "grouping_var", F.struct("m", "s"))
         out = (
-            out.join(sums, "grouping_var")
-            .withColumn("total", F.try_divide(F.col("total") - F.col("_m"), "_s") + 1)
-            .drop("_m", "_s")
+            out.filter(F.col("grouping_var").isNotNull())
+            .withColumn("_of", F.try_element_at(scale_of, F.col("grouping_var")))
+            .withColumn("total", F.try_divide(F.col("total") - F.col("_of.m"), F.col("_of.s")) + 1)
+            .drop("_of")
         )
     return out
 
