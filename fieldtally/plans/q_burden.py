@@ -11,7 +11,7 @@ from .q_metadata import geo
 from .q_reporting import champs
 from .registry import query
 
-N = 40
+N = 1000
 TARGETS = ["Cases A_F", "Cases R_O"]
 ATTEND = "Cases N_O"
 TESTED = "Cases N_F"
