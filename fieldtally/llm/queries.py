@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, mixing, outliers, pii, quality, rollups, secrets, simhash, toxicity, urls
-from .shared import fresh_path, table
+from .shared import fresh_path, stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,21 +61,23 @@ def op7_mixing(spark: SparkSession, sf: str) -> DataFrame:
 
 def op8_token_rollup(spark: SparkSession, sf: str) -> DataFrame:
     """Three batches: all documents; revisions of texts that repeat a line to ones
-    that do not; removal of documents labelled toxic. Each is sent twice."""
+    that do not; removal of documents labelled toxic. Two of them are sent twice."""
     docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
     lines = F.split("text", "\n", -1)
-    single = F.array_join(F.array_distinct(lines), "\n")
-    changed = F.size(F.array_distinct(lines)) < F.size(lines)
-    inserts = docs.select(F.lit("insert").alias("op"), "source", "lang", "text", F.lit(None).cast("string").alias("old_text"))
-    revised = docs.where(changed).select(F.lit("revise").alias("op"), "source", "lang", single.alias("text"), F.col("text").alias("old_text"))
+    docs = docs.withColumn("single", F.array_join(F.array_distinct(lines), "\n"))
+    docs = docs.withColumn("changed", F.coalesce(F.char_length("single") < F.char_length("text"), F.lit(False)))
+    sides = F.array(F.struct(F.lit(False).alias("new"), F.col("text")), F.when(F.col("changed"), F.struct(F.lit(True).alias("new"), F.col("single").alias("text"))))
+    sides = docs.select("doc_id", "source", "lang", "changed", F.explode(F.array_compact(sides)).alias("side")).select("doc_id", "source", "lang", "changed", "side.*")
+    # Counts are kept by document: later batches find theirs without the texts.
+    counts = stored(rollups.counted(sides, ["doc_id", "source", "lang", "changed", "new"]), "token-counts")
     toxic = table(spark, sf, "labels").where("toxic = 1").select("doc_id").distinct()
-    gone = docs.join(toxic, "doc_id", "left_semi").select(
-        F.lit("delete").alias("op"), "source", "lang", F.when(changed, single).otherwise(F.col("text")).alias("text"), F.lit(None).cast("string").alias("old_text")
-    )
+    load = counts.where(~F.col("new")).withColumn("sign", F.lit(1))
+    revise = counts.where("changed").withColumn("sign", F.when(F.col("new"), 1).otherwise(-1))
+    remove = counts.where(F.col("changed") == F.col("new")).join(toxic, "doc_id", "left_semi").withColumn("sign", F.lit(-1))
     store = fresh_path(spark, "token-rollup")
     rollups.create(spark, store)
-    for batch, changes in (("load", inserts), ("revise", revised), ("load", inserts), ("remove", gone), ("revise", revised)):
-        rollups.commit(store, batch, changes)
+    for batch, changes in (("load", load), ("revise", revise), ("load", load), ("remove", remove), ("revise", revise)):
+        rollups.commit_counts(store, batch, changes)
     return rollups.totals(spark, store)
 
 

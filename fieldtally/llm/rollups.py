@@ -3,7 +3,8 @@
 A batch of changes inserts, deletes or revises documents. Each change is turned into
 signed counts for every tokenizer (a revision takes the old text's count away and adds
 the new one's), summed by source, language and tokenizer version, and written as
-that batch's delta. Totals are the sum of the deltas of all committed batches.
+that batch's delta. A feed brings texts, or counts that were kept by document: then
+deletes need ids only, and no text is shuffled to find them. Totals are the sum of the deltas of all committed batches.
 
 A commit is one small row, written after the delta is complete. Totals take the first
 committed attempt of each batch and nothing else, so a batch that is sent again, or
@@ -71,11 +72,13 @@ def signed(changes: DataFrame) -> DataFrame:
     return changes.select("source", "lang", F.explode(sides).alias("side")).select("source", "lang", "side.sign", "side.text")
 
 
-def counted(rows: DataFrame, tokenizers=TOKENIZERS, folder: str = TOKENIZER_DIR) -> DataFrame:
-    """source, lang, sign and one count for each tokenizer, t0, t1, ..."""
-    slim = rows.select("source", "lang", F.col("sign").cast("int").alias("sign"), F.col("text").cast("binary").alias("text"))
+def counted(rows: DataFrame, keep: list[str], tokenizers=TOKENIZERS, folder: str = TOKENIZER_DIR) -> DataFrame:
+    """``keep`` columns and one count of the text for each tokenizer, t0, t1, ..."""
+    slim = rows.select(*keep, F.col("text").cast("binary").alias("text"))
     names = list(tokenizers)
-    schema = "source string, lang string, sign int, " + ", ".join(f"t{k} long" for k in range(len(names)))
+    schema = slim.drop("text").schema
+    for k in range(len(names)):
+        schema = schema.add(f"t{k}", "long")
 
     def count(parts):
         encoders = [encoder(n, folder) for n in names]
@@ -83,16 +86,16 @@ def counted(rows: DataFrame, tokenizers=TOKENIZERS, folder: str = TOKENIZER_DIR)
             for rows_, texts in batches(batch):
                 here = batch.slice(rows_.start, len(texts))
                 made = [pa.array([e(t) for t in texts], pa.int64()) for e in encoders]
-                yield pa.RecordBatch.from_arrays([here.column(c) for c in ("source", "lang", "sign")] + made, ["source", "lang", "sign", *[f"t{k}" for k in range(len(names))]])
+                yield pa.RecordBatch.from_arrays([here.column(c) for c in keep] + made, schema.fieldNames())
 
     return slim.mapInArrow(count, schema)
 
 
-def delta(changes: DataFrame, tokenizers=TOKENIZERS, folder: str = TOKENIZER_DIR) -> DataFrame:
-    """What a batch adds to the totals, by source, lang and tokenizer."""
-    rows = counted(signed(changes), tokenizers, folder)
+def delta(rows: DataFrame, tokenizers=TOKENIZERS) -> DataFrame:
+    """What counted changes (source, lang, sign, t0, t1, ...) add to the totals, by
+    source, lang and tokenizer."""
     sums = rows.groupBy("source", "lang").agg(
-        F.sum("sign").cast("long").alias("n_docs"), *[F.sum(F.col("sign") * F.col(f"t{k}")).alias(f"t{k}") for k in range(len(tokenizers))]
+        F.sum(F.col("sign").cast("long")).alias("n_docs"), *[F.sum(F.col("sign") * F.col(f"t{k}")).alias(f"t{k}") for k in range(len(tokenizers))]
     )
     each = F.array(*[F.struct(F.lit(n).alias("tokenizer"), F.col(f"t{k}").alias("n_tokens")) for k, n in enumerate(tokenizers)])
     return sums.select("source", "lang", "n_docs", F.explode(each).alias("t")).select("source", "lang", "t.tokenizer", "n_docs", "t.n_tokens")
@@ -109,12 +112,18 @@ def commits(spark: SparkSession, store: str) -> DataFrame:
 
 
 def commit(store: str, batch_id: str, changes: DataFrame, tokenizers=TOKENIZERS, folder: str = TOKENIZER_DIR) -> bool:
-    """Add a batch; False if it had been committed before (then nothing is counted)."""
-    spark = changes.sparkSession
+    """Add a batch of changes with texts; False if it had been committed before
+    (then nothing is counted)."""
+    return commit_counts(store, batch_id, counted(signed(changes), ["source", "lang", "sign"], tokenizers, folder), tokenizers)
+
+
+def commit_counts(store: str, batch_id: str, rows: DataFrame, tokenizers=TOKENIZERS) -> bool:
+    """The same for changes that are counted already: source, lang, sign, t0, t1, ..."""
+    spark = rows.sparkSession
     if commits(spark, store).where(F.col("batch_id") == batch_id).limit(1).count():
         return False
     attempt = uuid.uuid4().hex
-    delta(changes, tokenizers, folder).write.parquet(f"{store}/deltas/attempt={attempt}")
+    delta(rows, tokenizers).write.parquet(f"{store}/deltas/attempt={attempt}")
     row = spark.createDataFrame([(batch_id, attempt, time.time_ns())], COMMITS)
     row.coalesce(1).write.mode("append").parquet(f"{store}/commits")
     return True

@@ -229,7 +229,8 @@ def test_rollups(spark, odd):
     assert rollups.commit(store, "2", two) and not rollups.commit(store, "2", two)
     assert rollups.commit(store, "3", one.limit(0))
     # An attempt that never committed, and one of a batch that had been.
-    rollups.delta(one).write.parquet(f"{store}/deltas/attempt=lost")
+    rows = rollups.counted(rollups.signed(one), ["source", "lang", "sign"])
+    rollups.delta(rows).write.parquet(f"{store}/deltas/attempt=lost")
     got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in rollups.totals(spark, store).collect()}
     assert got["a", "en", "words:1"] == (1, 1) and got["a", None, "words:1"] == (1, 0) and got["b", "en", "words:1"] == (0, 0)
     assert got["a", "en", "byte_bpe_50k:1"] == (1, 1)
