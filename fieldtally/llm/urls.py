@@ -109,7 +109,8 @@ def mined(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confide
 def indexed(rules: DataFrame, pages: DataFrame) -> DataFrame:
     """token, rules: the inverted index, each rule at the token fewest pages have."""
     members = rules.select(F.explode("antecedent").alias("token")).distinct()
-    counts = pages.select(F.explode("tokens").alias("token")).join(members, "token", "left_semi").groupBy("token").count()
+    # Counted before they meet the rules: a token that most pages have is one row then.
+    counts = pages.select(F.explode("tokens").alias("token")).groupBy("token").count().join(members, "token", "left_semi")
     places = rules.select("*", F.explode("antecedent").alias("token")).join(counts, "token")
     placed = places.groupBy("antecedent", "verdict", "confidence", "support").agg(F.min_by("token", F.struct("count", "token")).alias("token"))
     return placed.groupBy("token").agg(F.collect_list(F.struct("confidence", "support", "verdict", "antecedent")).alias("rules"))
