@@ -340,9 +340,9 @@ def choose_model(accuracy: DataFrame, how: str = "synchronize", groups: list[str
     if how == "optimize":
         return rank_models(accuracy, "swape", groups).filter("rank = 1").select(*(groups or []), "model")
     means = accuracy.groupBy("model").agg(F.avg("swape").alias("mean"))
-    lowest = means.agg(F.min("mean")).scalar()
-    best = means.filter(F.col("mean") == lowest).select("model")
-    return accuracy.join(best, "model", "left_semi").select(*(groups or []), "model").distinct()
+    # Picked in one aggregation: means computed twice may differ in their last digit.
+    best = means.agg(F.min_by("model", F.struct("mean", "model"))).scalar()
+    return accuracy.filter(F.col("model") == best).select(*(groups or []), "model").distinct()
 
 
 def best_per_group(drawn: DataFrame, accuracy: DataFrame, groups: list[str]) -> DataFrame:
