@@ -24,11 +24,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import batches
-from .shared import stored
+from .shared import stored, whole
 
 SHINGLE = 3
 BUDGET = 3
@@ -60,18 +60,19 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every document."""
+def fingerprints(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) and ``keep`` (long columns) of every document."""
+    names = ["doc_id", *(keep or [])]
 
     def made(parts):
         for batch in parts:
             for rows, texts in batches(batch):
                 here = batch.slice(rows.start, len(texts))
                 fp = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([here.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*[here.column(c) for c in names], pa.array(fp)], [*names, "fp"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return slim.mapInArrow(made, "doc_id long, fp long")
+    slim = docs.select(*[F.col(c).cast("long").alias(c) for c in names], F.col("text").cast("binary").alias("text"))
+    return slim.mapInArrow(made, ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
 def _forest(a: np.ndarray, b: np.ndarray, parent: np.ndarray) -> tuple[list[int], list[int]]:
@@ -246,12 +247,29 @@ def dedup_classes(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id is the smallest of their component.
+    """One row of each component: of the smallest doc_id (null last), then the smallest text hash.
 
-    Rows that share a doc_id are one document, of which one row stays; rows
-    without a doc_id share a null one.
+    Rows are told apart by doc_id and text, so different texts that share a doc_id, or
+    have none, are documents of their own. Of rows that repeat both, one stays.
     """
-    # A class without any doc_id is named by the null one.
-    keep = dedup_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = keep.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    prints = fingerprints(docs.select("doc_id", "text", text_key(docs).alias("text_key")), ["text_key"])
+    distinct = stored(prints.groupBy("fp").agg(first_row().alias("first")), "distinct-fingerprints")
+    return rows_of_components(docs, distinct, "fp", components(links(distinct.select("fp"))))
+
+
+def text_key(docs: DataFrame) -> Column:
+    return F.xxhash64(whole(docs["text"]))
+
+
+def first_row() -> Column:
+    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
+
+
+def rows_of_components(docs: DataFrame, distinct: DataFrame, key: str, roots: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are first in their component; ``distinct`` has a key's first row."""
+    rooted = distinct.join(roots, distinct[key] == roots.node, "left").select(F.coalesce("root", key).alias("root"), "first")
+    keep = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_doc"), F.col("first.text_key").alias("_key"))
+    keep = stored(keep, "kept")
+    marked = docs.withColumn("_row_key", text_key(docs))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_row_key") == F.col("_key"))
+    return marked.join(keep, on, "left_semi").dropDuplicates(["doc_id", "_row_key"]).drop("_row_key")

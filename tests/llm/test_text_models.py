@@ -2,6 +2,7 @@
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -181,6 +182,14 @@ def test_one_of_each(spark, odd):
     assert simhash.one_of_each(odd.limit(0)).count() == 0
 
 
+def test_one_of_each_decides_by_row(spark):
+    texts = [" ".join(f"{w}{i}" for i in range(40)) for w in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (0, texts[3]), (1, texts[4]), (1, texts[3]), (1, texts[4]), (None, texts[4])]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (0, texts[3]), (1, texts[4])]
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(want)
+
+
 def plain_scan(text, items, window=13):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     hit, found = set(), set()
