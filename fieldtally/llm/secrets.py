@@ -5,7 +5,7 @@ reported. Other parts of a credential are weak candidates: identifiers such as
 ``client_id = ...``, endpoints, and opaque tokens of mixed characters. On its own
 none of them is evidence; it is reported only where complementary parts stand within
 ``SCOPE`` code points of it: a token with an identifier or an endpoint, an identifier or
-endpoint with a secret.
+endpoint with a secret. Distances are between starts; a part longer than a scope counts at its end as well.
 
 The interval join runs on scopes: the text is cut into bins as wide as a scope, and
 the parts of one role are summed up for each bin to their first and last place. A
@@ -36,10 +36,10 @@ ASSIGN = (
 _ASSIGN_HEAD = r"^[A-Za-z_]+[\"']?\x20*[:=]\x20*[\"']?"
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"[0-9a-f]{24,}+"
-IDENTIFIER = r"(?<![A-Za-z0-9])(?i:client_?id|access_?id|key_?id|user_?name|user|login|account)[\"']?\x20*+[:=]\x20*+[\"']?[A-Za-z0-9@._-]{3,64}"
-ENDPOINT = r"(?<![A-Za-z0-9])(?:https?|jdbc|postgres|mysql|redis|amqp|s3)://[A-Za-z0-9._:/@-]{4,200}"
+IDENTIFIER = r"(?<![A-Za-z0-9])(?i:client_?id|access_?id|key_?id|user_?name|user|login|account)[\"']?\x20*+[:=]\x20*+[\"']?[A-Za-z0-9@._-]{3,}+"
+ENDPOINT = r"(?<![A-Za-z0-9])(?:https?|jdbc|postgres|mysql|redis|amqp|s3)://[A-Za-z0-9._:/@-]{4,}+"
 # At least 20 characters with a capital, a small letter and a digit: what keys look like and words do not.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,199}[0-9])(?=[a-z0-9+/_-]{0,199}[A-Z])(?=[A-Z0-9+/_-]{0,199}[a-z])[A-Za-z0-9+/_-]{20,200}+={0,2}(?![A-Za-z0-9+/_=-])"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"
 SCOPE = 256
 # Which roles make a candidate of a role worth reporting.
 COMPLEMENTS = {"token": ("identifier", "endpoint"), "identifier": ("secret",), "endpoint": ("secret",)}
@@ -85,20 +85,26 @@ def linked(table: DataFrame) -> DataFrame:
     key = ["doc_id", "text_key"]
     weak = F.concat(*[_listed(k, F.col(k)) for k in WEAK])
     some = table.where(F.size(weak) > 0).select(*key, weak.alias("weak"), F.concat(*[F.col(k) for k in KINDS]).alias("base"), "access").distinct()
-    candidates = some.select(*key, F.explode("weak").alias("c")).select(*key, "c.*").withColumn("bin", F.floor(F.col("start") / SCOPE))
-    parts = some.select(*key, F.explode("base").alias("c")).select(*key, F.lit("secret").alias("role"), "c.start")
+
+    def placed(spans: str) -> DataFrame:
+        """Spans with the places ``at`` from which they reach: the start, and the end of one longer than a scope."""
+        rows = some.select(*key, F.explode(spans).alias("c")).select(*key, "c.*")
+        return rows.withColumn("at", F.explode(F.array_compact(F.array("start", F.when(F.col("end") - F.col("start") > SCOPE, F.col("end"))))))
+
+    candidates = placed("weak").withColumn("bin", F.floor(F.col("at") / SCOPE))
+    parts = placed("base").select(*key, F.lit("secret").alias("role"), "at")
     # An access id is an identifier as well.
-    parts = parts.unionByName(some.select(*key, F.explode("access").alias("c")).select(*key, F.lit("identifier").alias("role"), "c.start"))
-    parts = parts.unionByName(candidates.select(*key, F.when(F.col("kind") == "token", "secret").otherwise(F.col("kind")).alias("role"), "start"))
-    bins = parts.withColumn("bin", F.floor(F.col("start") / SCOPE)).groupBy(*key, "role", "bin").agg(F.min("start").alias("lo"), F.max("start").alias("hi"))
+    parts = parts.unionByName(placed("access").select(*key, F.lit("identifier").alias("role"), "at"))
+    parts = parts.unionByName(candidates.select(*key, F.when(F.col("kind") == "token", "secret").otherwise(F.col("kind")).alias("role"), "at"))
+    bins = parts.withColumn("bin", F.floor(F.col("at") / SCOPE)).groupBy(*key, "role", "bin").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
     near = bins.select(*key, "role", "lo", "hi", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
     a, b = candidates.alias("a"), near.alias("b")
     fits = F.lit(False)
     for kind, roles in COMPLEMENTS.items():
         fits = fits | ((F.col("a.kind") == kind) & F.col("b.role").isin(*roles))
     on = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_key") == F.col("b.text_key")) & (F.col("a.bin") == F.col("b.bin")) & fits
-    reach = F.least(F.abs(F.col("a.start") - F.col("b.lo")), F.abs(F.col("a.start") - F.col("b.hi"))) <= SCOPE
-    between = (F.col("b.lo") <= F.col("a.start")) & (F.col("b.hi") >= F.col("a.start"))  # parts of the own bin
+    reach = F.least(F.abs(F.col("a.at") - F.col("b.lo")), F.abs(F.col("a.at") - F.col("b.hi"))) <= SCOPE
+    between = (F.col("b.lo") <= F.col("a.at")) & (F.col("b.hi") >= F.col("a.at"))  # parts of the own bin
     kept = a.join(b, on & (reach | between), "left_semi")
     return kept.groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("kind", "start", "end"))).alias("weak"))
 

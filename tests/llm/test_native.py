@@ -147,6 +147,14 @@ def test_redaction(spark, odd):
     assert all(r.n_chars == len(r.text) for r in got.collect() if r.text is not None)
 
 
+def test_long_parts_are_found_and_redacted_whole(spark):
+    key, url, name = "aB3dE5gH7jK9" * 25, "https://h.example.com/" + "p/q" * 100, "n" * 150
+    rows = [(1, f"user: bob {key} end"), (2, f"see {url} {key} end"), (3, f"account={name} {key} end"), (4, "aB3" * 100_000 + " user: bob")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
+    assert got == {1: "[SECRET] [SECRET] end", 2: "see [SECRET] [SECRET] end", 3: "[SECRET] [SECRET] end", 4: "[SECRET] [SECRET]"}
+
+
 def plain_statistics(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
