@@ -14,9 +14,11 @@ groups to it (broadcast if few, else salted) and sums moments before the shuffle
 a group with a third of all rows is no single task. A floor on each statistic's
 variance keeps statistics that are nearly always zero from rejecting small deviations.
 
-Edge cases: a null or empty text has no words and fails the base rule. Groups of fewer
-than ``MIN_ROWS`` texts with words cannot be estimated and reject nothing beyond the base
-rule. Null languages and sources are groups of their own. Rows that repeat a
+Groups of fewer than ``MIN_ROWS`` texts with words are held against an estimate of all
+texts of their language, and languages of fewer against one of all texts, whatever
+their number, so that every text with words is judged.
+
+Edge cases: a null or empty text has no words and fails the base rule. Null languages and sources are groups of their own. Rows that repeat a
 doc_id each get their row. Only doc_id, text, lang and source are read.
 """
 
@@ -35,6 +37,7 @@ STEPS = 2
 CUT = 45.0  # a normal cloud in five dimensions exceeds it once in 7e7 rows
 MEDIAN = 4.351  # of the chi-squared distribution with five degrees of freedom
 MIN_ROWS = 50
+GROUP = ["level", "g_lang", "g_source"]
 
 
 def with_repeated_words(rows: DataFrame, words: str) -> DataFrame:
@@ -98,11 +101,31 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
+def levels(used: DataFrame) -> DataFrame:
+    """For each language and source the level it is judged at (0 group, 1 language,
+    2 all), and the levels whose estimates its rows take part in."""
+    sizes = stored(used.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
+    langs = sizes.groupBy(F.col("lang").alias("_lang")).agg(F.sum("n").alias("n_lang"), (F.min("n") < MIN_ROWS).alias("pooled"))
+    large, large_lang = F.col("n") >= MIN_ROWS, F.col("n_lang") >= MIN_ROWS
+    judged = F.when(large, 0).when(large_lang, 1).otherwise(2)
+    out = sizes.join(langs, F.col("lang").eqNullSafe(F.col("_lang"))).withColumn("judged", judged)
+    out = stored(out.drop("_lang"), "group-levels")
+    every = out.where("judged = 2").limit(1).count() > 0
+    serves = F.array(F.when(large, 0), F.when(F.col("pooled") & large_lang, 1), F.lit(2 if every else None).cast("int"))
+    return stored(out.select("lang", "source", "judged", F.array_compact(serves).alias("serves")), "group-levels")
+
+
+def _at(rows: DataFrame, level: Column) -> DataFrame:
+    """Adds ``GROUP``, the key of the estimate of a level."""
+    rows = rows.withColumn("level", level)
+    return rows.withColumn("g_lang", F.when(F.col("level") < 2, F.col("lang"))).withColumn("g_source", F.when(F.col("level") == 0, F.col("source")))
+
+
 def _sums(rows: DataFrame) -> DataFrame:
     """Per group the Cholesky factor of the covariance, floors added, and the means."""
     k = len(NAMES)
     x = [F.col(f"x_{n}") - F.col(f"c_{n}") for n in NAMES]  # about the last centre: no loss of digits
-    out = rows.groupBy("lang", "source").agg(
+    out = rows.groupBy(*GROUP).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.first(f"c_{n}").alias(f"c_{n}") for n in NAMES],
         *[F.sum(x[i]).alias(f"s_{i}") for i in range(k)],
@@ -116,7 +139,7 @@ def _sums(rows: DataFrame) -> DataFrame:
                 rest = rest - F.col(f"l_{i}_{m}") * F.col(f"l_{j}_{m}")
             out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(FLOOR[i] ** 2))) if i == j else rest / F.col(f"l_{j}_{j}"))
     centre = [(F.col(f"c_{n}") + F.col(f"s_{i}") / F.col("n")).alias(f"c_{n}") for i, n in enumerate(NAMES)]
-    return out.select("lang", "source", *centre, *[f"l_{i}_{j}" for i in range(k) for j in range(i + 1)])
+    return out.select(*GROUP, *centre, *[f"l_{i}_{j}" for i in range(k) for j in range(i + 1)])
 
 
 def _distance(rows: DataFrame) -> DataFrame:
@@ -134,13 +157,14 @@ def _distance(rows: DataFrame) -> DataFrame:
 def verdicts(docs: DataFrame) -> DataFrame:
     """The counts, base_failed, the scaled distance and kept for every document."""
     rows = stored(with_vector(statistics(docs)).withColumn("base_failed", base_failed()), "text-statistics")
-    used = rows.where("n_words > 0")
-    group = ["lang", "source"]
+    group = GROUP
+    spread = F.col("doc_id")
+    rows = bounded_join(rows, levels(rows.where("n_words > 0")), ["lang", "source"], spread)
+    used = _at(rows.where("n_words > 0"), F.explode("serves"))
     k = len(NAMES)
-    medians = used.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(f"x_{n}", 0.5, 1000).alias(f"c_{n}") for n in NAMES])
+    medians = used.groupBy(*group).agg(*[F.percentile_approx(f"x_{n}", 0.5, 1000).alias(f"c_{n}") for n in NAMES])
     start = [F.lit(FLOOR[i] if i == j else 0.0).alias(f"l_{i}_{j}") for i in range(k) for j in range(i + 1)]
-    estimate = stored(medians.where(F.col("n") >= MIN_ROWS).select(*group, *[f"c_{n}" for n in NAMES], *start), "robust-estimate")
-    spread = F.col("doc_id")
+    estimate = stored(medians.select(*group, *[f"c_{n}" for n in NAMES], *start), "robust-estimate")
     for _ in range(STEPS):
         far = _distance(bounded_join(used, estimate, group, spread)).where(F.col("d2").isNotNull())
         cut = stored(far.groupBy(*group).agg(F.percentile_approx("d2", KEEP, 1000).alias("cut")), "robust-cut")
@@ -148,8 +172,8 @@ def verdicts(docs: DataFrame) -> DataFrame:
         estimate = stored(_sums(near), "robust-estimate")
     far = _distance(bounded_join(used, estimate, group, spread)).where(F.col("d2").isNotNull())
     middle = far.groupBy(*group).agg(F.percentile_approx("d2", 0.5, 1000).alias("middle"))
-    estimate = stored(estimate.join(middle, [estimate.lang.eqNullSafe(middle.lang), estimate.source.eqNullSafe(middle.source)]).select(estimate["*"], "middle"), "robust-estimate")
-    out = _distance(bounded_join(rows, estimate, group, spread))
+    estimate = stored(estimate.join(middle, [estimate[g].eqNullSafe(middle[g]) for g in group]).select(estimate["*"], "middle"), "robust-estimate")
+    out = _distance(bounded_join(_at(rows, F.col("judged")), estimate, group, spread))
     # Tight groups are not stretched: the scale is 1 at least.
     distance = F.col("d2") / F.greatest(F.col("middle") / MEDIAN, F.lit(1.0))
     return out.select(

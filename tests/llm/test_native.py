@@ -184,6 +184,17 @@ def test_outliers_are_rejected_and_plain_texts_kept(spark):
     assert got[got.doc_id < 1000].kept.all() and not got[got.doc_id >= 1000].kept.any()
 
 
+@pytest.mark.parametrize("langs,sources", [(1, 20), (20, 1), (1, 1)])
+def test_texts_of_small_groups_are_judged(spark, langs, sources):
+    n = 40 if langs * sources == 1 else 400
+    rows = [(i, " ".join(f"word{(i * 7 + k * k) % 997}" for k in range(60 + i % 40)), f"l{i % langs}", f"s{i % sources}") for i in range(n)]
+    rows += [(1000 + i, " ".join(f"w{(i + k * k) % 997}***" for k in range(80)), f"l{i}", f"s{i}") for i in range(3)]
+    rows += [(2000, None, "l0", "s0"), (2001, "x y", None, None)]
+    got = outliers.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).toPandas().set_index("doc_id")
+    assert got.loc[range(n)].kept.all() and not got.loc[1000:1002].kept.any()
+    assert got[got.n_words > 0].distance.notna().all()
+
+
 def plain_raking(cells, goals, rounds=200):
     weight = dict.fromkeys(cells, 1.0)
     total = sum(cells.values())
