@@ -4,8 +4,8 @@ Tokens (words) are summed for each cell of source, language and topic, which is
 the only thing that is fitted: in turn, the cells' weights are scaled so that the
 token shares of sources, languages and topics meet their targets, until the largest
 deviation of a share is below ``TOLERANCE``. A document's weight is its cell's; its sampling
-probability is that weight, scaled so that the expected token total is ``SHARE`` of
-all tokens, and 1 at most. Documents are drawn by a hash of doc_id and text, so
+probability is that weight times ``SHARE``; where that exceeds 1, the expected tokens
+are raked on with such cells held at 1, so that total and shares are still met. Documents are drawn by a hash of doc_id and text, so
 retries and other partitionings draw the same ones.
 
 Targets are shares by value of each dimension; those not given follow the
@@ -30,6 +30,7 @@ from .shared import WORD, bounded_join, stored, whole
 DIMENSIONS = ("source", "lang", "topic")
 TEMPERATURE = 0.7
 TOLERANCE = 1e-6
+BOUND_TOLERANCE = 1e-4
 MAX_ROUNDS = 60
 SHARE = 0.5
 SEED = 20240117
@@ -108,20 +109,77 @@ def _share(cells: DataFrame, dimension: str, total: float) -> DataFrame:
     return cells.groupBy(F.col(f"_{dimension}").alias("value")).agg((F.sum(F.col("_tokens") * F.col("weight")) / F.lit(float(total))).alias("share"))
 
 
-def probabilities(cells: DataFrame, share: float) -> DataFrame:
-    """Adds ``probability``: the weight times a scale that draws ``share`` of all tokens.
+def goals_within(cells: DataFrame, targets: dict[str, DataFrame], share: float, total: float) -> dict[str, DataFrame]:
+    """value, goal: the expected tokens of each value. None has more than its tokens;
+    what a value cannot give is asked of the others of its dimension, by their targets."""
+    out = {}
+    for d in DIMENSIONS:
+        have = cells.groupBy(F.col(f"_{d}").alias("_value")).agg(F.sum("_tokens").cast("double").alias("have"))
+        both = stored(have.join(targets[d], F.col("_value").eqNullSafe(F.col("value"))).select("value", "target", "have"), "goals")
+        scale = share * total
+        for _ in range(30):
+            full = F.col("have") <= F.col("target") * F.lit(scale)
+            row = both.agg(F.sum(F.when(full, F.col("have"))), F.sum(F.when(~full, F.col("target")))).first()
+            rest = share * total - (row[0] or 0.0)
+            if not row[1] or abs(rest / row[1] - scale) <= 1e-9 * scale:
+                break
+            scale = rest / row[1]
+        out[d] = both.select("value", F.least("have", F.col("target") * F.lit(scale)).alias("goal"))
+    return out
+
+
+def _expected(cells: DataFrame, dimension: str) -> DataFrame:
+    """Per value the expected tokens of cells drawn whole, of the others, and all before the cut."""
+    whole_cell, pull = F.col("pull") >= 1, F.col("_tokens") * F.col("pull")
+    return cells.groupBy(F.col(f"_{dimension}").alias("_value")).agg(
+        F.sum(F.when(whole_cell, F.col("_tokens")).otherwise(0)).cast("double").alias("held"),
+        F.sum(F.when(whole_cell, 0.0).otherwise(pull)).alias("free"),
+        F.sum(pull).alias("pulled"),
+    )
+
 
-    Where weights are cut at 1, the scale grows until the expected total is met,
-    or all cells are drawn whole.
+def probabilities(cells: DataFrame, share: float, targets: dict[str, DataFrame]) -> DataFrame:
+    """Adds ``probability``: the weight times ``share``, raked on under the bound of 1.
+
+    Where that cuts cells, the expected tokens min(1, pull) * tokens are raked again to
+    ``share`` of all tokens with the targets' shares. A step to a value's goal is a tangent of
+    a concave function, so it never goes beyond the goal. Goals that the tokens of
+    a value, or the cells together, cannot meet are missed; ``marginals`` tells by how much.
     """
     total = cells.agg(F.sum("_tokens")).first()[0] or 0
-    scale = float(share)
-    for _ in range(30):
-        drawn = cells.agg(F.sum(F.col("_tokens") * F.least(F.col("weight") * scale, F.lit(1.0)))).first()[0] or 0.0
-        if not total or not drawn or abs(drawn / total - share) < 1e-4 or share >= 1:
-            break
-        scale *= share * total / drawn
-    return stored(cells.withColumn("probability", F.least(F.col("weight") * F.lit(scale), F.lit(1.0))), "cells")
+    now = cells.withColumn("pull", F.col("weight") * F.lit(float(share)))
+    if total and share < 1 and now.where("pull > 1 and _tokens > 0").limit(1).count():
+        goals = {d: stored(g, "goals") for d, g in goals_within(cells, targets, share, float(total)).items()}
+        before = float("inf")
+        for _ in range(MAX_ROUNDS):
+            for d in DIMENSIONS:
+                step = _expected(now, d).join(goals[d], F.col("_value").eqNullSafe(F.col("value")))
+                factor = F.greatest(
+                    F.when(F.col("free") > 0, (F.col("goal") - F.col("held")) / F.col("free")),
+                    F.when(F.col("pulled") > 0, F.col("goal") / F.col("pulled")),
+                    F.when(F.col("goal") >= F.col("held") + F.col("free"), F.lit(1.0)),
+                )
+                step = step.select("value", F.coalesce(factor, F.lit(1.0)).alias("factor"))
+                pull = F.greatest(F.least(F.col("pull") * F.col("factor"), F.lit(1e6)), F.lit(1e-12))
+                now = now.join(step, F.col(f"_{d}").eqNullSafe(F.col("value"))).select(*cells.columns, pull.alias("pull"))
+            now = stored(now, "cells")
+            off = None
+            for d in DIMENSIONS:
+                one = _expected(now, d).join(goals[d], F.col("_value").eqNullSafe(F.col("value")))
+                one = one.select(F.abs(F.col("held") + F.col("free") - F.col("goal")).alias("off"))
+                off = one if off is None else off.unionAll(one)
+            miss = off.agg(F.max("off")).first()[0] or 0.0
+            if miss < BOUND_TOLERANCE * share * total or miss > 0.98 * before:  # met, or at rest short of the goals
+                break
+            before = miss
+    return stored(now.withColumn("probability", F.least("pull", F.lit(1.0))).drop("pull"), "cells")
+
+
+def marginals(mixed: DataFrame, dimension: str) -> DataFrame:
+    """value, expected: the share of the expected sampled tokens of each value."""
+    drawn = F.sum(F.col("n_tokens") * F.col("probability"))
+    total = mixed.agg(drawn).first()[0] or 1.0
+    return mixed.groupBy(F.col(dimension).alias("value")).agg((drawn / F.lit(float(total))).alias("expected"))
 
 
 def mix(
@@ -142,7 +200,7 @@ def mix(
     key = [f"_{d}" for d in DIMENSIONS]
     cells = stored(rows.groupBy(*key).agg(F.sum("_tokens").alias("_tokens")), "cells")
     goals = {d: stored(shares(cells, d, (targets or {}).get(d), temperature), "targets") for d in DIMENSIONS}
-    fitted = probabilities(raked(cells, goals), share).select(*key, "weight", "probability")
+    fitted = probabilities(raked(cells, goals), share, goals).select(*key, "weight", "probability")
     out = bounded_join(rows, fitted, key, F.col("_draw"))
     return out.select(
         *[F.col(f"`{c}`") for c in keep],

@@ -229,6 +229,21 @@ def test_raking_against_plain_python(spark):
     assert all(words[r.doc_id] == r.n_tokens for r in got.itertuples())
 
 
+def test_expected_tokens_meet_targets_under_the_bound(spark):
+    # Small values are lifted, so that cells are cut.
+    size = {("a", "x"): 100, ("a", "y"): 100, ("b", "x"): 100, ("b", "y"): 700}
+    rows = [(i, "word " * n, lang, source) for i, ((source, lang), n) in enumerate(size.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    given = {"source": {"a": 0.36, "b": 0.64}, "lang": {"x": 0.3, "y": 0.7}}
+    got = mixing.mix(docs, ["doc_id", "source", "lang"], given)
+    for d, goal in given.items():
+        for r in mixing.marginals(got, d).collect():
+            assert abs(r.expected - goal[r.value]) < 1e-3
+    rows = got.collect()
+    assert abs(sum(r.n_tokens * r.probability for r in rows) / 1000 - mixing.SHARE) < 1e-3
+    assert any(r.probability == 1 for r in rows) and any(r.weight * mixing.SHARE > 1 for r in rows)
+
+
 def test_mixing_odd_rows_and_given_targets(spark, odd):
     got = mixing.mix(odd, ["doc_id"], {"lang": {"en": 0.9, None: 0.1, "xx": 5.0}}).collect()
     assert len(got) == len(TEXTS) and all(0 <= r.probability <= 1 for r in got)
