@@ -244,6 +244,27 @@ def test_expected_tokens_meet_targets_under_the_bound(spark):
     assert any(r.probability == 1 for r in rows) and any(r.weight * mixing.SHARE > 1 for r in rows)
 
 
+@pytest.mark.parametrize("given", [{}, {"source": {"src0": 0.5, "src1": 0.3}, "topic": {"prose": 0.2}}])
+def test_cells_on_the_driver_or_apart(spark, given, monkeypatch):
+    docs = table(spark, SF, "documents").withColumn("_source", F.lit(1)).withColumn("_draw", F.lit(2)).withColumn("_given", F.lit(3))
+    keep = ["doc_id", "_source", "_draw", "_given"]
+    here = {r.doc_id: r for r in mixing.mix(docs, keep, given).collect()}
+    monkeypatch.setattr(mixing, "CELLS", 10)
+    apart = {r.doc_id: r for r in mixing.mix(docs, keep, given).collect()}
+    assert len(here) == len(apart) == 1000
+    for d, r in here.items():
+        assert abs(r.weight - apart[d].weight) < 1e-6 * r.weight and abs(r.probability - apart[d].probability) < 1e-6
+        assert abs(r.miss - apart[d].miss) < 1e-6 and (r["_source"], r["_draw"], r["_given"]) == (1, 2, 3)
+
+
+def test_miss_tells_what_targets_are_short_of(spark):
+    rows = [(i, "word " * n, "en", s) for i, (s, n) in enumerate([("a", 100), ("b", 900)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    met = mixing.mix(docs, ["doc_id"], {"source": {"a": 0.15, "b": 0.85}}).first()
+    short = mixing.mix(docs, ["doc_id"], {"source": {"a": 0.5, "b": 0.5}}).first()
+    assert met.miss < 1e-4 and abs(short.miss - 0.3) < 1e-3
+
+
 def test_mixing_odd_rows_and_given_targets(spark, odd):
     got = mixing.mix(odd, ["doc_id"], {"lang": {"en": 0.9, None: 0.1, "xx": 5.0}}).collect()
     assert len(got) == len(TEXTS) and all(0 <= r.probability <= 1 for r in got)
