@@ -1,9 +1,8 @@
 """Forecasts of many series, ensembles, error measures and impact.
 
-Forecast draws are rows: key columns, ``Month, model, draw, sample``. Model
-fitting is one small job per series (a series has one row per month); it
-returns the mean and spread of each month, and draws are made from those by
-hash outside of the fitting, so nothing large leaves a Python worker.
+Forecast draws are rows: key columns, ``Month, model, draw, sample``. Models are
+fitted to all series at once (:mod:`.series_fits`) and give the mean and spread of each month;
+draws are made from those by hash.
 """
 
 from __future__ import annotations
@@ -11,7 +10,6 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,10 +18,10 @@ from pyspark.sql import functions as F
 from ..functions import draws as rnd
 from ..functions.flags import any_set, flags_through, present
 from .reporting import champion_grid, within
+from .series_fits import fits
 from .totals import aggregate_hierarchy
 
 MODELS = ("a", "e", "s", "t")  # autoregression, smoothing, seasonal naive, trend and season
-FIT_COLUMNS = "Month date, model string, mean double, sd double, status string"
 
 
 # -- native point forecasts ------------------------------------------------------------
@@ -64,133 +62,6 @@ def trend_forecast(df: DataFrame, keys: list[str], cut, horizon: int = 12) -> Da
 # -- one model per series -----------------------------------------------------------------
 
 
-def _design(month: pd.Series, t: np.ndarray, x: np.ndarray | None) -> np.ndarray:
-    dummies = np.eye(12)[month.dt.month.to_numpy() - 1][:, 1:]
-    cols = [np.ones(len(t)), t, dummies]
-    if x is not None:
-        cols.append(x)
-    return np.column_stack(cols)
-
-
-def _linear(y, X, Xf):
-    """Fit to the months that have a value; residuals are NaN in the others."""
-    known = np.isfinite(y)
-    coef, *_ = np.linalg.lstsq(X[known], y[known], rcond=None)
-    resid = y - X @ coef
-    n = int(known.sum())
-    return Xf @ coef, float(np.std(resid[known]) * np.sqrt(n / max(n - X.shape[1], 1))), resid
-
-
-def _trend_season(y, X, Xf, h):
-    mean, sd, _ = _linear(y, X, Xf)
-    return mean, np.full(h, sd)
-
-
-def _autoregression(y, X, Xf, h):
-    """First order, from neighbouring months that both have a value; the last
-    residual fades over the months since it."""
-    mean, _, r = _linear(y, X, Xf)
-    both = np.isfinite(r[1:]) & np.isfinite(r[:-1])
-    before, after = r[:-1][both], r[1:][both]
-    power = float(before @ before)
-    phi = float(np.clip(after @ before / power, -0.95, 0.95)) if power > 0 else 0.0
-    noise = float(np.std(after - phi * before)) if len(before) else float(np.nanstd(r))
-    last = int(np.flatnonzero(np.isfinite(r))[-1])
-    steps = np.arange(1, h + 1) + (len(r) - 1 - last)
-    spread = np.cumsum(phi ** (2 * np.arange(steps[-1])))
-    return mean + r[last] * phi**steps, noise * np.sqrt(spread[steps - 1])
-
-
-def _season_naive(y, h):
-    """Latest known value of the same month of the year."""
-    if len(y) < 13:
-        raise ValueError("less than 13 months")
-    change = y[12:] - y[:-12]
-    sd = float(np.std(change[np.isfinite(change)])) if np.isfinite(change).any() else float(np.nanstd(y))
-    mean, years = np.full(h, np.nan), np.zeros(h)
-    for k in range(h):
-        at = len(y) + k
-        earlier = np.arange(at - 12, -1, -12)
-        earlier = earlier[earlier < len(y)]
-        seen = earlier[np.isfinite(y[earlier])]
-        if len(seen):
-            mean[k], years[k] = y[seen[0]], (at - seen[0]) // 12
-    return mean, sd * np.sqrt(years)
-
-
-def _smoothing(y, h):
-    """Additive Holt-Winters, weights by a small grid search. A month without
-    a value leaves level and season as expected."""
-    if len(y) < 24 or not np.isfinite(y[:12]).any() or not np.isfinite(y[12:24]).any():
-        raise ValueError("less than 24 months")
-    best = None
-    first, second = np.nanmean(y[:12]), np.nanmean(y[12:24])
-    for alpha in (0.1, 0.3, 0.6):
-        for beta in (0.0, 0.1):
-            for gamma in (0.05, 0.3):
-                level, trend = first, (second - first) / 12
-                season, errors = list(np.nan_to_num(y[:12] - level)), []
-                for i, v in enumerate(y):
-                    s = season[i % 12]
-                    if not np.isfinite(v):
-                        errors.append(np.nan)
-                        level += trend
-                        continue
-                    errors.append(v - level - trend - s)
-                    new = alpha * (v - s) + (1 - alpha) * (level + trend)
-                    trend = beta * (new - level) + (1 - beta) * trend
-                    season[i % 12] = gamma * (v - new) + (1 - gamma) * s
-                    level = new
-                sse = float(np.nansum(np.square(errors[12:])))
-                if best is None or sse < best[0]:
-                    ahead = [level + (k + 1) * trend + season[(len(y) + k) % 12] for k in range(h)]
-                    best = (sse, np.array(ahead), float(np.nanstd(errors[12:])), alpha)
-    _, mean, sd, alpha = best
-    return mean, sd * np.sqrt(1 + np.arange(h) * alpha**2)
-
-
-def _fit_series(keys, cut, horizon, models, transform, covariate):
-    cut = pd.Timestamp(cut)
-    ahead = pd.Series(pd.date_range(cut, periods=horizon, freq="MS"))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The series is laid out by month from its first value to the cut, with
-        gaps kept: months without a value are NaN, at the end as well."""
-        month = pd.to_datetime(pdf["Month"])
-        seen = pdf.assign(_month=month)[(month < cut) & pdf["total"].notna()].drop_duplicates("_month", keep="last")
-        out = []
-        for m in models:
-            head = {k: [pdf[k].iloc[0]] * horizon for k in keys}
-            try:
-                if len(seen) < 3:
-                    raise ValueError("too few values")
-                tm = pd.Series(pd.date_range(seen["_month"].min(), cut - pd.DateOffset(months=1), freq="MS"))
-                y = seen.set_index("_month")["total"].astype(float).reindex(tm).to_numpy()
-                y = {"log1p": np.log1p, "sqrt": lambda v: 2 * (np.sqrt(v) - 1)}.get(transform, lambda v: v)(y)
-                t = ((tm - cut).dt.days / 30.4375).to_numpy()
-                tf = ((ahead - cut).dt.days / 30.4375).to_numpy()
-                x = xf = None
-                if covariate is not None:
-                    by_month = pdf.assign(_month=month).drop_duplicates("_month", keep="last").set_index("_month")[covariate].astype(float)
-                    known = by_month.groupby(by_month.index.month).mean()
-                    x, xf = (by_month.reindex(d).fillna(pd.Series(d.dt.month.map(known).to_numpy(), index=d)).to_numpy(dtype=float) for d in (tm, ahead))
-                if m in ("a", "t"):
-                    args = (y, _design(tm, t, x), _design(ahead, tf, xf), horizon)
-                    mean, sd = _autoregression(*args) if m == "a" else _trend_season(*args)
-                else:
-                    mean, sd = _season_naive(y, horizon) if m == "s" else _smoothing(y, horizon)
-                if not (np.all(np.isfinite(mean)) and np.all(np.isfinite(sd))):
-                    raise ValueError("not finite")
-                status = "ok"
-            except (ValueError, np.linalg.LinAlgError) as exc:
-                mean = sd = np.full(horizon, np.nan)
-                status = str(exc)
-            out.append(pd.DataFrame({**head, "Month": ahead.dt.date, "model": m, "mean": mean, "sd": sd, "status": status}))
-        return pd.concat(out)
-
-    return fit
-
-
 def fit_forecast(
     df: DataFrame,
     keys: list[str],
@@ -203,13 +74,10 @@ def fit_forecast(
     """Fit each model to each series before the cut and forecast ``horizon``
     months: mean and spread on the model's scale, and a status.
 
-    A model that cannot be fitted gives rows with a status other than ok.
+    Months without a value are gaps. Of rows that repeat a month the largest counts. A model that
+    cannot be fitted gives rows with a status other than ok.
     """
-    cols = [*keys, "Month", "total", *([covariate] if covariate else [])]
-    slim = df.select(*cols)
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
-    job = _fit_series(keys, str(cut), horizon, models, transform, covariate)
-    return slim.groupBy(*keys).applyInPandas(job, f"{shape}, {FIT_COLUMNS}")
+    return fits(df, keys, cut, horizon, tuple(models), transform, covariate)
 
 
 def fitted_only(fits: DataFrame, keys: list[str]) -> DataFrame:

@@ -177,23 +177,71 @@ UNION ALL SELECT 'all', category, orgUnit, total FROM bframe WHERE Selected = 'C
 SQL["c_idx"] = """
 SELECT *, row_number() OVER (PARTITION BY pool, category ORDER BY substr(md5(orgUnit), 1, 2), orgUnit) - 1 AS i, count(*) OVER (PARTITION BY pool, category) AS n FROM c_pools
 """
-SQL["c_samples"] = f"""
-WITH d AS (SELECT region, category, draw, sum(greatest(exp(a + b * cm + s * {sql_normal("1", "'C1'", "orgUnit", "category", "Month", "draw")}) - 1, 0)) AS d
-           FROM c_rows CROSS JOIN draw_ids WHERE "value" IS NULL AND a + b * cm IS NOT NULL AND s IS NOT NULL GROUP BY ALL),
-w AS (SELECT f.orgUnit, f.region, f.category, CASE WHEN f.region IN (SELECT region FROM bframe WHERE Selected = 'Champion') THEN 'own|' || f.region ELSE 'all' END AS pool
-      FROM bframe f ANTI JOIN c_unit u ON u.region = f.region AND u.category = f.category AND u.orgUnit = f.orgUnit WHERE f.Selected <> 'Champion'),
+def imputed_sql(rows: str, unit: str, method: str, borrow: bool = False) -> str:
+    """Draws of an imputation: what was reported, draws for missing months (mu, sg of ``rows``), borrowed totals.
+    With ``borrow`` facilities that are not modelled borrow as well, in place of what they reported."""
+    more = f"UNION ALL SELECT orgUnit, region, category, {_POOL} AS pool FROM {unit} f WHERE NOT modelled" if borrow else ""
+    return f"""
+WITH d AS (SELECT region, category, draw, sum(greatest(exp(mu + sg * {sql_normal("1", f"'{method}'", "orgUnit", "category", "Month", "draw")}) - 1, 0)) AS d
+           FROM {rows} CROSS JOIN draw_ids WHERE "value" IS NULL AND mu IS NOT NULL AND sg IS NOT NULL GROUP BY ALL),
+w AS (SELECT f.orgUnit, f.region, f.category, {_POOL} AS pool
+      FROM bframe f ANTI JOIN {unit} u ON u.region = f.region AND u.category = f.category AND u.orgUnit = f.orgUnit WHERE f.Selected <> 'Champion' {more}),
 m AS (SELECT DISTINCT pool, category, n FROM c_idx),
 x AS (SELECT w.region, w.category, dd.draw, sum(c.total) AS x FROM w CROSS JOIN draw_ids dd JOIN m ON m.pool = w.pool AND m.category = w.category
-      JOIN c_idx c ON c.pool = w.pool AND c.category = w.category AND c.i = {sql_hash("1", "'C10'", "w.orgUnit", "w.category", "dd.draw")} % m.n GROUP BY ALL),
-b AS (SELECT region, category, sum(actual) AS base FROM c_unit GROUP BY ALL)
+      JOIN c_idx c ON c.pool = w.pool AND c.category = w.category AND c.i = {sql_hash("1", f"'{method}0'", "w.orgUnit", "w.category", "dd.draw")} % m.n GROUP BY ALL),
+b AS (SELECT region, category, sum(actual) {"FILTER (modelled)" if borrow else ""} AS base FROM {unit} GROUP BY ALL)
 SELECT f.region, f.category, dd.draw, coalesce(b.base, 0) + coalesce(d.d, 0) + coalesce(x.x, 0) AS sample
 FROM (SELECT DISTINCT region, category FROM bframe) f CROSS JOIN draw_ids dd LEFT JOIN b ON b.region = f.region AND b.category = f.category
 LEFT JOIN d ON d.region = f.region AND d.category = f.category AND d.draw = dd.draw LEFT JOIN x ON x.region = f.region AND x.category = f.category AND x.draw = dd.draw
 """
-SQL["res_c1"] = f"""
-SELECT r.*, c.n_with_data, c.n_not_ts FROM ({result_sql("c_samples", "C1")}) r
-LEFT JOIN (SELECT region, category, count(*) AS n_with_data, count(*) FILTER (NOT modelled) AS n_not_ts FROM c_unit GROUP BY ALL) c ON c.region = r.region AND c.category = r.category
+
+
+def imputed_result_sql(samples: str, unit: str, method: str) -> str:
+    return f"""
+SELECT r.*, c.n_with_data, c.n_not_ts FROM ({result_sql(samples, method)}) r
+LEFT JOIN (SELECT region, category, count(*) AS n_with_data, count(*) FILTER (NOT modelled) AS n_not_ts FROM {unit} GROUP BY ALL) c ON c.region = r.region AND c.category = r.category
+"""
+
+
+_POOL = "CASE WHEN f.region IN (SELECT region FROM bframe WHERE Selected = 'Champion') THEN 'own|' || f.region ELSE 'all' END"
+SQL["c1_rows"] = "SELECT *, a + b * cm AS mu, s AS sg FROM c_rows"
+SQL["c_samples"] = imputed_sql("c1_rows", "c_unit", "C1")
+SQL["res_c1"] = imputed_result_sql("c_samples", "c_unit", "C1")
+
+# Methods C2 and CA: the outcome freed of one regressor after the other, then of its own past.
+_BY = "(PARTITION BY orgUnit, category)"
+SQL["s_start"] = f"""
+WITH t AS (SELECT *, ln(1 + "value") AS y, coalesce(cm, 0) AS x1, sin(2 * pi() * month(Month) / 12) AS x2, cos(2 * pi() * month(Month) / 12) AS x3, year(Month) * 12 + month(Month) AS t FROM c_hist),
+k AS (SELECT *, avg(y) OVER w AS fit, x1 - avg(x1) FILTER (y IS NOT NULL) OVER w AS u1, x2 - avg(x2) FILTER (y IS NOT NULL) OVER w AS u2, x3 - avg(x3) FILTER (y IS NOT NULL) OVER w AS u3
+      FROM t WINDOW w AS {_BY})
+SELECT *, y - fit AS r, count(y) OVER {_BY} AS n, 1 AS rank, sum(u1 * u1) FILTER (y IS NOT NULL) OVER {_BY} AS q1, sum(u2 * u2) FILTER (y IS NOT NULL) OVER {_BY} AS q2, sum(u3 * u3) FILTER (y IS NOT NULL) OVER {_BY} AS q3 FROM k
+"""
+for _i, _later in ((1, (2, 3)), (2, (3,)), (3, ())):
+    _sums = ", ".join(f"sum(u{_i} * u{_k}) FILTER (y IS NOT NULL) OVER {_BY} AS c{_k}" for _k in _later)
+    _freed = ", ".join(f"u{_k} - CASE WHEN s > 1e-9 * q{_i} THEN c{_k} / s ELSE 0 END * u{_i} AS u{_k}" for _k in _later)
+    _b = f"CASE WHEN s > 1e-9 * q{_i} THEN b / s ELSE 0 END * u{_i}"
+    SQL[f"s_step{_i}"] = f"""
+SELECT * EXCLUDE (s, b{"".join(f", c{_k}" for _k in _later)}) REPLACE (fit + {_b} AS fit, r - {_b} AS r, rank + coalesce(CAST(s > 1e-9 * q{_i} AS INTEGER), 0) AS rank {", " + _freed if _later else ""})
+FROM (SELECT *, sum(u{_i} * u{_i}) FILTER (y IS NOT NULL) OVER {_BY} AS s, sum(u{_i} * r) OVER {_BY} AS b {", " + _sums if _later else ""} FROM {"s_start" if _i == 1 else f"s_step{_i - 1}"})
+"""
+SQL["s_fit"] = """
+WITH k AS (SELECT orgUnit, category, t, r FROM s_step3 WHERE r IS NOT NULL),
+p AS (SELECT x.orgUnit, x.category, greatest(least(sum(x.r * z.r) / nullif(sum(z.r * z.r), 0), 0.95), -0.95) AS phi FROM k x JOIN k z ON x.orgUnit = z.orgUnit AND x.category = z.category AND x.t = z.t + 1 GROUP BY ALL),
+l AS (SELECT x.*, coalesce(p.phi, 0) AS phi, z.t AS zt, z.r AS zr FROM s_step3 x LEFT JOIN p ON p.orgUnit = x.orgUnit AND p.category = x.category
+      ASOF LEFT JOIN k z ON z.orgUnit = x.orgUnit AND z.category = x.category AND z.t < x.t),
+f AS (SELECT *, fit + CASE WHEN zr IS NULL THEN 0 ELSE power(phi, t - zt) * zr END AS whole FROM l),
+g AS (SELECT *, sqrt(sum((y - whole) * (y - whole)) OVER (PARTITION BY orgUnit, category) / greatest(n - rank - 1, 1)) AS sigma FROM f)
+SELECT orgUnit, category, Month, CASE WHEN n >= 12 AND sigma > 0 THEN whole END AS fitted, CASE WHEN n >= 12 AND sigma > 0 THEN sigma END AS sigma_ts FROM g
+"""
+SQL["s_rows"] = """
+SELECT c.*, fitted, CASE WHEN fitted IS NULL THEN a + b * cm ELSE fitted END AS mu, CASE WHEN fitted IS NULL THEN s ELSE sigma_ts END AS sg
+FROM c_rows c LEFT JOIN s_fit f ON f.orgUnit = c.orgUnit AND f.category = c.category AND f.Month = c.Month
 """
+SQL["s_unit"] = """SELECT region, category, orgUnit, coalesce(sum("value"), 0) AS actual, bool_or(b IS NOT NULL OR fitted IS NOT NULL) AS modelled FROM s_rows GROUP BY ALL"""
+SQL["s_samples"] = imputed_sql("s_rows", "s_unit", "C2")
+SQL["res_c2"] = imputed_result_sql("s_samples", "s_unit", "C2")
+SQL["ca_samples"] = imputed_sql("s_rows", "s_unit", "CA", True)
+SQL["res_ca"] = imputed_result_sql("ca_samples", "s_unit", "CA")
 
 
 def res_c1(spark, sf):
@@ -205,12 +253,12 @@ def linear_imputation(spark, sf):
     return res_c1(spark, sf)
 
 
-@query("series_imputation")
+@query("series_imputation", "SELECT * FROM res_c2")
 def series_imputation(spark, sf):
     return bd.series_imputation(bdata(spark, sf), TARGETS, "Region", START, END, n_draws=N)
 
 
-@query("burden_cascade")
+@query("burden_cascade", "SELECT * FROM res_ca")
 def burden_cascade(spark, sf):
     return bd.cascade(bdata(spark, sf), TARGETS, "Region", START, END, n_draws=N)
 

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import draws as rnd
 from ..operators import forecast as fc
 from . import fixtures as fx
-from .fixtures import SQL, sql_uniform
+from .fixtures import SQL, sql_hash, sql_normal, sql_uniform
 from .q_outliers import flagged, madded
 from .q_reporting import SERIES
 from .registry import query
+from .sql_fits import sql_fits
 
 K = ["Region"]
 CUT, LAST = "2000-01-01", "2000-12-01"
@@ -77,32 +78,83 @@ def trend_forecast(spark, sf):
     return fc.trend_forecast(act(spark, sf), K, CUT).withColumn("mean", F.round("mean", 2))
 
 
-@query("fit_models")
+# Months of a region, of which every ninth by hash is a gap.
+SQL["gaps"] = f"SELECT Region, Month, CASE WHEN {sql_hash("'gap'", "Region", "Month")} % 9 = 0 THEN NULL ELSE total END AS total FROM act"
+
+
+def gaps(spark, sf):
+    seen = rnd.hash32("gap", F.col("Region"), F.col("Month")) % 9 != 0
+    return act(spark, sf).withColumn("total", F.when(seen, F.col("total")))
+
+
+def rounded(fits):
+    return fits.withColumns({"mean": F.round("mean", 2), "sd": F.round("sd", 2)})
+
+
+@query("fit_models", f"SELECT Region, Month, model, round(mean, 2) AS mean, round(sd, 2) AS sd, status FROM ({sql_fits('gaps', ['Region'], CUT, 12)}) WHERE status = 'ok'", dates="Month", nums="mean sd")
 def fit_models(spark, sf):
-    """Every model family on every region, one year before the cut."""
-    return fc.fitted_only(fc.fit_forecast(act(spark, sf), K, CUT), K)
+    """Every model family on every region, one year ahead of the cut."""
+    return rounded(fc.fitted_only(fc.fit_forecast(gaps(spark, sf), K, CUT), K))
+
+
+SQL["unit_series"] = "SELECT orgUnit, data, Month, original AS total FROM fact"
+
+
+@query(
+    "fit_status",
+    f"SELECT model, status, count(*) AS n, count(mean) AS n_mean, round(sum(mean), 0) AS mean, round(sum(sd), 0) AS sd FROM ({sql_fits('unit_series', ['orgUnit', 'data'], '1997-03-01', 3)}) GROUP BY ALL",
+    nums="mean sd",
+)
+def fit_status(spark, sf):
+    """What becomes of every model on every series of a facility, of which many are short."""
+    series = fx.fact(spark, sf).select("orgUnit", "data", "Month", F.col("original").alias("total"))
+    fits = fc.fit_forecast(series, ["orgUnit", "data"], "1997-03-01", 3)
+    sums = [F.round(F.sum(c), 0).alias(c) for c in ("mean", "sd")]
+    return fits.groupBy("model", "status").agg(F.count("*").alias("n"), F.count("mean").alias("n_mean"), *sums)
+
+
+_DRAW = ["1432", "Region", "model", "Month", "draw"]
 
 
-@query("fit_pre_window")
+@query(
+    "fit_pre_window",
+    f"""
+    WITH d AS (SELECT Region, Month, model, exp(mean + sd * {sql_normal(*_DRAW)}) - 1 AS sample
+        FROM ({sql_fits('gaps', ['Region'], '1999-01-01', 12, 'log1p')}), (SELECT unnest(generate_series(1, 100)) AS draw) WHERE status = 'ok')
+    SELECT Region, Month, model, round(avg(sample), 1) AS mean, round(quantile_cont(sample, 0.1), 1) AS lower, round(quantile_cont(sample, 0.9), 1) AS upper FROM d GROUP BY ALL
+    """,
+    dates="Month",
+    nums="mean lower upper",
+)
 def fit_pre_window(spark, sf):
-    fits = fc.pre_window_forecast(act(spark, sf), K, CUT, transform="log1p")
-    return fc.point_forecast(fc.forecast_draws(fits, K, 100, transform="log1p"), K)
+    fits = fc.pre_window_forecast(gaps(spark, sf), K, CUT, transform="log1p")
+    told = fc.point_forecast(fc.forecast_draws(fits, K, 100, transform="log1p"), K)
+    return told.withColumns({c: F.round(c, 1) for c in ("mean", "lower", "upper")})
 
 
-@query("fit_with_covariate")
+SQL["with_units"] = "SELECT Region, Month, sum(original) AS total, CAST(count(DISTINCT orgUnit) AS DOUBLE) AS facilities FROM fact GROUP BY ALL"
+
+
+@query("fit_with_covariate", f"SELECT Region, Month, model, round(mean, 2) AS mean, round(sd, 2) AS sd, status FROM ({sql_fits('with_units', ['Region'], CUT, 12, 'sqrt', 'facilities')}) WHERE model IN ('a', 't')", dates="Month", nums="mean sd")
 def fit_with_covariate(spark, sf):
     d = (
         fx.fact(spark, sf)
         .groupBy("Region", "Month")
         .agg(F.sum("original").alias("total"), F.countDistinct("orgUnit").cast("double").alias("facilities"))
     )
-    return fc.window_forecast(d, K, CUT, models=("a", "t"), covariate="facilities", transform="sqrt")
+    return rounded(fc.window_forecast(d, K, CUT, models=("a", "t"), covariate="facilities", transform="sqrt"))
 
 
-@query("forecast_draws")
+@query(
+    "forecast_draws",
+    f"""SELECT Region, Month, model, CAST(draw AS INTEGER) AS draw, round(mean + sd * {sql_normal(*_DRAW)}, 1) AS sample
+        FROM ({sql_fits('gaps', ['Region'], CUT, 12)}), (SELECT unnest(generate_series(1, 50)) AS draw) WHERE status = 'ok' AND model IN ('s', 't')""",
+    dates="Month",
+    nums="sample",
+)
 def forecast_draws(spark, sf):
-    fits = fc.fit_forecast(act(spark, sf), K, CUT, models=("s", "t"))
-    return fc.forecast_draws(fits, K, 50)
+    fits = fc.fit_forecast(gaps(spark, sf), K, CUT, models=("s", "t"))
+    return fc.forecast_draws(fits, K, 50).withColumn("sample", F.round("sample", 1))
 
 
 SQL["combos"] = """
