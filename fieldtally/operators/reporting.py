@@ -28,145 +28,110 @@ def within(df: DataFrame, period: str, start=None, end=None) -> DataFrame:
     return df
 
 
-def _counted_periods(df: DataFrame, period: str, rule: str, categories: list[str] | None):
-    """(facility-periods that count as reported, facility-periods that define
-    the calendar), both from one distinct table of facility, period and unit."""
+SLOTS = 62  # periods in one word
+# Periods of these lie so far apart that a slot of seven days holds one.
+FIRST_DAYS = {"Month": lambda day: F.trunc(F.date_add(day, 6), "month"), "Week": lambda day: F.next_day(F.date_sub(day, 1), "Mon")}
+
+
+def period_words(df: DataFrame, period: str) -> DataFrame:
+    """orgUnit, data, year, part, word: one bit for each period of the year in which a facility reported a
+    series. A year of months or weeks is one word, of days six."""
+    slot = F.floor((F.dayofyear(period) - 1) / (7 if period in FIRST_DAYS else 1)).cast("int")
+    rows = df.filter(F.col("original").isNotNull() & F.col(period).isNotNull())
+    rows = rows.select("orgUnit", "data", F.year(period).alias("year"), slot.alias("_slot"))
+    part = F.floor(F.col("_slot") / SLOTS).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("_slot", F.lit(SLOTS)))
+    return rows.groupBy("orgUnit", "data", "year", part.alias("part")).agg(F.bit_or(bit).alias("word"))
+
+
+def _window_mask(period: str, start: Column, end: Column) -> Column:
+    """The bits of a word (columns year, part) whose periods lie in a closed window."""
+
+    def inside(slot: Column) -> Column:
+        days = (F.col("part") * SLOTS + slot) * (7 if period in FIRST_DAYS else 1)
+        day = F.date_add(F.make_date("year", F.lit(1), F.lit(1)), days)
+        day = FIRST_DAYS[period](day) if period in FIRST_DAYS else day
+        return F.when(day.between(start, end), F.call_function("shiftleft", F.lit(1).cast("long"), slot)).otherwise(F.lit(0).cast("long"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(SLOTS - 1)), F.lit(0).cast("long"), lambda mask, slot: mask.bitwiseOR(inside(slot)))
+
+
+def _setting(s: dict) -> Column:
+    cats = sorted(set(s.get("categories") or []))
+    rule = s.get("reporting_rule", "any_data")
     if rule not in RULES:
         raise ValueError(f"reporting_rule must be one of {RULES}")
-    if rule == "any_data" or not categories:
-        seen = df.select("orgUnit", period).distinct()
-        return seen, seen
-    chosen = df.filter(F.col("data").isin(categories))
-    if rule == "any_selected":
-        seen = chosen.select("orgUnit", period).distinct()
-        return seen, seen
-    unit = F.col("data") if rule == "all_categories" else text.base_element(F.col("data"))
-    seen = chosen.select("orgUnit", period, unit.alias("_unit")).distinct()
-    if rule == "all_categories":
-        needed = F.lit(len(set(categories)))
-    else:
-        needed = seen.agg(F.countDistinct("_unit")).scalar()
-    reported = (
-        seen.groupBy("orgUnit", period)
-        .agg(F.count(F.lit(1)).alias("_units"))
-        .filter(F.col("_units") >= needed)
-        .select("orgUnit", period)
+    rule = rule if cats else "any_data"
+    return F.struct(
+        F.lit(s["setting"]).alias("setting"),
+        F.lit(str(s.get("start") or "0001-01-01")).cast("date").alias("s"),
+        F.lit(str(s.get("end") or "9999-12-31")).cast("date").alias("e"),
+        F.lit(int(s.get("missing_reports", 0))).alias("missing_reports"),
+        F.lit(rule).alias("rule"),
+        F.array(*[F.lit(c) for c in ([] if rule == "any_data" else cats)]).cast("array<string>").alias("cats"),
     )
-    return reported, seen
 
 
-def champions(
-    df: DataFrame,
-    start=None,
-    end=None,
-    missing_reports: int = 0,
-    reporting_rule: str = "any_data",
-    categories: list[str] | None = None,
-    period: str | None = None,
-) -> DataFrame:
-    """One column ``orgUnit``: facilities consistent in every year of the window."""
-    period = period or period_column(df)
-    rows = within(df, period, start, end).filter(F.col("original").isNotNull())
-    reported, calendar = _counted_periods(rows, period, reporting_rule, categories)
-    per_facility = reported.groupBy("orgUnit", F.year(period).alias("year")).agg(
-        F.count(F.lit(1)).alias("reports")
-    )
-    per_year = (
-        calendar.select(period)
-        .distinct()
-        .groupBy(F.year(period).alias("year"))
-        .agg(F.count(F.lit(1)).alias("periods"))
-    )
-    periods = lookup(per_year, "year", "periods")
-    return (
-        per_facility.withColumn("_periods", periods)
-        .groupBy("orgUnit")
-        .agg(
-            F.count(F.lit(1)).alias("years"),
-            F.max(F.size("_periods")).alias("n_years"),
-            F.bool_and(F.col("reports") >= F.try_element_at("_periods", F.col("year")) - missing_reports).alias("consistent"),
-        )
-        .filter("consistent AND years = n_years")
-        .select("orgUnit")
-    )
+def _unit(rule: Column) -> Column:
+    """What has to have reported under a rule: each series, each element, or anything."""
+    return F.when(rule == "all_categories", F.col("data")).when(rule == "all_elements", text.base_element(F.col("data"))).otherwise(F.lit(""))
 
 
 def champion_grid(df: DataFrame, settings: list[dict], period: str | None = None) -> DataFrame:
     """Champions for many settings in one pass: ``setting``, ``orgUnit``.
 
     Each setting is a dict with ``setting`` (a label) and optional ``start``,
-    ``end``, ``missing_reports``, ``reporting_rule`` and ``categories``. The
-    settings are an argument, so they travel inside the plan as literals; a
-    row is sent to every setting it belongs to and all further work is
-    grouped by setting. The facts are read once.
+    ``end``, ``missing_reports``, ``reporting_rule`` and ``categories``. Facts become one bit
+    set per facility, series and year; windows are masks on these, rules are AND and OR over
+    series, reports are counted bits. The settings' calendars come from the words of all facilities,
+    a table of series and years. Each setting is evaluated on words, and all facilities' words are
+    shuffled once.
     """
     period = period or period_column(df)
+    words = period_words(df, period)
+    of = F.explode(F.array(*[_setting(s) for s in settings])).alias("p")
+    chosen = (F.size("p.cats") == 0) | F.array_contains("p.cats", F.col("data"))
+    seen = words.groupBy("data", "year", "part").agg(F.bit_or("word").alias("word")).select("*", of).filter(chosen)
+    seen = seen.withColumn("word", F.col("word").bitwiseAND(_window_mask(period, F.col("p.s"), F.col("p.e")))).filter("word <> 0")
+    seen = seen.select("p.setting", "p.missing_reports", "p.rule", "p.cats", "year", "part", "word", _unit(F.col("p.rule")).alias("unit"))
+    setting = ["setting", "missing_reports", "rule", "cats"]
+    masks = seen.groupBy(*setting, "year", "part").agg(F.bit_or("word").alias("mask"), F.collect_set("unit").alias("units"))
+    calendar = masks.groupBy(*setting).agg(F.collect_list(F.struct("year", "part", "mask")).alias("masks"), F.size(F.array_distinct(F.flatten(F.collect_list("units")))).alias("units"))
+
+    def of_year(y: Column) -> Column:
+        mine = F.filter("masks", lambda m: m["year"] == y)
+        periods = F.aggregate(mine, F.lit(0), lambda n, m: n + F.bit_count(m["mask"]))
+        return F.struct(y, F.struct(periods.alias("periods"), F.map_from_entries(F.transform(mine, lambda m: F.struct(m["part"], m["mask"]))).alias("masks")))
+
+    years = F.map_from_entries(F.transform(F.array_distinct(F.transform("masks", lambda m: m["year"])), of_year))
+    needed = F.when(F.col("rule") == "all_categories", F.size("cats")).when(F.col("rule") == "all_elements", F.col("units")).otherwise(F.lit(1))
+    plan = calendar.agg(F.collect_list(F.struct(*setting, needed.alias("needed"), years.alias("years")))).scalar()
+    # Words of a facility meet once; all that follows is by facility.
+    sent = words.repartition("orgUnit").select("*", F.explode(plan).alias("p")).filter(chosen)
+    year = F.try_element_at("p.years", F.col("year"))
+    mask = F.coalesce(F.try_element_at(year["masks"], F.col("part")), F.lit(0).cast("long"))
+    sent = sent.withColumn("word", F.col("word").bitwiseAND(mask)).filter("word <> 0")
+    key = ["orgUnit", "setting", "missing_reports", "needed", "n_years"]
+    sent = sent.select("orgUnit", "p.setting", "p.missing_reports", "p.needed", F.size("p.years").alias("n_years"), "year", year["periods"].alias("periods"), "part", "word", _unit(F.col("p.rule")).alias("unit"))
+    by_unit = sent.groupBy(*key, "year", "periods", "part", "unit").agg(F.bit_or("word").alias("word"))
+    by_part = by_unit.groupBy(*key, "year", "periods", "part").agg(F.bit_and("word").alias("word"), F.count(F.lit(1)).alias("units")).filter("units >= needed")
+    by_year = by_part.groupBy(*key, "year", "periods").agg(F.sum(F.bit_count("word")).alias("reports")).filter("reports > 0")
+    whole = by_year.groupBy(*key).agg(F.count(F.lit(1)).alias("years"), F.bool_and(F.expr("reports >= periods - missing_reports")).alias("ok"))
+    return whole.filter("ok AND years = n_years").select("setting", "orgUnit")
 
-    def literal(s: dict) -> Column:
-        cats = sorted(set(s.get("categories") or []))
-        rule = s.get("reporting_rule", "any_data") if cats else "any_data"
-        if rule not in RULES:
-            raise ValueError(f"reporting_rule must be one of {RULES}")
-        used = [] if rule == "any_data" else cats
-        return F.struct(
-            F.lit(s["setting"]).alias("setting"),
-            F.lit(str(s.get("start") or "0001-01-01")).cast("date").alias("s"),
-            F.lit(str(s.get("end") or "9999-12-31")).cast("date").alias("e"),
-            F.lit(int(s.get("missing_reports", 0))).alias("missing_reports"),
-            F.lit(rule).alias("rule"),
-            F.array(*[F.lit(c) for c in used]).cast("array<string>").alias("cats"),
-        )
 
-    # One row per facility and period with the set of its series (at most the
-    # dictionary of series); settings are then checked on that set.
-    sets = (
-        df.filter(F.col("original").isNotNull())
-        .groupBy("orgUnit", period)
-        .agg(F.collect_set("data").alias("have"))
-    )
-    base = F.array_distinct(F.transform("found", text.base_element))
-    sent = (
-        sets.select("orgUnit", period, "have", F.explode(F.array(*[literal(s) for s in settings])).alias("p"))
-        .filter(F.col(period).between(F.col("p.s"), F.col("p.e")))
-        .select("orgUnit", period, "p.*", "have")
-        .withColumn("found", F.array_intersect("have", "cats"))
-        .filter((F.size("cats") == 0) | (F.size("found") > 0))
-        .withColumn("units", F.when(F.col("rule") == "all_elements", base).otherwise(F.col("found")))
-        .select("setting", "missing_reports", "rule", F.size("cats").alias("n_cats"), "orgUnit", period, "units")
-    )
-    years = (
-        sent.groupBy("setting", F.year(period).alias("year"))
-        .agg(F.countDistinct(period).alias("periods"))
-        .groupBy("setting")
-        .agg(F.map_from_entries(F.collect_list(F.struct("year", "periods"))).alias("calendar"))
-    )
-    found = (
-        sent.select("setting", F.explode_outer("units").alias("u"))
-        .groupBy("setting")
-        .agg(F.countDistinct("u").alias("n_found"))
-    )
-    years, found = lookup(years, "setting", "calendar"), lookup(found, "setting", "n_found")
-    needed = (
-        F.when(F.col("rule") == "all_categories", F.col("n_cats"))
-        .when(F.col("rule") == "all_elements", F.try_element_at("_found", F.col("setting")))
-        .otherwise(F.lit(0))
-    )
-    return (
-        sent.withColumn("_found", found)
-        .filter(F.size("units") >= needed)
-        .groupBy("setting", "missing_reports", "orgUnit", F.year(period).alias("year"))
-        .agg(F.count(F.lit(1)).alias("reports"))
-        .withColumn("_years", years)
-        .withColumn("_calendar", F.try_element_at("_years", F.col("setting")))
-        .groupBy("setting", "orgUnit")
-        .agg(
-            F.count(F.lit(1)).alias("years"),
-            F.max(F.size("_calendar")).alias("n_years"),
-            F.bool_and(F.col("reports") >= F.try_element_at("_calendar", F.col("year")) - F.col("missing_reports")).alias("ok"),
-        )
-        .filter("ok AND years = n_years")
-        .select("setting", "orgUnit")
-    )
+def champions(
+    df: DataFrame,
+    start=None,
+    end=None,
+    missing_reports: int = 0,
+    reporting_rule: str = "any_data",
+    categories: list[str] | None = None,
+    period: str | None = None,
+) -> DataFrame:
+    """One column ``orgUnit``: facilities consistent in every year of the window."""
+    one = dict(setting="", start=start, end=end, missing_reports=missing_reports, reporting_rule=reporting_rule, categories=categories)
+    return champion_grid(df, [one], period).select("orgUnit")
 
 
 def region_filter(df: DataFrame, level_cols: list[str], chosen: dict[str, list[str]]) -> DataFrame:
