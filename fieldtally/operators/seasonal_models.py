@@ -1,114 +1,158 @@
-"""Decomposition of single series, as grouped jobs.
+"""Decomposition of many series by local regression, as windows over each series.
 
-A series has one row per period, so a group is at most as long as the
-calendar. These jobs follow the published description of seasonal cleaning
-(decompose, flag remainders beyond three interquartile ranges, interpolate the
-adjusted series); loess is replaced by moving averages, so values and flags
-differ from loess-based tools.
+The trend at a period is a line through the periods around it, weighted by the
+tricube of the distance; the season is the mean, by month (or week) of the year, of what the trend
+leaves. A first season comes from the distances to means over whole years; trend and season are
+then found twice, the trend from values freed of the latest season. Where ``robust`` is asked for, values far from the series' median weigh
+little at first, and those far from the first fit then. Periods without a value take no part, so gaps need no filling.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stats import MAD_SCALE
 from .outliers import off_season
+from .series_fits import month_number
 
-MIN_ROWS = 24
+# Fewest values; the reach of remainders in interquartile ranges; of robust weights in medians.
 MIN_VALUES = 12
 IQR_REACH = 3.0
+ROBUST_REACH = 6.0
+# Periods of a year, and how many on either side a trend's line takes in (one and a half years in all).
+AXES = {"Month": (12, 9), "Week": (52, 39)}
+NOISE = 1e-9
+LEAST_SHARE = 0.01  # remainders within a hundredth of the value are no outliers, however even the series
+
+
+def _place(period: str) -> tuple[Column, Column]:
+    """(number of the period, its season)."""
+    if period == "Week":
+        return F.floor(F.date_diff(F.col(period), F.lit("1970-01-05").cast("date")) / 7).cast("int"), F.weekofyear(period)
+    return month_number(F.col(period)), F.month(period)
+
+
+def _line_here(value: Column, keys: list[str], reach: int) -> Column:
+    """The weighted line through the values around, at the period itself; columns _t and _weight."""
+    around = F.collect_list(F.when(value.isNotNull(), F.struct(F.col("_t").alias("t"), value.alias("v"), F.col("_weight").alias("w"))))
+    near = around.over(W.partitionBy(*keys).orderBy("_t").rangeBetween(-reach, reach))
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("w", "d", "dd", "y", "dy")])
+
+    def add(s: Column, p: Column) -> Column:
+        d = (p["t"] - F.col("_t")) / F.lit(float(reach + 1))
+        w = F.pow(1 - F.pow(F.abs(d), F.lit(3.0)), F.lit(3.0)) * p["w"]
+        parts = {"w": w, "d": w * d, "dd": w * d * d, "y": w * p["v"], "dy": w * d * p["v"]}
+        return F.struct(*[(s[n] + c).alias(n) for n, c in parts.items()])
+
+    def at_zero(s: Column) -> Column:
+        spread = s["w"] * s["dd"] - s["d"] * s["d"]
+        line = (s["dd"] * s["y"] - s["d"] * s["dy"]) / spread
+        return F.when(spread > NOISE * s["w"] * s["w"], line).when(s["w"] > 0, s["y"] / s["w"])
+
+    return F.aggregate(near, zero, add, at_zero)
+
+
+def _robust_weight(rows: DataFrame, rest: Column, keys: list[str]) -> DataFrame:
+    """_weight: 1 for what is near, falling to next to nothing at six medians of the distance."""
+    whole = W.partitionBy(*keys)
+    rows = rows.withColumn("_gap", F.abs(rest)).withColumn("_far", F.greatest(ROBUST_REACH * F.median("_gap").over(whole), F.lit(NOISE)))
+    share = F.least(F.col("_gap") / F.col("_far"), F.lit(1.0))
+    # Never quite 0, so that every season and window keeps a weight.
+    weight = F.coalesce(F.greatest(F.pow(1 - share * share, F.lit(2.0)), F.lit(1e-6)), F.lit(1.0))
+    return rows.withColumn("_weight", weight).drop("_gap", "_far")
+
+
+def decomposed(df: DataFrame, value: str, keys: list[str], period: str, robust: bool) -> DataFrame:
+    """Adds _t, _trend, _season and _rest of ``value``. Series of less than two years of rows have no season."""
+    year, reach = AXES.get(period, AXES["Month"])
+    t, part = _place(period)
+    whole = W.partitionBy(*keys)
+    out = df.withColumns({"_t": t, "_part": part, "_weight": F.lit(1.0), "_long": F.count(F.lit(1)).over(whole) >= 2 * year})
+    # A mean over exactly one year holds no season; a median over years no single spike.
+    order, half = W.partitionBy(*keys).orderBy("_t"), year // 2
+    wide, tight = order.rangeBetween(-half, half), order.rangeBetween(1 - half, half - 1)
+    out = out.withColumn("_year", F.when(F.count(value).over(wide) == year + 1, (F.sum(value).over(wide) + F.sum(value).over(tight)) / (2 * year)))
+    out = out.withColumn("_level", F.median(F.col(value) - F.col("_year")).over(W.partitionBy(*keys, "_part")))
+    out = out.withColumn("_level", F.when(F.col("_long"), F.coalesce("_level", F.lit(0.0))).otherwise(0.0))
+    out = out.withColumn("_season", F.col("_level") - F.avg("_level").over(whole)).drop("_year")
+    if robust:
+        out = _robust_weight(out.withColumn("_centre", F.median(value).over(whole)), F.col(value) - F.col("_centre"), keys).drop("_centre")
+    for second in (False, True):
+        out = out.withColumn("_trend", _line_here(F.col(value) - F.col("_season"), keys, reach))
+        left = F.col(value) - F.col("_trend")
+        mean = F.sum(left * F.col("_weight")).over(W.partitionBy(*keys, "_part")) / F.sum(F.when(left.isNotNull(), F.col("_weight"))).over(W.partitionBy(*keys, "_part"))
+        out = out.withColumn("_level", F.coalesce(F.when(F.col("_long"), mean), F.lit(0.0)))
+        out = out.withColumn("_season", F.col("_level") - F.avg("_level").over(whole))
+        out = out.withColumn("_rest", F.col(value) - F.col("_trend") - F.col("_season"))
+        if robust and not second:
+            out = _robust_weight(out, F.col("_rest"), keys)
+    return out.drop("_part", "_weight", "_level", "_long")
+
+
+def _filled(value: Column, keys: list[str]) -> Column:
+    """``value`` where it is known, else on the line between its neighbours, else the nearest one; column _t."""
+    order = W.partitionBy(*keys).orderBy("_t")
+    seen = F.when(value.isNotNull(), F.struct(F.col("_t").alias("t"), value.alias("v")))
+    before = F.last(seen, True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    after = F.first(seen, True).over(order.rowsBetween(0, W.unboundedFollowing))
+    between = before["v"] + (after["v"] - before["v"]) * (F.col("_t") - before["t"]) / (after["t"] - before["t"])
+    return F.coalesce(value, between, before["v"], after["v"])
 
 
-def _fill(y: np.ndarray) -> np.ndarray:
-    seen = np.isfinite(y)
-    at = np.arange(len(y))
-    return np.interp(at, at[seen], y[seen])
-
-
-def _decompose(y: np.ndarray, season: np.ndarray, robust: bool, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """(trend, seasonal) of a complete series; the season repeats exactly.
+def clean_series(df: DataFrame, value: str, keys: list[str], period: str = "Month") -> DataFrame:
+    """keys, period and ``cleaned``: the series with remainder outliers replaced.
 
-    ``robust`` uses running and monthly medians in place of means, so that
-    a spike does not bend what it is compared with.
+    Outliers are remainders, on the square-root scale, beyond three interquartile ranges of their
+    quartiles; they become the season on the line between their neighbours. Missing values stay missing.
     """
-    middle = "median" if robust else "mean"
-    seasonal = np.zeros(len(y))
-    trend = np.full(len(y), getattr(np, middle)(y))
-    for _ in range(rounds):
-        if len(y) >= MIN_ROWS:
-            trend = pd.Series(y - seasonal).rolling(13, center=True, min_periods=7).agg(middle).to_numpy()
-        level = pd.Series(y - trend).groupby(season).transform(middle).to_numpy()
-        seasonal = level - level.mean()
-    return trend, seasonal
-
-
-def _clean(value: str, period: str, keys: list[str]):
-    def job(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(period)
-        x = pdf[value].to_numpy(dtype=float)
-        out = x.copy()
-        seen = np.isfinite(x)
-        if seen.sum() >= MIN_VALUES:
-            y = _fill(2 * (np.sqrt(np.maximum(x, 0)) - 1))
-            season = pd.to_datetime(pdf[period]).dt.month.to_numpy()
-            trend, seasonal = _decompose(y, season, True)
-            rest = y - trend - seasonal
-            q1, q3 = np.quantile(rest[seen], [0.25, 0.75])
-            odd = seen & ((rest < q1 - IQR_REACH * (q3 - q1)) | (rest > q3 + IQR_REACH * (q3 - q1)))
-            if odd.any() and (seen & ~odd).sum() >= 2:
-                smooth = _fill(np.where(seen & ~odd, y - seasonal, np.nan)) + seasonal
-                out[odd] = (1 + smooth[odd] / 2) ** 2
-        return pdf[[*keys, period]].assign(cleaned=out)
-
-    return job
+    return with_cleaned(df.select(*keys, period, value), value, keys, period).select(*keys, period, "cleaned")
 
 
-def clean_series(df: DataFrame, value: str, keys: list[str], period: str = "Month") -> DataFrame:
-    """Series with remainder outliers replaced; missing values stay missing."""
-    slim = df.select(*keys, period, value)
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys, period).schema.fields)
-    return slim.groupBy(*keys).applyInPandas(_clean(value, period, keys), f"{shape}, cleaned double")
+def with_cleaned(df: DataFrame, value: str, keys: list[str], period: str = "Month") -> DataFrame:
+    """Adds ``cleaned``, as :func:`clean_series` says, to all columns."""
+    whole, x = W.partitionBy(*keys), F.col(value).cast("double")
+    out = df.withColumns({"_y": 2 * (F.sqrt(F.greatest(x, F.lit(0.0))) - 1), "_y_n": F.count(x).over(whole)})
+    out = out.withColumn("_y", F.when(x.isNotNull(), F.col("_y")))
+    out = decomposed(out, "_y", keys, period, True)
+    out = out.withColumns({f"_q{k}": F.percentile("_rest", F.lit(k / 4)).over(whole) for k in (1, 3)})
+    width = IQR_REACH * (F.col("_q3") - F.col("_q1")) + F.lit(LEAST_SHARE) * (1 + F.abs(F.col("_y")))
+    odd = (F.col("_rest") < F.col("_q1") - width) | (F.col("_rest") > F.col("_q3") + width)
+    out = out.withColumn("_odd", F.coalesce(odd & (F.col("_y_n") >= MIN_VALUES), F.lit(False)))
+    smooth = _filled(F.when(~F.col("_odd"), F.col("_y") - F.col("_season")), keys) + F.col("_season")
+    out = out.withColumn("_smooth", smooth)
+    out = out.withColumn("cleaned", F.when(F.col("_odd"), F.pow(1 + F.col("_smooth") / 2, F.lit(2.0))).otherwise(x))
+    return out.drop("_y", "_y_n", "_t", "_trend", "_season", "_rest", "_q1", "_q3", "_odd", "_smooth")
 
 
 def model_seasonal_flags(df: DataFrame, keys: list[str], mad: str = "mad10", period: str = "Month") -> DataFrame:
     """seasonal5, seasonal3 and expected from :func:`clean_series` over the
     values that ``mad`` leaves."""
     masked = df.withColumn("_x", F.when(~F.col(mad), F.col("original")))
-    cleaned = clean_series(masked, "_x", keys, period).withColumnRenamed("cleaned", "expected")
     w = W.partitionBy(*keys)
-    out = masked.join(cleaned, [*keys, period], "left").withColumn("_c", F.median("_x").over(w))
+    out = with_cleaned(masked, "_x", keys, period).withColumnRenamed("cleaned", "expected").withColumn("_c", F.median("_x").over(w))
     out = out.withColumn("_m", F.lit(MAD_SCALE) * F.median(F.abs(F.col("_x") - F.col("_c"))).over(w))
     return out.withColumns(
         {f"seasonal{k}": off_season(F.col("_x"), F.col("expected"), F.col("_m"), float(k)) for k in (5, 3)}
     ).drop("_x", "_c", "_m")
 
 
-def _remainders(value: str, period: str, keys: list[str], deviation: float, method: str):
-    def job(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(period)
-        x = pdf[value].to_numpy(dtype=float)
-        flag = pd.array([None] * len(x), dtype="boolean")
-        if len(x) >= MIN_ROWS and np.isfinite(x).sum() >= MIN_VALUES:
-            y = _fill(x)
-            trend, seasonal = _decompose(y, pd.to_datetime(pdf[period]).dt.month.to_numpy(), False)
-            rest = y - trend - seasonal
-            scale = np.std(rest, ddof=1) if method == "sd" else MAD_SCALE * np.median(np.abs(rest - np.median(rest)))
-            flag = pd.array(np.abs(rest) > deviation * scale, dtype="boolean")
-        return pdf[[*keys, period, value]].assign(outlier=flag)
-
-    return job
-
-
 def remainder_outliers(
     df: DataFrame, value: str, keys: list[str], deviation: float = 3.0, method: str = "sd", period: str = "Month"
 ) -> DataFrame:
-    """Flag remainders beyond ``deviation`` SDs (or MADs); NULL for series with
-    fewer than 24 rows or 12 values. Fill gaps first."""
-    slim = df.select(*keys, period, F.col(value).cast("double").alias(value))
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields)
-    job = _remainders(value, period, keys, deviation, method)
-    return slim.groupBy(*keys).applyInPandas(job, f"{shape}, outlier boolean")
+    """keys, period, value and ``outlier``: is the remainder beyond ``deviation`` SDs (or MADs)?
+
+    NULL for periods without a value, and for series of less than two years of rows or with fewer than 12
+    values. Fill gaps first.
+    """
+    whole = W.partitionBy(*keys)
+    out = df.select(*keys, period, F.col(value).cast("double").alias(value))
+    out = decomposed(out, value, keys, period, False)
+    out = out.withColumns({"_centre": F.median("_rest").over(whole), "_top": F.max(F.abs(value)).over(whole)})
+    apart = F.median(F.abs(F.col("_rest") - F.col("_centre"))).over(whole)
+    scale = F.stddev_samp("_rest").over(whole) if method == "sd" else F.lit(MAD_SCALE) * apart
+    out = out.withColumn("_limit", deviation * scale + F.lit(NOISE) * (1 + F.col("_top")))
+    year = AXES.get(period, AXES["Month"])[0]
+    enough = (F.count(F.lit(1)).over(whole) >= 2 * year) & (F.count(value).over(whole) >= MIN_VALUES)
+    return out.withColumn("_enough", enough).select(*keys, period, value, F.when(F.col("_enough"), F.abs("_rest") > F.col("_limit")).alias("outlier"))

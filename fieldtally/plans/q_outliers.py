@@ -347,14 +347,76 @@ def top_flagged_periods(spark, sf):
     return rp.top_flagged_periods(flagged(spark, sf))
 
 
-@query("model_seasonal_flags")
+def loess_sql(source: str, name: str, robust: bool) -> None:
+    """Fixtures <name>_2: trend, season and rest of the column y of ``source`` (orgUnit, data_id, Month)."""
+    k = "orgUnit, data_id"
+    rho = lambda gap: f"coalesce(greatest(power(1 - power(least({gap} / greatest(6 * median({gap}) OVER (PARTITION BY {k}), 1e-9), 1), 2), 2), 1e-6), 1)"
+    SQL[f"{name}_0"] = f"""
+WITH b AS (SELECT *, year(Month) * 12 + month(Month) AS t, month(Month) AS part, median(y) OVER (PARTITION BY {k}) AS mid, count(*) OVER (PARTITION BY {k}) >= 24 AS long FROM {source}),
+g AS (SELECT *, {rho("abs(y - mid)") if robust else "1.0::DOUBLE"} AS w, CASE WHEN count(y) OVER u = 13 THEN (sum(y) OVER u + sum(y) OVER v) / 24 END AS ma FROM b
+    WINDOW u AS (PARTITION BY {k} ORDER BY t RANGE BETWEEN 6 PRECEDING AND 6 FOLLOWING), v AS (PARTITION BY {k} ORDER BY t RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
+l AS (SELECT * EXCLUDE (ma), coalesce(CASE WHEN long THEN median(y - ma) OVER (PARTITION BY {k}, part) END, 0) AS lev FROM g)
+SELECT * EXCLUDE (lev), lev - avg(lev) OVER (PARTITION BY {k}) AS season FROM l
+"""
+    for n in (1, 2):
+        weight = rho("abs(rest)") if robust and n == 1 else "w"
+        SQL[f"{name}_{n}"] = f"""
+WITH near AS (SELECT a.orgUnit, a.data_id, a.t, b.y - b.season AS v, (b.t - a.t) / 10.0 AS d, power(1 - power(abs(b.t - a.t) / 10.0, 3), 3) * b.w AS w
+    FROM {name}_{n - 1} a JOIN {name}_{n - 1} b ON a.orgUnit = b.orgUnit AND a.data_id = b.data_id AND b.t BETWEEN a.t - 9 AND a.t + 9 WHERE b.y IS NOT NULL),
+sums AS (SELECT {k}, t, sum(w) AS w, sum(w * d) AS d, sum(w * d * d) AS dd, sum(w * v) AS y, sum(w * d * v) AS dy FROM near GROUP BY ALL),
+line AS (SELECT {k}, t, CASE WHEN w * dd - d * d > 1e-9 * w * w THEN (dd * y - d * dy) / (w * dd - d * d) WHEN w > 0 THEN y / w END AS trend FROM sums),
+x AS (SELECT p.* EXCLUDE (season), l.trend, p.y - l.trend AS r FROM (SELECT {k}, Month, y, original, t, part, w, season, long FROM {name}_{n - 1}) p LEFT JOIN line l ON l.orgUnit = p.orgUnit AND l.data_id = p.data_id AND l.t = p.t),
+m AS (SELECT *, coalesce(CASE WHEN long THEN sum(r * w) OVER s / sum(w) FILTER (r IS NOT NULL) OVER s END, 0) AS lev FROM x WINDOW s AS (PARTITION BY {k}, part)),
+o AS (SELECT * EXCLUDE (lev), lev - avg(lev) OVER (PARTITION BY {k}) AS season FROM m), z AS (SELECT *, y - trend - season AS rest FROM o)
+SELECT * EXCLUDE (w), {weight} AS w FROM z
+"""
+
+
+SQL["ls_in"] = "SELECT *, CASE WHEN x IS NOT NULL THEN 2 * (sqrt(greatest(x, 0)) - 1) END AS y FROM (SELECT orgUnit, data_id, Month, original, CASE WHEN NOT mad10 THEN original END AS x FROM madded)"
+loess_sql("ls_in", "ls", True)
+SQL["ls_odd"] = """
+WITH q AS (SELECT *, CASE WHEN y IS NULL THEN NULL ELSE power(1 + y / 2, 2) END AS x, quantile_cont(rest, 0.25) OVER w AS q1, quantile_cont(rest, 0.75) OVER w AS q3, count(y) OVER w AS n FROM ls_2 WINDOW w AS (PARTITION BY orgUnit, data_id))
+SELECT *, coalesce((rest < q1 - 3 * (q3 - q1) - 0.01 * (1 + abs(y)) OR rest > q3 + 3 * (q3 - q1) + 0.01 * (1 + abs(y))) AND n >= 12, FALSE) AS odd FROM q
+"""
+SQL["ls_clean"] = """
+WITH f AS (SELECT * EXCLUDE (x), original AS x0, CASE WHEN NOT odd AND y IS NOT NULL THEN y - season END AS adj FROM ls_odd),
+b AS (SELECT *, last_value(adj IGNORE NULLS) OVER p AS bv, last_value(CASE WHEN adj IS NOT NULL THEN t END IGNORE NULLS) OVER p AS bt,
+      first_value(adj IGNORE NULLS) OVER a AS av, first_value(CASE WHEN adj IS NOT NULL THEN t END IGNORE NULLS) OVER a AS at_
+      FROM f WINDOW p AS (PARTITION BY orgUnit, data_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY orgUnit, data_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT orgUnit, data_id, Month, CASE WHEN y IS NOT NULL THEN x0 END AS x,
+    CASE WHEN odd THEN power(1 + (coalesce(bv + (av - bv) * (t - bt) / nullif(at_ - bt, 0), bv, av) + season) / 2, 2) WHEN y IS NOT NULL THEN x0 END AS expected FROM b
+"""
+SQL["ls_flags"] = """
+WITH c AS (SELECT *, median(x) OVER (PARTITION BY orgUnit, data_id) AS c FROM ls_clean),
+m AS (SELECT *, 1.4826 * median(abs(x - c)) OVER (PARTITION BY orgUnit, data_id) AS m, abs(expected - x) AS gap FROM c)
+SELECT orgUnit, data_id, Month, CASE WHEN m > 0 THEN gap / m >= 5 WHEN gap > 0 THEN TRUE END AS seasonal5, CASE WHEN m > 0 THEN gap / m >= 3 WHEN gap > 0 THEN TRUE END AS seasonal3, expected FROM m
+"""
+
+
+@query("model_seasonal_flags", "SELECT * FROM ls_flags", dates="Month", bools="seasonal5 seasonal3", nums="expected")
 def model_seasonal_flags(spark, sf):
     """Seasonal flags from a decomposition of each series."""
     out = sm.model_seasonal_flags(madded(spark, sf), ol.SERIES)
     return out.select("orgUnit", "data_id", "Month", "seasonal5", "seasonal3", "expected")
 
 
-@query("remainder_outliers")
+SQL["rm_in"] = """
+SELECT g.orgUnit, g.data_id, g.Month, f.original, f.original AS y FROM (
+    SELECT orgUnit, data_id, CAST(unnest(generate_series((SELECT min(Month) FROM fact), (SELECT max(Month) FROM fact), INTERVAL 1 MONTH)) AS DATE) AS Month
+    FROM (SELECT DISTINCT orgUnit, data_id FROM fact)) g
+LEFT JOIN fact f ON f.orgUnit = g.orgUnit AND f.data_id = g.data_id AND f.Month = g.Month
+"""
+loess_sql("rm_in", "rm", False)
+
+
+@query(
+    "remainder_outliers",
+    """SELECT orgUnit, data_id, Month, original, CASE WHEN count(*) OVER w >= 24 AND count(original) OVER w >= 12 THEN abs(rest) > 3 * stddev_samp(rest) OVER w + 1e-9 * (1 + max(abs(original)) OVER w) END AS outlier
+       FROM rm_2 WINDOW w AS (PARTITION BY orgUnit, data_id)""",
+    dates="Month",
+    bools="outlier",
+    nums="original",
+)
 def remainder_outliers(spark, sf):
     f = fx.fact(spark, sf).select("orgUnit", "data_id", "Month", "original")
     return sm.remainder_outliers(cf.fill_gaps(f, ol.SERIES), "original", ol.SERIES)
