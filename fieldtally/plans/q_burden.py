@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import stats
+from ..functions import draws, stats
 from ..operators import burden as bd
 from ..operators import metadata as md
 from . import fixtures as fx
@@ -113,8 +113,8 @@ def champion_multiple(spark, sf):
     return res_a(spark, sf)
 
 
-# Method B. Planted gap: half of one region's facilities never report attendance.
-SQL["b_in"] = f"""SELECT * FROM bd WHERE {_WIN} AND NOT (data = '{ATTEND}' AND Region = 'EUROPE' AND CAST(substr(orgUnit, 2) AS INTEGER) % 2 = 0)"""
+# Method B. Planted gap: the attendance of every tenth facility by hash has no values.
+SQL["b_in"] = f"""SELECT * REPLACE (CASE WHEN data = '{ATTEND}' AND {sql_hash("'unseen'", "orgUnit")} % 10 = 0 THEN NULL ELSE "value" END AS "value") FROM bd WHERE {_WIN}"""
 SQL["b_tgt"] = f"""
 SELECT t.*, a.attend FROM (SELECT orgUnit, data AS category, Region AS region, Selected, sum("value") AS total FROM b_in WHERE data IN ({_T}) AND "value" IS NOT NULL GROUP BY ALL) t
 LEFT JOIN (SELECT orgUnit, sum("value") AS attend FROM b_in WHERE data = '{ATTEND}' AND "value" IS NOT NULL GROUP BY 1) a ON a.orgUnit = t.orgUnit
@@ -146,8 +146,8 @@ SQL["res_b"] = result_sql("b_samples", "B")
 
 
 def b_in(spark, sf):
-    gone = (F.col("data") == ATTEND) & (F.col("Region") == "EUROPE") & (F.substring("orgUnit", 2, 20).cast("int") % 2 == 0)
-    return bdata(spark, sf).filter(~gone)
+    gone = (F.col("data") == ATTEND) & (draws.hash32("unseen", F.col("orgUnit")) % 10 == 0)
+    return bdata(spark, sf).withColumn("value", F.when(~gone, F.col("value")))
 
 
 @query("attendance_multiple", "SELECT * FROM res_b")
@@ -363,24 +363,18 @@ def adjusted_cases(spark, sf):
 @query(
     "corrected_incidence",
     """
-    WITH a AS (SELECT orgUnit, Month, tested - confirmed AS d, confirmed AS e, attendance - tested AS f, 5000.0 AS pop, (1 - 0.589) / 0.589 AS o FROM triples WHERE tested > confirmed AND confirmed > 0),
-    b AS (SELECT *, 0.475 * e / (d + e) AS t FROM a), c AS (SELECT *, t / (1 - t) AS od, (f - d * o) / (o + t / (1 - t) + 1) AS bb FROM b),
+    WITH a AS (SELECT orgUnit, Month, tested - confirmed AS d, confirmed AS e, attendance - tested AS f, 5000.0 AS pop, (1 - 0.589) / 0.589 AS o FROM triples),
+    b AS (SELECT *, 0.475 * e / nullif(d + e, 0) AS t FROM a), c AS (SELECT *, t / (1 - t) AS od, (f - d * o) / (o + t / (1 - t) + 1) AS bb FROM b),
     g AS (SELECT *, od * bb AS cc FROM c), h AS (SELECT *, 1 + (0.75 - 1) * ((cc + e) / nullif(bb + cc + d + e, 0)) AS lam FROM g),
     i AS (SELECT *, 10000 / nullif((bb + d + (1 - lam) * (cc + e)) / pop * 1000, 0) AS r FROM h)
-    SELECT orgUnit, Month, round((cc + e) / pop * r * 1000, 2) AS corrected_incidence, (cc + e) / e AS testing_correction, round(r, 2) AS incidence_correction,
+    SELECT orgUnit, Month, round((cc + e) / pop * r * 1000, 2) AS corrected_incidence, (cc + e) / nullif(e, 0) AS testing_correction, round(r, 2) AS incidence_correction,
            round((cc + e) * lam / pop * r * 1000, 2) AS corrected_incidence_attributable FROM i
     """,
     dates="Month",
     nums="corrected_incidence testing_correction incidence_correction corrected_incidence_attributable",
 )
 def corrected_incidence(spark, sf):
-    t, c, a = F.col("tested"), F.col("confirmed"), F.col("attendance")
-    d = (
-        triples(spark, sf)
-        .filter((t > c) & (c > 0))
-        .select("orgUnit", "Month", (t - c).alias("D"), c.alias("E"), (a - t).alias("Fn"), F.lit(5000.0).alias("pop"))
-    )
-    out = bd.corrected_incidence(d)
+    out = bd.corrected_incidence(triples(spark, sf).withColumn("population", F.lit(5000.0)))
     two = ["corrected_incidence", "incidence_correction", "corrected_incidence_attributable"]
     return out.select("orgUnit", "Month", "testing_correction", *[F.round(c, 2).alias(c) for c in two])
 
@@ -491,7 +485,6 @@ def run_burden_methods(spark, sf):
         bdata(spark, sf),
         TARGETS,
         "Region",
-        methods=("A", "B", "C1", "E"),
         attendance=[ATTEND],
         tested=[TESTED],
         population="Stock out days",

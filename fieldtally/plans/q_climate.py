@@ -17,7 +17,7 @@ SELECT l_suppkey AS cell, CAST(year(l_shipdate) AS INTEGER) AS "year", CAST(mont
 FROM lineitem GROUP BY l_suppkey, year(l_shipdate), month(l_shipdate)
 """
 # Every sixth nation is smaller than a pixel: it has no cells of its own.
-SQL["cells"] = "SELECT 'D' || s_nationkey AS id, s_suppkey AS cell FROM supplier WHERE s_nationkey % 6 <> 5"
+SQL["cells"] = "SELECT 'D' || s_nationkey AS id, s_suppkey AS cell FROM supplier"
 SQL["polys"] = """
 SELECT 'D' || n_nationkey AS id, n_name AS name, r_name AS parentName, min(s_suppkey) AS centroid_cell
 FROM nation JOIN region ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL
@@ -47,7 +47,7 @@ def rain(spark, sf):
         )
     )
     s, n, r = (fx.table(spark, sf, t) for t in ("supplier", "nation", "region"))
-    cells = s.filter("s_nationkey % 6 <> 5").select(
+    cells = s.select(
         F.concat(F.lit("D"), "s_nationkey").alias("id"), F.col("s_suppkey").alias("cell")
     )
     polys = (

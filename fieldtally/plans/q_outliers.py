@@ -92,14 +92,14 @@ def key_entry_values(spark, sf):
 
 @query(
     "over_maximum",
-    "SELECT orgUnit, Month, original, over_max, AllSmall FROM madded WHERE data = 'Stock out days'",
+    "SELECT orgUnit, data_id, Month, original, over_max, AllSmall FROM madded",
     dates="Month",
     bools="over_max AllSmall",
     nums="original",
 )
 def over_maximum(spark, sf):
-    return madded(spark, sf).filter("data = 'Stock out days'").select(
-        "orgUnit", "Month", "original", "over_max", "AllSmall"
+    return madded(spark, sf).select(
+        "orgUnit", "data_id", "Month", "original", "over_max", "AllSmall"
     )
 
 

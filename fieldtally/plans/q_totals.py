@@ -310,15 +310,14 @@ def weighted_statistics(spark, sf):
 
 @query(
     "positive_means",
-    """SELECT Region, 1 / avg(1 / greatest(original, 0.00001)) AS hm, sqrt(pow(avg(1 / original), -4) * var_samp(1 / original) / count(*)) AS hm_sd,
-       exp(sum(ln(original)) / count(*)) AS gm, exp(stddev_samp(ln(original))) AS gsd FROM fact WHERE original > 0 GROUP BY 1""",
+    """SELECT Region, 1 / avg(CASE WHEN original IS NOT NULL THEN 1 / greatest(original, 0.00001) END) AS hm, sqrt(pow(avg(1 / original), -4) * var_samp(1 / original) / count(*)) AS hm_sd,
+       exp(sum(ln(original)) / count(*)) AS gm, exp(stddev_samp(ln(original))) AS gsd FROM fact GROUP BY 1""",
     nums="hm hm_sd gm gsd",
 )
 def positive_means(spark, sf):
     x = F.col("original")
     return (
         fx.fact(spark, sf)
-        .filter(x > 0)
         .groupBy("Region")
         .agg(
             stats.harmonic_mean(x).alias("hm"),
