@@ -270,6 +270,6 @@ def rows_of_components(docs: DataFrame, distinct: DataFrame, key: str, roots: Da
     rooted = distinct.join(roots, distinct[key] == roots.node, "left").select(F.coalesce("root", key).alias("root"), "first")
     keep = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_doc"), F.col("first.text_key").alias("_key"))
     keep = stored(keep, "kept")
-    marked = docs.withColumn("_row_key", text_key(docs))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_row_key") == F.col("_key"))
-    return marked.join(keep, on, "left_semi").dropDuplicates(["doc_id", "_row_key"]).drop("_row_key")
+    marked = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("given"), docs["doc_id"].cast("long").alias("id"), text_key(docs).alias("row_key"))
+    on = F.col("id").eqNullSafe(F.col("_doc")) & (F.col("row_key") == F.col("_key"))
+    return marked.join(keep, on, "left_semi").dropDuplicates(["id", "row_key"]).select("given.*")
