@@ -38,6 +38,16 @@ def test_run_equals_its_stages(spark):
     assert sorted(one.doc_id) == sorted(two.doc_id) and one.doc_id.is_unique
 
 
+def test_clashing_names(spark):
+    names = ["_doc", "_key", "_row_key", "_spans", "_bytes", "_score", "_source", "_lang", "_topic", "_tokens", "_draw", "_toxicity", "_found_n_words", "words", "first", "given"]
+    data = [(i, f"text number {i} with a password = hunter{i}{i}{i}{i} and more words", "en", "s", *[f"{n}{i}" for n in names]) for i in range(4)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs.columns, stage(spark, docs, SF)
+        assert docs.columns[: len(before)] == before, name
+        assert all(r[n] == f"{n}{r.doc_id}" for r in docs.collect() for n in names), name
+
+
 @pytest.mark.parametrize("rows", [0, 5])
 def test_odd_rows(spark, rows):
     data = [(1, None, None, None, None, 1, "a", 0.1), (2, "", "en", "s", 0, 1, "a", 0.1), (3, "x " * 50_000, "en", "s", 9, 1, "a", 0.1), (3, "x " * 50_000, "en", "s", 9, 1, "a", 0.1), (None, "a b", "en", None, 3, None, None, None)]
