@@ -54,8 +54,9 @@ def key_entry_values(df: DataFrame, by: str = "dataElement") -> DataFrame:
     )
     w = W.partitionBy(by).orderBy(F.desc("n"), F.asc("original"))
     top = counts.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= 10)
-    limits = lookup(top.groupBy(by).agg(F.median("n").alias("m")), by, "m")
-    return counts.withColumn("_m", limits).filter(F.col("n") > 3 * F.try_element_at("_m", F.col(by))).select(by, "original")
+    # A value above three times the median of the ten is one of them, so the counts are read once.
+    limited = top.withColumn("_m", F.median("n").over(W.partitionBy(by)))
+    return limited.filter(F.col("n") > 3 * F.col("_m")).select(by, "original")
 
 
 def add_scale(df: DataFrame, value: str, keys: list[str], prefix: str = "_s") -> DataFrame:
@@ -70,12 +71,10 @@ def add_scale(df: DataFrame, value: str, keys: list[str], prefix: str = "_s") ->
     x, c = F.col(value), F.col(f"{prefix}_centre")
     out = df.withColumns(
         {
-            f"{prefix}_centre": F.median(x).over(w),
-            f"{prefix}_lo": F.percentile(x, F.lit(0.01)).over(w),
-            f"{prefix}_hi": F.percentile(x, F.lit(0.99)).over(w),
+            f"{prefix}_q": F.percentile(x, F.array(F.lit(0.5), F.lit(0.01), F.lit(0.99))).over(w),
         }
-    )
-    inner = F.when((x > F.col(f"{prefix}_lo")) & (x < F.col(f"{prefix}_hi")), x)
+    ).withColumn(f"{prefix}_centre", F.col(f"{prefix}_q")[0])
+    inner = F.when((x > F.col(f"{prefix}_q")[1]) & (x < F.col(f"{prefix}_q")[2]), x)
     out = out.withColumns(
         {
             f"{prefix}_mad": F.lit(stats.MAD_SCALE) * F.median(F.abs(x - c)).over(w),
@@ -85,7 +84,7 @@ def add_scale(df: DataFrame, value: str, keys: list[str], prefix: str = "_s") ->
     mad = F.col(f"{prefix}_mad")
     scale = F.when(mad < NEGLIGIBLE_MAD * c, F.lit(TRIMMED_SD_SCALE) * F.col(f"{prefix}_sd")).otherwise(mad)
     return out.withColumn(f"{prefix}_scale", scale).drop(
-        f"{prefix}_lo", f"{prefix}_hi", f"{prefix}_mad", f"{prefix}_sd"
+        f"{prefix}_q", f"{prefix}_mad", f"{prefix}_sd"
     )
 
 
