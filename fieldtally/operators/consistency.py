@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text
 from ..functions.periods import period_column
@@ -23,13 +23,12 @@ COMPARISONS = {
 }
 PAIR = "COMPULSORY_PAIR"
 
-_REF = re.compile(r"#\{(" + text.UID + r")(?:\.(" + text.UID + r"))?\}")
-_NUMBER = re.compile(r"(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)")
-_SPACE = re.compile(r"\s*")
-# Steps of a side in the order in which they are evaluated.
-STEPS = T.ArrayType(
-    T.StructType([T.StructField("op", T.StringType()), T.StructField("num", T.DoubleType()), T.StructField("ref", T.StringType())])
-)
+# Pieces of a side: references, numbers, signs, and any other character, which cannot be read.
+_PIECE = r"#\{" + text.UID + r"(?:\." + text.UID + r")?\}|[0-9]+(?:\.[0-9]*)?|\.[0-9]+|\S"
+# Steps of a side in the order in which they are evaluated, and what a linear side comes to.
+_STEPS = "array<struct<op:string,num:double,ref:string>>"
+_TERMS = "array<struct<coef:double,ref:string>>"
+_FORM = f"struct<const:double,terms:{_TERMS},ok:boolean>"
 SALTS = 16  # pieces in which the values of one element meet the rules
 
 
@@ -52,58 +51,126 @@ def holds_by_name(left: Column, right: Column, operator: Column) -> Column:
     return out
 
 
-def side_steps(raw: str | None) -> list[tuple[str, float | None, str | None]] | None:
-    """One side of a rule as steps of a stack machine; None if it cannot be read.
+def _pushed(state: Column, after: Column, kind: Column, num: Column, ref: Column) -> Column:
+    """The state after an operand; signs before it bind tightest, so they follow it at once."""
+    waiting = _kept(state["held"], lambda op: op != "neg")
+    one = F.array(F.struct(kind.alias("op"), num.alias("num"), ref.alias("ref")))
+    return F.struct(
+        F.concat(state["out"], one, _as_steps(F.slice(state["held"], waiting + 1, F.size(state["held"]) - waiting))).alias("out"),
+        F.slice(state["held"], F.lit(1), waiting).alias("held"),
+        after.alias("expects"),
+        state["ok"].alias("ok"),
+    )
+
+
+def _kept(held: Column, stays: Callable[[Column], Column]) -> Column:
+    """How many held signs are left when the last ones go, down to one that stays."""
+    return F.coalesce(F.array_max(F.transform(held, lambda op, i: F.when(stays(op), i + 1).otherwise(0))), F.lit(0))
+
+
+def _as_steps(signs: Column) -> Column:
+    none = F.lit(None)
+    return F.transform(F.reverse(signs), lambda op: F.struct(op.alias("op"), none.cast("double").alias("num"), none.cast("string").alias("ref")))
+
+
+def side_steps(raw: Column) -> Column:
+    """One side of a rule as steps of a stack machine; NULL if it cannot be read.
+
+    References, numbers, + - * /, signs and brackets are understood. One fold over the
+    side's pieces: operands go out as they come, signs are held back until one
+    that binds no tighter follows, and a closing bracket lets out all since its opening.
+    """
+    pieces = F.regexp_extract_all(raw, F.lit(_PIECE), F.lit(0))
+    start = F.struct(
+        F.expr(f"cast(array() as {_STEPS})").alias("out"),
+        F.expr("cast(array() as array<string>)").alias("held"),
+        F.lit(True).alias("expects"),
+        F.lit(True).alias("ok"),
+    )
+
+    def let_out(state: Column, stays: Callable[[Column], Column], extra: Column, expects: bool, drop: int = 0) -> Column:
+        kept = _kept(state["held"], stays)
+        gone = F.slice(state["held"], kept + 1, F.size(state["held"]) - kept)
+        held = F.concat(F.slice(state["held"], F.lit(1), F.greatest(kept - drop, F.lit(0))), extra)
+        # Signs before a closed bracket follow it at once.
+        bound = _kept(held, lambda op: op != "neg") if drop else F.size(held)
+        out = F.concat(state["out"], _as_steps(gone), _as_steps(F.slice(held, bound + 1, F.size(held) - bound)))
+        ok = state["ok"] & ((kept >= drop) if drop else F.lit(True))
+        return F.struct(out.alias("out"), F.slice(held, F.lit(1), bound).alias("held"), F.lit(expects).alias("expects"), ok.alias("ok"))
+
+    def hold(state: Column, sign: Column) -> Column:
+        return F.struct(state["out"].alias("out"), F.concat(state["held"], F.array(sign)).alias("held"), F.lit(True).alias("expects"), state["ok"].alias("ok"))
+
+    def step(state: Column, t: Column) -> Column:
+        none = F.expr("cast(array() as array<string>)")
+        wrong = F.struct(state["out"].alias("out"), state["held"].alias("held"), state["expects"].alias("expects"), F.lit(False).alias("ok"))
+        ref, num = t.startswith("#{"), t.rlike(r"^\.?[0-9]")
+        operand = _pushed(
+            state,
+            F.lit(False),
+            F.when(ref, "ref").otherwise("num"),
+            F.when(num, t.try_cast("double")),
+            F.when(ref, F.translate(F.regexp_replace(t, r"[#{}]", ""), ".", "_")),
+        )
+        return (
+            F.when(state["expects"] & (ref | num), operand)
+            .when(state["expects"] & (t == "-"), hold(state, F.lit("neg")))
+            .when(state["expects"] & (t == "+"), state)
+            .when(state["expects"] & (t == "("), hold(state, t))
+            .when(~state["expects"] & t.isin("*", "/"), let_out(state, lambda op: op.isin("(", "+", "-"), F.array(t), True))
+            .when(~state["expects"] & t.isin("+", "-"), let_out(state, lambda op: op == "(", F.array(t), True))
+            .when(~state["expects"] & (t == ")"), let_out(state, lambda op: op == "(", none, False, drop=1))
+            .otherwise(wrong)
+        )
+
+    def finish(state: Column) -> Column:
+        whole = state["ok"] & ~state["expects"] & ~F.array_contains(state["held"], "(")
+        return F.when(whole, F.concat(state["out"], _as_steps(state["held"])))
+
+    return F.aggregate(pieces, start, step, finish)
+
+
+def linear_form(steps: Column) -> Column:
+    """Steps as a constant and terms of coefficient and reference; NULL where values are
+    multiplied by each other or divided.
 
-    References, numbers, + - * /, signs and brackets are understood.
+    Terms stay in order and apart, so that a value that is missing makes the side
+    missing, and sums are added up as they are written.
     """
-    if raw is None or not raw.strip():
-        return None
-    steps: list[tuple[str, float | None, str | None]] = []
-    at = 0
-
-    def peek() -> str:
-        nonlocal at
-        at = _SPACE.match(raw, at).end()
-        return raw[at : at + 1]
-
-    def operand() -> bool:
-        nonlocal at
-        sign = peek()
-        if sign and sign in "+-":
-            at += 1
-            done = operand()
-            if done and sign == "-":
-                steps.append(("neg", None, None))
-            return done
-        if sign == "(":
-            at += 1
-            if not chain(("+", "-")) or peek() != ")":
-                return False
-            at += 1
-            return True
-        for kind, pattern in (("ref", _REF), ("num", _NUMBER)):
-            if m := pattern.match(raw, at):
-                at = m.end()
-                steps.append((kind, float(m[0]), None) if kind == "num" else (kind, None, "_".join(g for g in m.groups() if g)))
-                return True
-        return False
-
-    def chain(signs: tuple[str, str]) -> bool:
-        """Operands joined by signs of one rank; those of the rank above are chains themselves."""
-        nonlocal at
-        part = operand if signs == ("*", "/") else lambda: chain(("*", "/"))
-        if not part():
-            return False
-        while peek() in signs:
-            sign = peek()
-            at += 1
-            if not part():
-                return False
-            steps.append((sign, None, None))
-        return True
-
-    return steps if chain(("+", "-")) and peek() == "" else None
+    form = F.expr(f"cast(array() as array<{_FORM}>)")
+    none = F.expr(f"cast(array() as {_TERMS})")
+
+    def made(const: Column, terms: Column, ok: Column) -> Column:
+        return F.struct(const.cast("double").alias("const"), terms.alias("terms"), ok.alias("ok"))
+
+    def scaled(terms: Column, by: Column) -> Column:
+        return F.transform(terms, lambda x: F.struct((x["coef"] * by).alias("coef"), x["ref"].alias("ref")))
+
+    def step(stack: Column, t: Column) -> Column:
+        b, a = F.get(stack, F.size(stack) - 1), F.get(stack, F.size(stack) - 2)
+        plain_a, plain_b = F.size(a["terms"]) == 0, F.size(b["terms"]) == 0
+        one = F.array(F.struct(F.lit(1.0).alias("coef"), t["ref"].alias("ref")))
+        value = (
+            F.when(t["op"] == "num", made(t["num"], none, F.lit(True)))
+            .when(t["op"] == "ref", made(F.lit(0.0), one, F.lit(True)))
+            .when(t["op"] == "neg", made(-b["const"], scaled(b["terms"], F.lit(-1.0)), b["ok"]))
+            .when(t["op"] == "+", made(a["const"] + b["const"], F.concat(a["terms"], b["terms"]), a["ok"] & b["ok"]))
+            .when(t["op"] == "-", made(a["const"] - b["const"], F.concat(a["terms"], scaled(b["terms"], F.lit(-1.0))), a["ok"] & b["ok"]))
+            .when(
+                t["op"] == "*",
+                made(
+                    a["const"] * b["const"],
+                    F.when(plain_b, scaled(a["terms"], b["const"])).otherwise(scaled(b["terms"], a["const"])),
+                    a["ok"] & b["ok"] & (plain_a | plain_b),
+                ),
+            )
+            .otherwise(made(F.lit(0.0), none, F.lit(False)))
+        )
+        used = F.when(t["op"].isin("num", "ref"), 0).when(t["op"] == "neg", 1).otherwise(2)
+        return F.concat(F.slice(stack, F.lit(1), F.size(stack) - used), F.array(value))
+
+    last = F.get(F.aggregate(steps, form, step), F.lit(0))
+    return F.when(last["ok"], F.struct(last["const"].alias("const"), last["terms"].alias("terms")))
 
 
 _APPLY = {
@@ -114,23 +181,15 @@ _APPLY = {
 }
 
 
-def side_expression(raw: str | None, values: str = "vals") -> Column:
-    """Column for one side of a rule over a map of values by id; NULL if the
-    side cannot be read, a value is missing or a divisor is zero."""
-    stack: list[Column] = []
-    for op, num, ref in side_steps(raw) or [("num", None, None)]:
-        if op in _APPLY:
-            right, left = stack.pop(), stack.pop()
-            stack.append(_APPLY[op](left, right))
-        elif op == "neg":
-            stack.append(-stack.pop())
-        else:
-            stack.append(F.lit(num).cast("double") if op == "num" else F.try_element_at(F.col(values), F.lit(ref)))
-    return stack[0].cast("double")
+def side_value(steps: Column, form: Column, values: Column) -> Column:
+    """One side of a rule over a map of values by id; NULL if the side cannot be read, a
+    value is missing or a divisor is zero. Linear sides are one sum of products."""
+    add = lambda s, x: s + x["coef"] * F.try_element_at(values, x["ref"])
+    return F.when(form.isNotNull(), F.aggregate(form["terms"], form["const"], add)).otherwise(stack_value(steps, values))
 
 
-def side_value(steps: Column, values: Column) -> Column:
-    """The same where the steps are a column of ``STEPS``."""
+def stack_value(steps: Column, values: Column) -> Column:
+    """The same by the steps."""
     empty = F.expr("cast(array() as array<double>)")
 
     def step(stack: Column, t: Column) -> Column:
@@ -145,9 +204,10 @@ def side_value(steps: Column, values: Column) -> Column:
 
 
 def with_steps(rules: DataFrame) -> DataFrame:
-    """Rules with the steps of both sides; the rule table is metadata, one row per rule."""
-    read = F.udf(lambda raw: side_steps(raw), STEPS)
-    return rules.select("id", "name", "operator", "left_raw", "right_raw", read("left_raw").alias("left_steps"), read("right_raw").alias("right_steps"))
+    """Rules with the steps and linear forms of both sides; the rule table is metadata, one row per rule."""
+    out = rules.select("id", "name", "operator", "left_raw", "right_raw")
+    out = out.withColumns({f"{side}_steps": side_steps(F.col(f"{side}_raw")) for side in ("left", "right")})
+    return out.withColumns({f"{side}_form": linear_form(F.col(f"{side}_steps")) for side in ("left", "right")})
 
 
 def rule_ids(rules: DataFrame) -> DataFrame:
@@ -179,11 +239,9 @@ def rule_values(facts: DataFrame, rules: DataFrame) -> DataFrame:
         .groupBy("orgUnit", "orgUnitName", period, F.col("r.ref").alias("ref"), F.col("r.summed").alias("summed"))
         .agg(F.sum("original").alias("v"))
     )
-    bare = (
-        sums.filter(~F.col("summed") & ~F.col("ref").contains("_"))
-        .select("ref", F.lit(True).alias("summed"))
-        .distinct()
-    )
+    # The condition names the sum, so it stays above the aggregation and both uses read one shuffle.
+    own = F.when(F.col("v").isNotNull(), ~F.col("summed") & ~F.col("ref").contains("_"))
+    bare = sums.filter(own).select("ref", F.lit(True).alias("summed")).distinct()
     return sums.join(bare, ["ref", "summed"], "left_anti").select("orgUnit", "orgUnitName", period, "ref", "v")
 
 
@@ -205,7 +263,7 @@ def rules_for(rules: DataFrame, data_ids: list[str] | None) -> DataFrame:
 
 def incomplete_rules(rules: DataFrame, values: DataFrame) -> DataFrame:
     """Rules that need ids absent from the data, with those ids."""
-    present = values.select("ref").distinct()
+    present = values.groupBy("ref").agg(F.count("v").alias("_n")).filter("_n > 0").select("ref")
     return (
         rule_ids(rules)
         .join(present, "ref", "left_anti")
@@ -214,11 +272,27 @@ def incomplete_rules(rules: DataFrame, values: DataFrame) -> DataFrame:
     )
 
 
+def _coefficients() -> Column:
+    """The terms of both sides as coefficients of a reference on the left and on the right."""
+    no = F.lit(None).cast("double")
+    left = F.transform("left_form.terms", lambda x: F.struct(x["ref"].alias("ref"), x["coef"].alias("left"), no.alias("right")))
+    right = F.transform("right_form.terms", lambda x: F.struct(x["ref"].alias("ref"), no.alias("left"), x["coef"].alias("right")))
+    return F.concat(left, right)
+
+
+def _linear_needs(side: str) -> list[Column]:
+    """The constant of a linear side and the number of values it needs."""
+    refs = F.transform(f"{side}_form.terms", lambda x: x["ref"])
+    return [F.col(f"{side}_form.const").alias(f"const_{side[0]}"), F.size(F.array_distinct(refs)).alias(f"need_{side[0]}")]
+
+
 def evaluate_rules(facts: DataFrame, rules: DataFrame, data_ids: list[str] | None = None) -> DataFrame:
     """Counts of evaluated, passed and failed facility-periods per rule and year.
 
     Values meet the rules that mention them, salted by facility since an
-    element has many values; a rule is then evaluated on the few values it needs. Facility-
+    element has many values. Linear rules are sums of products, combined before the shuffle
+    (added up in no fixed order, which matters to the last digit of three terms or more); rules that
+    multiply or divide values are evaluated on the few values they need. Facility-
     periods with none of them all have the outcome of a rule without values
     (a compulsory pair holds) and are only counted. A rule that cannot be read, or
     needs ids that the data lack, is incomplete; others are not affected.
@@ -229,22 +303,37 @@ def evaluate_rules(facts: DataFrame, rules: DataFrame, data_ids: list[str] | Non
     unit = ["orgUnit", "orgUnitName", period]
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
     salt = F.pmod(F.xxhash64("orgUnit"), F.lit(SALTS)).cast("int")
-    refs = rule_ids(rules).select("id", "ref", salts)
-    met = values.withColumn("_salt", salt).join(refs, ["ref", "_salt"]).groupBy("id", "_salt", *unit)
-    met = met.agg(F.map_from_entries(F.collect_list(F.struct("ref", "v"))).alias("vals"))
     read = with_steps(rules)
+    linear = F.col("left_form").isNotNull() & F.col("right_form").isNotNull()
+    salted = values.withColumn("_salt", salt)
+
+    # Linear rules: sums of products by rule, facility and period.
+    terms = read.filter(linear).select("id", F.explode(_coefficients()).alias("t")).groupBy("id", "t.ref")
+    terms = terms.agg(F.sum("t.left").alias("cl"), F.sum("t.right").alias("cr")).select("id", "ref", "cl", "cr", salts)
+    sums = salted.join(terms, ["ref", "_salt"]).groupBy("id", "_salt", *unit)
+    sums = sums.agg(*[f(x).alias(f"{n}{side}") for side in "lr" for n, f, x in (("s", F.sum, F.col(f"c{side}") * F.col("v")), ("n", F.count, f"c{side}"))])
+    needs = read.filter(linear).select("id", "operator", *[c for side in ("left", "right") for c in _linear_needs(side)], salts)
+    side = lambda x: F.when(F.col(f"n{x}") == F.col(f"need_{x}"), F.col(f"const_{x}") + F.coalesce(f"s{x}", F.lit(0.0)))
+    by_sums = sums.join(needs, ["id", "_salt"]).select("id", F.year(period).alias("year"), holds_by_name(side("l"), side("r"), F.col("operator")).alias("pass"))
+
+    # The others: the steps over the few values that a rule needs.
+    others = read.filter(~linear & F.col("left_steps").isNotNull() & F.col("right_steps").isNotNull())
+    refs = rule_ids(others).select("id", "ref", salts)
+    met = salted.join(refs, ["ref", "_salt"]).groupBy("id", "_salt", *unit)
+    met = met.agg(F.map_from_entries(F.collect_list(F.struct("ref", "v"))).alias("vals"))
 
     def outcome(vals: Column) -> Column:
-        left, right = side_value(F.col("left_steps"), vals), side_value(F.col("right_steps"), vals)
+        left, right = (side_value(F.col(f"{side}_steps"), F.col(f"{side}_form"), vals) for side in ("left", "right"))
         return holds_by_name(left, right, F.col("operator"))
 
-    decided = met.join(read.select("id", "operator", "left_steps", "right_steps", salts), ["id", "_salt"]).select(
+    by_steps = met.join(others.select("id", "operator", "left_steps", "right_steps", "left_form", "right_form", salts), ["id", "_salt"]).select(
         "id", F.year(period).alias("year"), outcome(F.col("vals")).alias("pass")
     )
+    decided = by_sums.unionByName(by_steps)
     counts = decided.groupBy("id", "year").agg(
         F.count(F.lit(1)).alias("seen"), F.count_if("pass").alias("p"), F.count_if(~F.col("pass")).alias("f")
     )
-    units = values.select(*unit).distinct().groupBy(F.year(period).alias("year")).agg(F.count(F.lit(1)).alias("all"))
+    units = values.groupBy(*unit).agg(F.count("v").alias("_n")).filter("_n > 0").groupBy(F.year(period).alias("year")).agg(F.count(F.lit(1)).alias("all"))
     totals = units.agg(F.map_from_entries(F.collect_list(F.struct("year", "all")))).scalar()
     without = outcome(F.create_map().cast("map<string,double>"))
     frame = read.select(
@@ -302,23 +391,19 @@ def rule_table(results: DataFrame) -> DataFrame:
 def rule_detail(facts: DataFrame, rules: DataFrame, rule_id: str, max_rows: int | None = None) -> DataFrame:
     """Facility-periods where one rule failed or could not be decided, newest
     first. ``n_total`` tells how many there are; a report may ask for the first
-    ``max_rows`` only. A rule that cannot be read is undecided everywhere."""
+    ``max_rows`` only. A rule that cannot be read is undecided everywhere; one that is
+    not among the rules has no rows."""
     one = rules.filter(F.col("id") == rule_id)
-    r = one.select("operator", "left_raw", "right_raw").first()
-    if r is None:
-        raise ValueError(f"no rule {rule_id}")
     values = rule_values(facts, one)
     period = period_column(values)
-    maps = (
-        value_maps(values)
-        .withColumn("left_side", side_expression(r["left_raw"]))
-        .withColumn("right_side", side_expression(r["right_raw"]))
-    )
-    readable = side_steps(r["left_raw"]) is not None and side_steps(r["right_raw"]) is not None
-    ok = holds(F.col("left_side"), F.col("right_side"), (r["operator"] or "") if readable else "")
-    bad = maps.withColumn("ok", ok).filter(
-        ~F.coalesce("ok", F.lit(False))
-    )
+    read = with_steps(one).withColumn("_unread", F.col("left_steps").isNull() | F.col("right_steps").isNull())
+    parts = ["operator", "left_steps", "right_steps", "left_form", "right_form", "_unread"]
+    rule = read.agg(F.first(F.struct(*parts))).scalar()  # the id names one rule
+    maps = value_maps(values).withColumn("_r", rule)
+    for side in ("left", "right"):
+        maps = maps.withColumn(f"{side}_side", side_value(F.col(f"_r.{side}_steps"), F.col(f"_r.{side}_form"), F.col("vals")))
+    ok = F.when(~F.col("_r._unread"), holds_by_name(F.col("left_side"), F.col("right_side"), F.col("_r.operator")))
+    bad = maps.withColumn("ok", ok).filter(~F.coalesce("ok", F.lit(False)))
     out = bad.select(
         "orgUnitName",
         period,

@@ -277,39 +277,30 @@ def rules(spark: SparkSession, sf: str) -> DataFrame:
     )
     ref = lambda c, cat="": F.concat(F.lit("#{"), c, F.lit(cat + "}"))
 
-    def rule(kind, text, operator, left, right):
-        return pairs.select(
+    def rule(kind, text, operator, left, right, when=None):
+        made = F.struct(
             F.concat(F.lit(f"rule_{kind}_"), F.substring("a", 3, 1)).alias("id"),
             text.alias("name"),
             F.lit(operator).alias("operator"),
             left.alias("left_raw"),
             right.alias("right_raw"),
         )
+        return F.when(b.isNotNull() if when is None else when, made)
 
-    pairs = e.filter("b IS NOT NULL")
     a, b = F.col("a"), F.col("b")
     f, o = ".ccF00000001", ".ccO00000001"
-    out = rule("gt", F.concat(a, F.lit(" above "), b), "greater_than", ref(a), ref(b))
-    out = out.unionByName(
-        rule(
-            "le",
-            F.concat(a, F.lit(" twice at most "), b),
-            "less_than_or_equal_to",
-            ref(a, f),
-            F.concat(ref(b, f), F.lit(" * 2 + 10")),
-        )
-    ).unionByName(rule("pair", F.concat(a, F.lit(" with "), b), "compulsory_pair", ref(a, o), ref(b, o)))
     t = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    out = (
-        out.unionByName(rule("nest", t(a, " nested"), "greater_than", ref(a), t(ref(b), " / (", ref(a), " / ", ref(b), ")")))
-        .unionByName(rule("neg", t(a, " two signs"), "greater_than", t(ref(a), "--1"), ref(b)))
-        .unionByName(rule("zero", t(a, " by zero"), "compulsory_pair", t(ref(a), " / (", ref(b), " - ", ref(b), ")"), ref(b)))
-        .unionByName(rule("odd", t(a, " unreadable"), "compulsory_pair", t(ref(a), " * / 2"), ref(b)))
-    )
-    pairs = e
-    return out.unionByName(
-        rule("gone", F.concat(a, F.lit(" equals absent")), "equal_to", ref(a), F.lit("#{deZ00000009}"))
+    made = F.array(
+        rule("gt", t(a, " above ", b), "greater_than", ref(a), ref(b)),
+        rule("le", t(a, " twice at most ", b), "less_than_or_equal_to", ref(a, f), t(ref(b, f), " * 2 + 10")),
+        rule("pair", t(a, " with ", b), "compulsory_pair", ref(a, o), ref(b, o)),
+        rule("nest", t(a, " nested"), "greater_than", ref(a), t(ref(b), " / (", ref(a), " / ", ref(b), ")")),
+        rule("neg", t(a, " two signs"), "greater_than", t(ref(a), "--1"), ref(b)),
+        rule("zero", t(a, " by zero"), "compulsory_pair", t(ref(a), " / (", ref(b), " - ", ref(b), ")"), ref(b)),
+        rule("odd", t(a, " unreadable"), "compulsory_pair", t(ref(a), " * / 2"), ref(b)),
+        rule("gone", t(a, " equals absent"), "equal_to", ref(a), F.lit("#{deZ00000009}"), F.lit(True)),
     )
+    return e.select(F.explode(F.array_compact(made)).alias("r")).select("r.*")
 
 
 # -- processed facts ----------------------------------------------------------

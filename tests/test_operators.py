@@ -298,14 +298,26 @@ SIDES = [
 def test_sides_by_expression_and_by_steps(spark, raw, want):
     d = spark.createDataFrame([({"aaaaaaaaaaa": 6.0, "bbbbbbbbbbb_ccccccccccc": 2.0, "ddddddddddd": 0.0},)], "vals map<string,double>")
     rule = spark.createDataFrame([("r", "n", "equal_to", raw, raw)], "id string, name string, operator string, left_raw string, right_raw string")
-    assert d.select(consistency.side_expression(raw)).first()[0] == (want if want is None else pytest.approx(want))
-    steps = consistency.with_steps(rule).select(consistency.side_value(F.col("left_steps"), F.lit(None).cast("map<string,double>")).alias("v"))
-    assert ("#" in raw) == (steps.first()[0] is None)
-
-
-@pytest.mark.parametrize("raw", [None, " ", "max(#{aaaaaaaaaaa})", "#{aaaaaaaaaaa} * / 2", "(#{aaaaaaaaaaa}", "1 2", "#{short}", "1)"])
-def test_unreadable_sides(raw):
-    assert consistency.side_steps(raw) is None
+    both = consistency.with_steps(rule).crossJoin(d)
+    by_form = consistency.side_value(F.col("left_steps"), F.col("left_form"), F.col("vals"))
+    by_steps = consistency.stack_value(F.col("left_steps"), F.col("vals"))
+    for got in both.select(by_form, by_steps).first():
+        assert got == (want if want is None else pytest.approx(want))
+    nothing = F.lit(None).cast("map<string,double>")
+    empty = both.select(consistency.side_value(F.col("left_steps"), F.col("left_form"), nothing)).first()
+    assert ("#" in raw) == (empty[0] is None)
+
+
+@pytest.mark.parametrize("raw", [None, " ", "max(#{aaaaaaaaaaa})", "#{aaaaaaaaaaa} * / 2", "(#{aaaaaaaaaaa}", "1 2", "#{short}", "1)", "()", "# 1", "1 (2)"])
+def test_unreadable_sides(spark, raw):
+    assert spark.range(1).select(consistency.side_steps(F.lit(raw).cast("string"))).first()[0] is None
+
+
+def test_linear_forms(spark):
+    form = lambda raw: spark.range(1).select(consistency.linear_form(consistency.side_steps(F.lit(raw))).alias("f")).first().f
+    f = form("3 * (#{aaaaaaaaaaa} - 2 * -#{bbbbbbbbbbb.ccccccccccc}) - (1 - #{aaaaaaaaaaa})")
+    assert f.const == -1 and [(t.coef, t.ref) for t in f.terms] == [(3, "aaaaaaaaaaa"), (6, "bbbbbbbbbbb_ccccccccccc"), (1, "aaaaaaaaaaa")]
+    assert form("#{aaaaaaaaaaa} * #{bbbbbbbbbbb}") is None and form("#{aaaaaaaaaaa} / 2") is None
 
 
 def test_one_unreadable_rule_leaves_the_others(spark):
