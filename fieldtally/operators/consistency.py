@@ -51,16 +51,13 @@ def holds_by_name(left: Column, right: Column, operator: Column) -> Column:
     return out
 
 
-def _pushed(state: Column, after: Column, kind: Column, num: Column, ref: Column) -> Column:
-    """The state after an operand; signs before it bind tightest, so they follow it at once."""
-    waiting = _kept(state["held"], lambda op: op != "neg")
-    one = F.array(F.struct(kind.alias("op"), num.alias("num"), ref.alias("ref")))
-    return F.struct(
-        F.concat(state["out"], one, _as_steps(F.slice(state["held"], waiting + 1, F.size(state["held"]) - waiting))).alias("out"),
-        F.slice(state["held"], F.lit(1), waiting).alias("held"),
-        after.alias("expects"),
-        state["ok"].alias("ok"),
-    )
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _state(out: Column, held: Column, expects: Column, ok: Column) -> Column:
+    return F.struct(out.alias("out"), held.alias("held"), expects.alias("expects"), ok.alias("ok"))
 
 
 def _kept(held: Column, stays: Callable[[Column], Column]) -> Column:
@@ -88,40 +85,48 @@ def side_steps(raw: Column) -> Column:
         F.lit(True).alias("ok"),
     )
 
-    def let_out(state: Column, stays: Callable[[Column], Column], extra: Column, expects: bool, drop: int = 0) -> Column:
-        kept = _kept(state["held"], stays)
-        gone = F.slice(state["held"], kept + 1, F.size(state["held"]) - kept)
-        held = F.concat(F.slice(state["held"], F.lit(1), F.greatest(kept - drop, F.lit(0))), extra)
-        # Signs before a closed bracket follow it at once.
-        bound = _kept(held, lambda op: op != "neg") if drop else F.size(held)
-        out = F.concat(state["out"], _as_steps(gone), _as_steps(F.slice(held, bound + 1, F.size(held) - bound)))
-        ok = state["ok"] & ((kept >= drop) if drop else F.lit(True))
-        return F.struct(out.alias("out"), F.slice(held, F.lit(1), bound).alias("held"), F.lit(expects).alias("expects"), ok.alias("ok"))
-
-    def hold(state: Column, sign: Column) -> Column:
-        return F.struct(state["out"].alias("out"), F.concat(state["held"], F.array(sign)).alias("held"), F.lit(True).alias("expects"), state["ok"].alias("ok"))
-
     def step(state: Column, t: Column) -> Column:
-        none = F.expr("cast(array() as array<string>)")
-        wrong = F.struct(state["out"].alias("out"), state["held"].alias("held"), state["expects"].alias("expects"), F.lit(False).alias("ok"))
+        expects, held = state["expects"], state["held"]
         ref, num = t.startswith("#{"), t.rlike(r"^\.?[0-9]")
-        operand = _pushed(
-            state,
-            F.lit(False),
-            F.when(ref, "ref").otherwise("num"),
-            F.when(num, t.try_cast("double")),
-            F.when(ref, F.translate(F.regexp_replace(t, r"[#{}]", ""), ".", "_")),
-        )
-        return (
-            F.when(state["expects"] & (ref | num), operand)
-            .when(state["expects"] & (t == "-"), hold(state, F.lit("neg")))
-            .when(state["expects"] & (t == "+"), state)
-            .when(state["expects"] & (t == "("), hold(state, t))
-            .when(~state["expects"] & t.isin("*", "/"), let_out(state, lambda op: op.isin("(", "+", "-"), F.array(t), True))
-            .when(~state["expects"] & t.isin("+", "-"), let_out(state, lambda op: op == "(", F.array(t), True))
-            .when(~state["expects"] & (t == ")"), let_out(state, lambda op: op == "(", none, False, drop=1))
-            .otherwise(wrong)
+        operand = expects & (ref | num)
+        prefix = expects & t.isin("-", "+", "(")
+        joins = ~expects & t.isin("*", "/", "+", "-")
+        closes = ~expects & (t == ")")
+        one = F.array(
+            F.struct(
+                F.when(ref, "ref").otherwise("num").alias("op"),
+                F.when(num, t.try_cast("double")).alias("num"),
+                F.when(ref, F.translate(F.regexp_replace(t, r"[#{}]", ""), ".", "_")).alias("ref"),
+            )
         )
+        # Signs that go out before this piece: all that bind as tightly, down to a bracket.
+        rank = lambda op: F.when(op == "(", 0).when(op.isin("+", "-"), 1).when(op.isin("*", "/"), 2).otherwise(3)
+        least = F.when(joins, rank(t)).when(closes, 1).otherwise(4)
+        none = F.expr("cast(array() as array<string>)")
+        sign = F.when(expects & (t == "-"), F.array(F.lit("neg"))).when((prefix & (t == "(")) | joins, F.array(t)).otherwise(none)
+
+        def moved(left: Column) -> Column:
+            gone = _as_steps(F.slice(held, left + 1, F.size(held) - left))
+            out = F.concat(state["out"], F.when(operand, one).otherwise(gone))
+            kept = F.concat(F.slice(held, F.lit(1), F.greatest(left - F.when(closes, 1).otherwise(0), F.lit(0))), sign)
+            ok = state["ok"] & (operand | prefix | joins | (closes & (left > 0)))
+            return _state(out, kept, prefix | joins, ok)
+
+        def bound(s: Column) -> Column:
+            """Minus signs before an operand or a closed bracket bind tightest and follow it at once."""
+            left = F.when(operand | closes, _kept(s["held"], lambda op: op != "neg")).otherwise(F.size(s["held"]))
+            return _once(
+                left,
+                lambda n: _state(
+                    F.concat(s["out"], _as_steps(F.slice(s["held"], n + 1, F.size(s["held"]) - n))),
+                    F.slice(s["held"], F.lit(1), n),
+                    s["expects"],
+                    s["ok"],
+                ),
+            )
+
+        stays = _kept(held, lambda op: rank(op) < least)
+        return _once(_once(stays, moved), bound)
 
     def finish(state: Column) -> Column:
         whole = state["ok"] & ~state["expects"] & ~F.array_contains(state["held"], "(")
