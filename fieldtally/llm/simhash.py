@@ -7,7 +7,7 @@ rotated so that another block stands first, by that block; no bit may differ the
 which makes its value a node of the trie that meets only itself. Below it pairs of
 nodes are walked together, one bit at a time: children that continue with the
 same bit keep their error, others add one, and a pair over the budget of 3 is pruned.
-Small pairs of nodes are compared directly.
+Only pairs of leaves are compared by all their bits.
 
 A node's links are returned as a spanning forest of what the walk links, not as
 all pairs: components are the same. Components are found by alternating
@@ -34,7 +34,8 @@ SHINGLE = 3
 BUDGET = 3
 BLOCK = 16
 SEED = 42
-DIRECT = 4096  # pairs of a node pair that are compared without walking on
+DIRECT = 1  # pairs of a node pair that are compared without walking on: two leaves
+_FRONT = 1 << 16  # node pairs that are walked at a time
 _PIECE = 1 << 15  # shingles whose bits are counted at a time
 
 
@@ -108,34 +109,37 @@ def trie_links(values: np.ndarray, depth: int = BLOCK, budget: int = BUDGET) ->
     top = values >> np.uint64(64 - depth)
     edge = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1], [True])))
     lo, hi = edge[:-1], edge[1:]
-    # Node pairs: ranges of both nodes and the bits that differ so far.
-    a0, a1, b0, b1, err = lo, hi, lo, hi, np.zeros(len(lo), np.int64)
-    bit = 63 - depth
-    while len(a0):
+    # Node pairs: ranges of both nodes and the bits that differ so far. Pieces of a level wait
+    # while one is walked down, so that memory is bounded by the trie's height.
+    waiting = [(63 - depth, (lo, hi, lo, hi, np.zeros(len(lo), np.int64)))]
+    while waiting:
+        bit, pairs = waiting.pop()
+        if len(pairs[0]) > _FRONT:
+            waiting.append((bit, tuple(x[_FRONT:] for x in pairs)))
+            pairs = tuple(x[:_FRONT] for x in pairs)
+        a0, a1, b0, b1, err = pairs
         many = (a1 - a0) * (b1 - b0)
-        same = a0 == b0
-        alone = same & (a1 - a0 < 2)
+        alone = (a0 == b0) & (a1 - a0 < 2)
         direct = ~alone & ((many <= DIRECT) | (bit < 0))
         if direct.any():
             _compare(values, a0[direct], a1[direct], b0[direct], b1[direct], budget, parent, left, right)
         walk = ~alone & ~direct
-        a0, a1, b0, b1, err = a0[walk], a1[walk], b0[walk], b1[walk], err[walk]
+        a0, a1, b0, b1, err = (x[walk] for x in (a0, a1, b0, b1, err))
         if not len(a0):
-            break
+            continue
         cut_a, cut_b = _split(values, a0, a1, bit), _split(values, b0, b1, bit)
         same = a0 == b0
-        parts = [
-            (a0, cut_a, b0, cut_b, err, np.ones(len(a0), bool)),
-            (cut_a, a1, cut_b, b1, err, np.ones(len(a0), bool)),
-            (a0, cut_a, cut_b, b1, err + 1, np.ones(len(a0), bool)),
+        children = [
+            (a0, cut_a, b0, cut_b, err, True),
+            (cut_a, a1, cut_b, b1, err, True),
+            (a0, cut_a, cut_b, b1, err + 1, True),
             (cut_a, a1, b0, cut_b, err + 1, ~same),  # a node with itself: once is enough
         ]
         grown = []
-        for x0, x1, y0, y1, e, ok in parts:
-            ok = ok & (e <= budget) & (x1 > x0) & (y1 > y0)
+        for x0, x1, y0, y1, e, ok in children:
+            ok = (e <= budget) & (x1 > x0) & (y1 > y0) & ok
             grown.append((x0[ok], x1[ok], y0[ok], y1[ok], e[ok]))
-        a0, a1, b0, b1, err = (np.concatenate(x) for x in zip(*grown))
-        bit -= 1
+        waiting.append((bit - 1, tuple(np.concatenate(x) for x in zip(*grown))))
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
