@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import periods
 from ..functions.joins import with_dictionary
-from ..sources.staging import settle
 
 LIST_SEPARATOR = r" ;\n "
 
@@ -209,57 +208,56 @@ def prepare(
 # -- organisation tree -------------------------------------------------------
 
 
+# Deepest level that a tree is followed to; a cycle of parents is never entered
+# from a root, so the limit only stops a tree that is deeper than this.
+MAX_LEVELS = 10_000
+
+
 def drop_phantom_units(units: DataFrame, phantom_parent: str, depth: int = 3) -> DataFrame:
-    """Remove the children of a named placeholder and ``depth`` levels below."""
-    parents = units.select(F.col("id").alias("_pid"), F.col("name").alias("_pname"))
-    bad = (
-        units.join(parents, F.col("parent_id") == F.col("_pid"))
-        .filter(F.col("_pname") == phantom_parent)
-        .select("id")
+    """Remove the children of a named placeholder and ``depth`` levels below.
+
+    The units below are one recursive query, which runs one join a level when the
+    result is used.
+    """
+    found = units.sparkSession.sql(
+        """
+        WITH RECURSIVE below(id, step) AS (
+          SELECT u.id, 0 FROM {units} u JOIN {units} p ON u.parent_id = p.id WHERE p.name = :placeholder
+          UNION ALL
+          SELECT u.id, step + 1 FROM below b JOIN {units} u ON u.parent_id = b.id WHERE step < :depth)
+        SELECT DISTINCT id FROM below LIMIT ALL
+        """,
+        {"placeholder": phantom_parent, "depth": depth},
+        units=units.select("id", "name", "parent_id"),
     )
-    found = bad
-    for _ in range(depth):
-        bad = (
-            units.alias("u")
-            .join(bad.withColumnRenamed("id", "_bad"), F.col("u.parent_id") == F.col("_bad"))
-            .select("u.id")
-        )
-        found = found.unionByName(bad)
     return units.join(found, "id", "left_anti")
 
 
 def flatten_tree(units: DataFrame, level_names: list[str]) -> DataFrame:
     """Edge list to one row per unit with one name column per level.
 
-    The tree has as many joins as it has levels, each on the parent id.
+    One recursive query goes down from the roots, those without a parent in the
+    table, whatever the ``level`` column says; ``level`` in the result is the
+    length of the path. Units that no root reaches, because their parents form a
+    cycle, have a path of their own name. A unit with an id that several rows share
+    has one row for each row and path.
     """
-    edges = units.select("id", "name", "parent_id")
-    out = units.select(
+    paths = units.sparkSession.sql(
+        f"""
+        WITH RECURSIVE tree(id, path) MAX RECURSION LEVEL {MAX_LEVELS} AS (
+          SELECT u.id, array(u.name) FROM {{units}} u LEFT ANTI JOIN {{units}} p ON u.parent_id = p.id
+          UNION ALL
+          SELECT u.id, t.path || array(u.name) FROM tree t JOIN {{units}} u ON u.parent_id = t.id)
+        SELECT DISTINCT id AS _id, path AS _path FROM tree LIMIT ALL
+        """,
+        units=units.select("id", "name", "parent_id"),
+    )
+    path = F.coalesce(F.col("_path"), F.array("name"))
+    return units.join(paths, F.col("id") == F.col("_id"), "left").select(
         F.col("id").alias("orgUnit"),
         F.col("name").alias("orgUnitName"),
-        "level",
-        "leaf",
-        F.array(F.col("name")).alias("_path"),
-        F.col("parent_id").alias("_up"),
-    )
-    deepest = units.agg(F.max("level")).first()[0] or 1
-    for _ in range(max(deepest, len(level_names)) - 1):
-        up = edges.select(F.col("id").alias("_i"), F.col("name").alias("_n"), F.col("parent_id").alias("_p"))
-        out = out.join(up, F.col("_up") == F.col("_i"), "left").select(
-            "orgUnit",
-            "orgUnitName",
-            "level",
-            "leaf",
-            F.when(F.col("_n").isNull(), F.col("_path"))
-            .otherwise(F.concat(F.array(F.col("_n")), F.col("_path")))
-            .alias("_path"),
-            F.col("_p").alias("_up"),
-        )
-    return out.select(
-        "orgUnit",
-        "orgUnitName",
-        *[F.get(F.col("_path"), F.lit(i)).alias(n) for i, n in enumerate(level_names)],
-        F.size("_path").alias("level"),
+        *[F.get(path, F.lit(i)).alias(n) for i, n in enumerate(level_names)],
+        F.size(path).alias("level"),
         "leaf",
     )
 
@@ -267,25 +265,26 @@ def flatten_tree(units: DataFrame, level_names: list[str]) -> DataFrame:
 def descendants(units: DataFrame, node_name: str) -> DataFrame:
     """All units below a node, by name regardless of case and outer spaces.
 
-    ``units`` has ``name`` and ``parentName``. One level per round, each
-    written out so that the plan stays small. Rounds go on until a level brings
-    no new unit; a unit is never visited twice.
+    ``units`` has ``name`` and ``parentName``. Only names that are some unit's
+    parent take part in the recursive query; each carries the names above it, so
+    that a cycle ends where it closes. All other units are found by one semi-join
+    with the names reached.
     """
     norm = lambda c: F.trim(F.lower(c))
-    edges = units.select(
-        F.col("name"), norm(F.col("name")).alias("_n"), norm(F.col("parentName")).alias("_p")
+    edges = units.select("name", norm(F.col("name")).alias("n"), norm(F.col("parentName")).alias("p"))
+    inner = edges.select("n", "p").join(edges.select(F.col("p").alias("n")).distinct(), "n", "left_semi").distinct()
+    reached = units.sparkSession.sql(
+        f"""
+        WITH RECURSIVE down(n, trail) MAX RECURSION LEVEL {MAX_LEVELS} AS (
+          SELECT trim(lower(:node)), array(trim(lower(:node)))
+          UNION ALL
+          SELECT e.n, d.trail || array(e.n) FROM down d JOIN {{inner}} e ON e.p = d.n WHERE NOT array_contains(d.trail, e.n))
+        SELECT DISTINCT n AS p FROM down LIMIT ALL
+        """,
+        {"node": node_name},
+        inner=inner,
     )
-    start = node_name.lower().strip()
-    edges = settle(edges)
-    front = settle(edges.filter(F.col("_p") == start).select("name", "_n").distinct())
-    found = front
-    while True:
-        below = edges.join(front.select(F.col("_n").alias("_p")).distinct(), "_p", "left_semi")
-        front = settle(below.select("name", "_n").distinct().join(found, "_n", "left_anti").select("name", "_n"))
-        if front.isEmpty():
-            break
-        found = found.unionByName(front)
-    return found.select("name").distinct()
+    return edges.join(reached, "p", "left_semi").select("name").distinct()
 
 
 def level_names(units: DataFrame) -> DataFrame:

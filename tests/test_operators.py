@@ -454,3 +454,21 @@ def test_shared_folder_comes_from_the_session(spark):
     assert staging.settle(spark.range(5)).count() == 5
     assert staging.shared_folder(spark) == str(folder)
     assert any(p.name.startswith("fieldtally-") for p in folder.iterdir())
+
+
+def test_trees_from_their_roots(spark):
+    rows = [("r", "Root", None, 9), ("a", "A", "r", None), ("b", "B", "a", 1), ("o", "Orphan", "gone", 3), ("x", "X", "y", 2), ("y", "Y", "x", 2), (None, "N", "r", 2), ("b", "B", "a", 1)]
+    units = spark.createDataFrame([(*r, True) for r in rows], "id string, name string, parent_id string, level int, leaf boolean")
+    got = sorted((r.orgUnitName, r.Top, r.Mid, r.Low, r.level) for r in conform.flatten_tree(units, ["Top", "Mid", "Low"]).fillna("").collect())
+    own = {("N", "N", "", "", 1), ("Orphan", "Orphan", "", "", 1), ("Root", "Root", "", "", 1), ("X", "X", "", "", 1), ("Y", "Y", "", "", 1)}
+    assert set(got) == {("A", "Root", "A", "", 2), ("B", "Root", "A", "B", 3), *own} and len(got) == len(rows)
+    assert conform.flatten_tree(units.limit(0), ["Top"]).count() == 0
+
+
+def test_phantoms_and_descendants_by_recursion(spark):
+    chain = [(str(i), f"n{i}", str(i - 1) if i else None) for i in range(7)] + [("7", "other", None)]
+    units = spark.createDataFrame(chain, "id string, name string, parent_id string")
+    assert {r.id for r in conform.drop_phantom_units(units, "n0", 2).collect()} == {"0", "4", "5", "6", "7"}
+    named = units.selectExpr("name", "CASE WHEN parent_id IS NOT NULL THEN 'N' || parent_id || ' ' END AS parentName")
+    assert {r.name for r in conform.descendants(named, "n4").collect()} == {"n5", "n6"}
+    assert conform.descendants(named, "absent").count() == 0
