@@ -137,9 +137,13 @@ def stale_periods(spark, sf):
     nums="total",
 )
 def merge_refresh(spark, sf):
-    fresh = fx.raw(spark, sf).join(stale(spark, sf), "period", "left_semi")
-    merged = refresh.merge_refresh(stored_raw(spark, sf), fresh)
-    return merged.groupBy("period").agg(
+    """Stale periods taken into a stored extract, which is then read back."""
+    path = f"{shared_folder(spark)}/extract-{uuid.uuid4().hex}"
+    refresh.refresh_stored(path, stored_raw(spark, sf))
+    stored = refresh.read_stored(spark, path)
+    fresh = fx.raw(spark, sf).join(refresh.stale_periods(stored, current_totals(spark, sf), fx.raw(spark, sf).select("period")), "period", "left_semi")
+    refresh.refresh_stored(path, fresh)
+    return refresh.read_stored(spark, path).groupBy("period").agg(
         F.count(F.lit(1)).alias("n"),
         F.countDistinct("orgUnit").alias("units"),
         F.sum(F.col("SUM").cast("double")).alias("total"),
