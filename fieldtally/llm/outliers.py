@@ -2,24 +2,30 @@
 
 Each text gets five statistics, transformed so that ordinary texts scatter evenly:
 log of its words, letters per word, and the square roots of the shares of signs,
-repeated lines and repeated words. For each language and source the minimum
-covariance determinant is approximated by concentration steps: from the rows
-closest to the medians, means and covariances are taken from the ``KEEP`` share of
-rows that are closest by the last estimate, and so on. Rows are rejected whose
-squared Mahalanobis distance, scaled so that its median fits a normal cloud,
-exceeds ``CUT``.
-
-Texts are read once into a slim stored table. Every step joins the estimates of the
-groups to it (broadcast if few, else salted) and sums moments before the shuffle, so
-a group with a third of all rows is no single task. A floor on each statistic's
-variance keeps statistics that are nearly always zero from rejecting small deviations.
-
-Groups of fewer than ``MIN_ROWS`` texts with words are held against an estimate of all
-texts of their language, and languages of fewer against one of all texts, whatever
-their number, so that every text with words is judged.
-
-Edge cases: a null or empty text has no words and fails the base rule. Null languages and sources are groups of their own. Rows that repeat a
-doc_id each get their row. Only doc_id, text, lang and source are read.
+repeated lines and repeated words. For each language and source, each language, and
+all texts, the minimum covariance determinant is sought: from several starts (the
+medians with fixed scales, and a few rows picked by hash) means and covariances are
+taken from the ``KEEP`` share of rows that are closest by the last estimate, until the
+determinant falls no more; the start with the least determinant counts. A floor on
+each statistic's variance, inside the determinant, keeps statistics that are nearly
+always zero from rejecting small deviations.
+
+Estimates are scaled so that the median distance fits a normal cloud, and shrunk:
+a group of n texts takes n / (n + ``SHRINK``) of its own estimate and the rest of its
+language's, which is shrunk towards that of all texts in the same way. Rows are
+rejected whose squared Mahalanobis distance exceeds ``CUT``. Verdicts change smoothly
+with the size of a group, and every text with words is judged.
+
+Texts are read once into a slim stored table. Every step joins the estimates that
+still move to it (broadcast if few, else salted) and sums moments before the shuffle, so
+a group with a third of all rows is no single task. Closest shares and medians are
+quantiles to one part in ``ACCURACY``.
+
+Edge cases: a null or empty text has no words and fails the base rule. Very long texts
+take one row like others. Null languages and sources are groups of their own. Rows that
+repeat a doc_id each get their row. Ties at the closest share are all taken. An empty
+table gives none. Only doc_id, text, lang and source are read, whatever other columns
+are called.
 """
 
 from __future__ import annotations
@@ -33,11 +39,17 @@ WINDOW = 8
 NAMES = ("length", "letters", "signs", "lines", "repeats")
 FLOOR = (0.3, 0.5, 0.04, 0.15, 0.15)  # least standard deviation of each statistic
 KEEP = 0.75
-STEPS = 2
+STARTS = 4  # the medians, and three picks
+PICK = 12  # rows of a picked start, on average
+REST = 1e-3  # least relative fall of a determinant for another step
 CUT = 45.0  # a normal cloud in five dimensions exceeds it once in 7e7 rows
 MEDIAN = 4.351  # of the chi-squared distribution with five degrees of freedom
-MIN_ROWS = 50
+SHRINK = 50
+ACCURACY = 10_000
 GROUP = ["level", "g_lang", "g_source"]
+PAIRS = [(i, j) for i in range(len(NAMES)) for j in range(i + 1)]
+CENTRE = [f"c_{n}" for n in NAMES]
+COVARIANCE = [f"v_{i}_{j}" for i, j in PAIRS]
 
 
 def with_repeated_words(rows: DataFrame, words: str) -> DataFrame:
@@ -101,45 +113,43 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def levels(used: DataFrame) -> DataFrame:
-    """For each language and source the level it is judged at (0 group, 1 language,
-    2 all), and the levels whose estimates its rows take part in."""
-    sizes = stored(used.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")), "group-sizes")
-    langs = sizes.groupBy(F.col("lang").alias("_lang")).agg(F.sum("n").alias("n_lang"), (F.min("n") < MIN_ROWS).alias("pooled"))
-    large, large_lang = F.col("n") >= MIN_ROWS, F.col("n_lang") >= MIN_ROWS
-    judged = F.when(large, 0).when(large_lang, 1).otherwise(2)
-    out = sizes.join(langs, F.col("lang").eqNullSafe(F.col("_lang"))).withColumn("judged", judged)
-    out = stored(out.drop("_lang"), "group-levels")
-    every = out.where("judged = 2").limit(1).count() > 0
-    serves = F.array(F.when(large, 0), F.when(F.col("pooled") & large_lang, 1), F.lit(2 if every else None).cast("int"))
-    return stored(out.select("lang", "source", "judged", F.array_compact(serves).alias("serves")), "group-levels")
-
-
-def _at(rows: DataFrame, level: Column) -> DataFrame:
-    """Adds ``GROUP``, the key of the estimate of a level."""
+def grouped(rows: DataFrame, level: Column) -> DataFrame:
+    """Adds ``GROUP``, the key of the estimate of a level: 0 language and source,
+    1 language, 2 all."""
     rows = rows.withColumn("level", level)
     return rows.withColumn("g_lang", F.when(F.col("level") < 2, F.col("lang"))).withColumn("g_source", F.when(F.col("level") == 0, F.col("source")))
 
 
-def _sums(rows: DataFrame) -> DataFrame:
-    """Per group the Cholesky factor of the covariance, floors added, and the means."""
-    k = len(NAMES)
-    x = [F.col(f"x_{n}") - F.col(f"c_{n}") for n in NAMES]  # about the last centre: no loss of digits
-    out = rows.groupBy(*GROUP).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.first(f"c_{n}").alias(f"c_{n}") for n in NAMES],
-        *[F.sum(x[i]).alias(f"s_{i}") for i in range(k)],
-        *[F.sum(x[i] * x[j]).alias(f"q_{i}_{j}") for i in range(k) for j in range(i + 1)],
+def _moments(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Per key the means and the covariances with floors, about the last centre so
+    that no digits are lost."""
+    x = [F.col(f"x_{n}") - F.col(c) for n, c in zip(NAMES, CENTRE)]
+    out = rows.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("m"),
+        *[F.first(c).alias(c) for c in CENTRE],
+        *[F.sum(x[i]).alias(f"s_{i}") for i in range(len(NAMES))],
+        *[F.sum(x[i] * x[j]).alias(f"q_{i}_{j}") for i, j in PAIRS],
     )
-    for i in range(k):
-        for j in range(i + 1):
-            cov = F.col(f"q_{i}_{j}") / F.col("n") - F.col(f"s_{i}") * F.col(f"s_{j}") / (F.col("n") * F.col("n"))
-            rest = cov + (F.lit(FLOOR[i] ** 2) if i == j else F.lit(0.0))
-            for m in range(j):
-                rest = rest - F.col(f"l_{i}_{m}") * F.col(f"l_{j}_{m}")
-            out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(FLOOR[i] ** 2))) if i == j else rest / F.col(f"l_{j}_{j}"))
-    centre = [(F.col(f"c_{n}") + F.col(f"s_{i}") / F.col("n")).alias(f"c_{n}") for i, n in enumerate(NAMES)]
-    return out.select(*GROUP, *centre, *[f"l_{i}_{j}" for i in range(k) for j in range(i + 1)])
+    mean = lambda name: F.col(name) / F.col("m")
+    centre = [(F.col(c) + mean(f"s_{i}")).alias(c) for i, c in enumerate(CENTRE)]
+    floor = lambda i, j: F.lit(FLOOR[i] ** 2 if i == j else 0.0)
+    cov = [(mean(f"q_{i}_{j}") - mean(f"s_{i}") * mean(f"s_{j}") + floor(i, j)).alias(f"v_{i}_{j}") for i, j in PAIRS]
+    return out.select(*key, *centre, *cov)
+
+
+def factored(estimate: DataFrame) -> DataFrame:
+    """Adds the Cholesky factor of the covariance and the log of its determinant.
+
+    With the floors no pivot falls below its floor, but for rounding."""
+    log_det = F.lit(0.0)
+    for i, j in PAIRS:
+        rest = F.col(f"v_{i}_{j}")
+        for m in range(j):
+            rest = rest - F.col(f"l_{i}_{m}") * F.col(f"l_{j}_{m}")
+        estimate = estimate.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(FLOOR[i] ** 2))) if i == j else rest / F.col(f"l_{j}_{j}"))
+        if i == j:
+            log_det = log_det + 2 * F.log(F.col(f"l_{i}_{i}"))
+    return estimate.withColumn("log_det", log_det)
 
 
 def _distance(rows: DataFrame) -> DataFrame:
@@ -154,30 +164,89 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", total).drop(*[f"_y_{i}" for i in range(len(NAMES))])
 
 
+def _quantile(column: str, share: float) -> Column:
+    return F.percentile_approx(column, share, ACCURACY)
+
+
+def _matched(left: DataFrame, right: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """Join of two tables of estimates on a key whose nulls are values."""
+    right = right.select(*[F.col(k).alias(f"_r_{k}") for k in key], *[c for c in right.columns if c not in key])
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in key]
+    return left.join(right, on, how).drop(*[f"_r_{k}" for k in key])
+
+
+def _starts(used: DataFrame, spread: Column) -> DataFrame:
+    """The starts of every group with its number of texts."""
+    medians = used.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), *[_quantile(f"x_{n}", 0.5).alias(c) for n, c in zip(NAMES, CENTRE)])
+    medians = stored(medians, "robust-medians")
+    fixed = [F.lit(FLOOR[i] ** 2 if i == j else 0.0).alias(f"v_{i}_{j}") for i, j in PAIRS]
+    first = medians.select(*GROUP, F.lit(0).alias("start"), *CENTRE, *fixed)
+    rows = bounded_join(used, medians, GROUP, spread).withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(STARTS - 1))))
+    drawn = F.pmod(F.xxhash64("start", "doc_id", *[f"x_{n}" for n in NAMES]), F.col("n")) < PICK
+    picked = _moments(rows.where(drawn), [*GROUP, "start"])
+    return _matched(first.unionByName(picked), medians.select(*GROUP, "n"), GROUP)
+
+
+def estimates(used: DataFrame, spread: Column) -> DataFrame:
+    """Per group the number of texts, centre, covariance and log determinant of the
+    best start. ``used`` has ``GROUP`` and the vectors; it is stored already.
+
+    A step takes the rows within the ``KEEP`` quantile of each estimate. The least
+    determinant seen of a start is kept; it rests when a step lowers it by less than
+    ``REST``. Determinants only fall, and not below that of the floors, so it ends.
+    """
+    key = [*GROUP, "start"]
+    columns = [*key, "n", *CENTRE, *COVARIANCE, "log_det"]
+    # The determinant of a start is that of other rows: any first step replaces it.
+    moving = stored(factored(_starts(used, spread)).withColumn("log_det", F.lit(float("inf"))), "robust-starts")
+    rested = moving.select(*columns).limit(0)
+    while moving.limit(1).count():
+        far = _distance(bounded_join(used, moving, GROUP, spread)).where("d2 is not null")
+        cut = far.groupBy(*key).agg(_quantile("d2", KEEP).alias("cut"))
+        cut = stored(_matched(moving, cut, key), "robust-cut")
+        near = _distance(bounded_join(used, cut, GROUP, spread)).where("d2 <= cut")
+        last = moving.select(*columns).withColumnsRenamed({c: f"_{c}" for c in columns[len(key) + 1 :]})
+        step = stored(_matched(factored(_moments(near, key)), last, key), "robust-step")
+        lower = F.col("log_det") < F.col("_log_det")
+        falls = F.col("log_det") < F.col("_log_det") - REST
+        best = [F.when(lower, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in columns[len(key) + 1 :]]
+        rested = rested.unionByName(step.where(~falls).select(*key, "n", *best))
+        moving = step.where(falls).drop(*[f"_{c}" for c in columns[len(key) + 1 :]])
+    least = F.min(F.struct("log_det", "start", *CENTRE, *COVARIANCE)).alias("b")
+    return stored(rested.groupBy(*GROUP, "n").agg(least).select(*GROUP, "n", "b.*"), "robust-estimate")
+
+
+def shrunk(used: DataFrame, spread: Column) -> DataFrame:
+    """The estimate that each language and source is judged by."""
+    found = estimates(used, spread)
+    far = _distance(bounded_join(used, factored(found), GROUP, spread)).where("d2 is not null")
+    middle = stored(far.groupBy(*GROUP).agg(_quantile("d2", 0.5).alias("middle")), "robust-middle")
+    # Tight groups are not stretched: the scale is 1 at least.
+    scale = F.greatest(F.col("middle") / MEDIAN, F.lit(1.0))
+    found = _matched(found, middle, GROUP).select(*GROUP, "n", *CENTRE, *[(F.col(v) * scale).alias(v) for v in COVARIANCE])
+    found = stored(found, "robust-scaled")
+    own = F.col("n") / (F.col("n") + SHRINK)
+
+    def towards(small: DataFrame, large: DataFrame, key: list[str]) -> DataFrame:
+        wider = large.select(*key, *[F.col(c).alias(f"_{c}") for c in [*CENTRE, *COVARIANCE]])
+        mixed = [(own * F.col(c) + (1 - own) * F.col(f"_{c}")).alias(c) for c in [*CENTRE, *COVARIANCE]]
+        return _matched(small, wider, key).select(*GROUP, "n", *mixed)
+
+    every = found.where("level = 2").withColumn("one", F.lit(1))
+    langs = towards(found.where("level = 1").withColumn("one", F.lit(1)), every, ["one"])
+    groups = towards(found.where("level = 0"), langs, ["g_lang"])
+    return stored(factored(groups), "robust-groups")
+
+
 def verdicts(docs: DataFrame) -> DataFrame:
-    """The counts, base_failed, the scaled distance and kept for every document."""
+    """The counts, base_failed, the distance and kept for every document."""
     rows = stored(with_vector(statistics(docs)).withColumn("base_failed", base_failed()), "text-statistics")
-    group = GROUP
     spread = F.col("doc_id")
-    rows = bounded_join(rows, levels(rows.where("n_words > 0")), ["lang", "source"], spread)
-    used = _at(rows.where("n_words > 0"), F.explode("serves"))
-    k = len(NAMES)
-    medians = used.groupBy(*group).agg(*[F.percentile_approx(f"x_{n}", 0.5, 1000).alias(f"c_{n}") for n in NAMES])
-    start = [F.lit(FLOOR[i] if i == j else 0.0).alias(f"l_{i}_{j}") for i in range(k) for j in range(i + 1)]
-    estimate = stored(medians.select(*group, *[f"c_{n}" for n in NAMES], *start), "robust-estimate")
-    for _ in range(STEPS):
-        far = _distance(bounded_join(used, estimate, group, spread)).where(F.col("d2").isNotNull())
-        cut = stored(far.groupBy(*group).agg(F.percentile_approx("d2", KEEP, 1000).alias("cut")), "robust-cut")
-        near = bounded_join(far, cut, group, spread).where("d2 <= cut")
-        estimate = stored(_sums(near), "robust-estimate")
-    far = _distance(bounded_join(used, estimate, group, spread)).where(F.col("d2").isNotNull())
-    middle = far.groupBy(*group).agg(F.percentile_approx("d2", 0.5, 1000).alias("middle"))
-    estimate = stored(estimate.join(middle, [estimate[g].eqNullSafe(middle[g]) for g in group]).select(estimate["*"], "middle"), "robust-estimate")
-    out = _distance(bounded_join(_at(rows, F.col("judged")), estimate, group, spread))
-    # Tight groups are not stretched: the scale is 1 at least.
-    distance = F.col("d2") / F.greatest(F.col("middle") / MEDIAN, F.lit(1.0))
+    every_level = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))
+    used = grouped(rows.where("n_words > 0").select("doc_id", "lang", "source", *[f"x_{n}" for n in NAMES]), every_level)
+    out = _distance(bounded_join(grouped(rows, F.lit(0)), shrunk(used, spread), GROUP, spread))
     return out.select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        distance.alias("distance"),
-        (~F.col("base_failed") & (F.coalesce(distance, F.lit(0.0)) <= CUT)).alias("kept"),
+        F.col("d2").alias("distance"),
+        (~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CUT)).alias("kept"),
     )
