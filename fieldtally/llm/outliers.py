@@ -33,14 +33,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACES, WORD, bounded_join, stored, whole
+from .shared import SPACES, WORD, bounded_join, fresh_path, stored, whole
 
 WINDOW = 8
 NAMES = ("length", "letters", "signs", "lines", "repeats")
 FLOOR = (0.3, 0.5, 0.04, 0.15, 0.15)  # least standard deviation of each statistic
 KEEP = 0.75
 STARTS = 4  # the medians, and three picks
-PICK = 12  # rows of a picked start, on average
+PICK = 6  # rows of a picked start, on average: one more than statistics
 REST = 1e-3  # least relative fall of a determinant for another step
 CUT = 45.0  # a normal cloud in five dimensions exceeds it once in 7e7 rows
 MEDIAN = 4.351  # of the chi-squared distribution with five degrees of freedom
@@ -199,8 +199,10 @@ def estimates(used: DataFrame, spread: Column) -> DataFrame:
     columns = [*key, "n", *CENTRE, *COVARIANCE, "log_det"]
     # The determinant of a start is that of other rows: any first step replaces it.
     moving = stored(factored(_starts(used, spread)).withColumn("log_det", F.lit(float("inf"))), "robust-starts")
-    rested = moving.select(*columns).limit(0)
+    folder, step_no = fresh_path(used.sparkSession, "robust-rested"), 0
+    moving.select(*columns).limit(0).write.parquet(f"{folder}/step=0")
     while moving.limit(1).count():
+        step_no += 1
         far = _distance(bounded_join(used, moving, GROUP, spread)).where("d2 is not null")
         cut = far.groupBy(*key).agg(_quantile("d2", KEEP).alias("cut"))
         cut = stored(_matched(moving, cut, key), "robust-cut")
@@ -210,16 +212,18 @@ def estimates(used: DataFrame, spread: Column) -> DataFrame:
         lower = F.col("log_det") < F.col("_log_det")
         falls = F.col("log_det") < F.col("_log_det") - REST
         best = [F.when(lower, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in columns[len(key) + 1 :]]
-        rested = rested.unionByName(step.where(~falls).select(*key, "n", *best))
+        step.where(~falls).select(*key, "n", *best).write.parquet(f"{folder}/step={step_no}")
         moving = step.where(falls).drop(*[f"_{c}" for c in columns[len(key) + 1 :]])
     least = F.min(F.struct("log_det", "start", *CENTRE, *COVARIANCE)).alias("b")
+    rested = used.sparkSession.read.schema(moving.select(*columns).schema).parquet(folder)
     return stored(rested.groupBy(*GROUP, "n").agg(least).select(*GROUP, "n", "b.*"), "robust-estimate")
 
 
 def shrunk(used: DataFrame, spread: Column) -> DataFrame:
     """The estimate that each language and source is judged by."""
     found = estimates(used, spread)
-    far = _distance(bounded_join(used, factored(found), GROUP, spread)).where("d2 is not null")
+    known = stored(factored(found), "robust-factors")
+    far = _distance(bounded_join(used, known, GROUP, spread)).where("d2 is not null")
     middle = stored(far.groupBy(*GROUP).agg(_quantile("d2", 0.5).alias("middle")), "robust-middle")
     # Tight groups are not stretched: the scale is 1 at least.
     scale = F.greatest(F.col("middle") / MEDIAN, F.lit(1.0))
@@ -235,7 +239,7 @@ def shrunk(used: DataFrame, spread: Column) -> DataFrame:
     every = found.where("level = 2").withColumn("one", F.lit(1))
     langs = towards(found.where("level = 1").withColumn("one", F.lit(1)), every, ["one"])
     groups = towards(found.where("level = 0"), langs, ["g_lang"])
-    return stored(factored(groups), "robust-groups")
+    return stored(factored(stored(groups, "robust-shrunk")), "robust-groups")
 
 
 def verdicts(docs: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 import hashlib
 import re
 from collections import Counter
+from itertools import combinations
 
+import numpy as np
 import pytest
 from fieldtally.llm import mixing, outliers, pii, queries, rollups, secrets, urls
 from fieldtally.llm.shared import fresh_path, table
@@ -195,6 +197,47 @@ def test_texts_of_small_groups_are_judged(spark, langs, sources):
     assert got[got.n_words > 0].distance.notna().all()
 
 
+def test_determinants_against_every_subset(spark):
+    """Groups of twelve against all subsets of nine rows: the estimate is that of such a
+    subset, its determinant the least in most groups and within a tenth of it in all."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(6):
+        cloud = rng.normal(size=(12, 5)) * (0.5, 0.6, 0.1, 0.2, 0.2) + (5, 5, 0.2, 0.1, 0.1)
+        cloud[: g % 4] += rng.normal(size=(g % 4, 5)) * 3 + 2
+        rows += [(g * 100 + i, "en" if g < 3 else None, f"s{g}", *map(float, x)) for i, x in enumerate(cloud)]
+    names = [f"x_{n}" for n in outliers.NAMES]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, " + ", ".join(f"{n} double" for n in names))
+    used = outliers.grouped(docs, F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    got = outliers.estimates(used, F.col("doc_id")).toPandas()
+    assert sorted(got.level) == [0] * 6 + [1] * 2 + [2] and set(got[got.level == 1].n) == {36}
+    floors = np.diag(np.square(outliers.FLOOR))
+    exact = 0
+    for r in got[got.level == 0].itertuples():
+        x = np.array([row[3:] for row in rows if row[2] == r.g_source])
+        covs = {s: np.cov(x[list(s)].T, bias=True) + floors for s in combinations(range(12), 9)}
+        dets = {s: np.linalg.slogdet(c)[1] for s, c in covs.items()}
+        mine = min(dets, key=lambda s: abs(dets[s] - r.log_det))
+        assert r.log_det == pytest.approx(dets[mine], abs=1e-9) and r.log_det < min(dets.values()) + 0.1
+        exact += r.log_det < min(dets.values()) + 1e-9
+        assert [getattr(r, c) for c in outliers.CENTRE] == pytest.approx(x[list(mine)].mean(0))
+        assert [getattr(r, f"v_{i}_{j}") for i, j in outliers.PAIRS] == pytest.approx([covs[mine][i, j] for i, j in outliers.PAIRS])
+    assert exact >= 4
+
+
+def test_estimates_are_shrunk_by_size(spark):
+    """A bad text is judged the more by its own group the larger that is, without a step."""
+    plain = [(i, " ".join(f"word{(i * 7 + k * k) % 997}" for k in range(60 + i % 40)), "en", "s") for i in range(300)]
+    distances = []
+    for n in (1, 49, 51):
+        signs = [(1000 + i, " ".join(f"w{(i + k * k) % 997}***" for k in range(80)), "en", "bad") for i in range(n)]
+        got = outliers.verdicts(spark.createDataFrame(plain + signs, "doc_id long, text string, lang string, source string")).toPandas().set_index("doc_id")
+        assert got.loc[range(300)].kept.all()
+        distances.append(got.distance[1000])
+    assert distances == sorted(distances, reverse=True) and distances[0] > outliers.CUT
+    assert distances[1] - distances[2] < 0.1 * distances[0]
+
+
 def plain_raking(cells, goals, rounds=200):
     weight = dict.fromkeys(cells, 1.0)
     total = sum(cells.values())
