@@ -138,7 +138,7 @@ def _moments(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def factored(estimate: DataFrame) -> DataFrame:
-    """Adds the Cholesky factor of the covariance and the log of its determinant.
+    """Adds the inverse of the covariance's Cholesky factor and the log of its determinant.
 
     With the floors no pivot falls below its floor, but for rounding."""
     log_det = F.lit(0.0)
@@ -149,19 +149,21 @@ def factored(estimate: DataFrame) -> DataFrame:
         estimate = estimate.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(FLOOR[i] ** 2))) if i == j else rest / F.col(f"l_{j}_{j}"))
         if i == j:
             log_det = log_det + 2 * F.log(F.col(f"l_{i}_{i}"))
-    return estimate.withColumn("log_det", log_det)
+    for i, j in PAIRS:  # its inverse
+        below = F.lit(1.0 if i == j else 0.0)
+        for m in range(j, i):
+            below = below - F.col(f"l_{i}_{m}") * F.col(f"w_{m}_{j}")
+        estimate = estimate.withColumn(f"w_{i}_{j}", below / F.col(f"l_{i}_{i}"))
+    return estimate.withColumn("log_det", log_det).drop(*[f"l_{i}_{j}" for i, j in PAIRS])
 
 
 def _distance(rows: DataFrame) -> DataFrame:
-    """d2: the squared distance by forward substitution."""
-    total = F.lit(0.0)
-    for i, n in enumerate(NAMES):
-        y = F.col(f"x_{n}") - F.col(f"c_{n}")
-        for j in range(i):
-            y = y - F.col(f"l_{i}_{j}") * F.col(f"_y_{j}")
-        rows = rows.withColumn(f"_y_{i}", y / F.col(f"l_{i}_{i}"))
-        total = total + F.col(f"_y_{i}") * F.col(f"_y_{i}")
-    return rows.withColumn("d2", total).drop(*[f"_y_{i}" for i in range(len(NAMES))])
+    """d2: the squared distance, a sum of squares with the inverse factor."""
+    rows = rows.select("*", *[(F.col(f"x_{n}") - F.col(c)).alias(f"_d_{i}") for i, (n, c) in enumerate(zip(NAMES, CENTRE))])
+    parts = [sum((F.col(f"w_{i}_{j}") * F.col(f"_d_{j}") for j in range(i)), F.col(f"w_{i}_{i}") * F.col(f"_d_{i}")) for i in range(len(NAMES))]
+    rows = rows.select("*", *[part.alias(f"_y_{i}") for i, part in enumerate(parts)])
+    total = sum((F.col(f"_y_{i}") * F.col(f"_y_{i}") for i in range(1, len(NAMES))), F.col("_y_0") * F.col("_y_0"))
+    return rows.withColumn("d2", total).drop(*[f"_{k}_{i}" for k in "dy" for i in range(len(NAMES))])
 
 
 def _quantile(column: str, share: float) -> Column:
