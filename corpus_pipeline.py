@@ -5,7 +5,8 @@ as Parquet before the next reads it. All but the last return the columns of docu
 
 * toxicity: documents scored 0.5 or more by the classifier go.
 * near duplicates: of each component of texts whose five-word shingles have a Jaccard similarity of
-  0.8 or more the document with the smallest doc_id stays.
+  0.8 or more the document with the smallest doc_id stays. Pairs come from SimHash fingerprints, walked by their trie,
+  and from MinHash bands.
 * decontamination: documents of which a twentieth or more is benchmark text go.
 * secrets: spans found are replaced in the text; no document goes.
 * mixing: documents are sampled to the target weights, with their weight and probability.

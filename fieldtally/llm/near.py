@@ -1,13 +1,15 @@
 """Near duplicates by Jaccard similarity of word shingles.
 
-Texts of the same words collapse to one row first. Each is then sketched by the least
-of its shingle hashes under ``BANDS`` x ``ROWS`` permutations, a byte of each. Texts that
+Texts of the same words collapse to one row first. Each gets a SimHash fingerprint of its shingles, and fingerprints
+that differ in at most three bits are linked by the trie of :mod:`simhash`; texts of one fingerprint are linked to its first.
+Most pairs of similarity 0.8 differ in more bits, so that texts are also sketched by the least
+of their shingle hashes under ``BANDS`` x ``ROWS`` permutations, a byte of each. Texts that
 agree on all bytes of a band meet in one bucket; a pair of similarity s does so in
 some band with probability 1 - (1 - s^ROWS)^BANDS, 0.9998 at 0.8 (64-bit SimHash
 would need a budget of 17 or more of 64 bits for that, where blocks no longer narrow the
 search). Within a bucket sketches are compared: up to ``SMALL`` texts all pairs that look similar
 are candidates, above it the strongest spanning forest of them, so that candidates grow
-with the bucket's texts and not with its pairs. Candidates are then held
+with the bucket's texts and not with its pairs. Candidates of both kinds are then held
 against their whole shingle sets. Where the pairs that pass leave a large bucket in several
 components, its strays, the texts outside of the largest one, are held against all texts of the bucket that
 look similar and are not joined to them yet, on their whole sets: no link is lost to the forest. That work is dealt in
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .quality import batches
 from .shared import stored
-from .simhash import SEED, components, first_row, rows_of_components, text_key
+from .simhash import SEED, bits_set, components, first_row, links, majority, rows_of_components, text_key
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -62,32 +64,47 @@ def shingles(line: bytes, words: list[bytes], size: int):
         yield np.fromiter((digest(line[a:b], SEED) for a, b in places), np.uint64, stop - at)
 
 
-def sketch(parts) -> bytes:
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+def sketch(parts) -> tuple[bytes, int]:
+    """The sketch and the fingerprint of a text's shingle hashes."""
+    least, counts, n = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64), np.zeros(64, np.int64), 0
     for h in parts:
         for k in range(BANDS * ROWS):
             least[k] = min(least[k], ((h ^ _FLIP[k]) * _TIMES[k]).min())
-    return ((least >> np.uint64(16)) & np.uint64(255)).astype(np.uint8).tobytes()
+        counts, n = counts + bits_set(h), n + len(h)
+    return ((least >> np.uint64(16)) & np.uint64(255)).astype(np.uint8).tobytes(), majority(counts, n)
 
 
 def sketched(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, text_key, the hash of all words (``words``) and the sketch of every row."""
+    """doc_id, text_key, the hash of all words (``words``), the sketch and the fingerprint (``fp``) of every row."""
 
     def made(parts):
         for batch in parts:
             for rows, texts in batches(batch):
                 here = batch.slice(rows.start, len(texts))
-                keys, sketches = [], []
+                keys, sketches, prints = [], [], []
                 for text in texts:
                     words = text.lower().split()
                     line = b" ".join(words)
                     keys.append(xxhash.xxh64_intdigest(line, SEED))
-                    sketches.append(sketch(shingles(line, words, size)))
-                words_key = np.array(keys, np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([here.column("doc_id"), here.column("text_key"), pa.array(words_key), pa.array(sketches, pa.binary())], ["doc_id", "text_key", "words", "sketch"])
+                    least, fp = sketch(shingles(line, words, size))
+                    sketches.append(least)
+                    prints.append(fp if words else 0)
+                words_key, fps = (np.array(x, np.uint64).view(np.int64) for x in (keys, prints))
+                columns = [here.column("doc_id"), here.column("text_key"), pa.array(words_key), pa.array(sketches, pa.binary()), pa.array(fps)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "words", "sketch", "fp"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(docs).alias("text_key"), F.col("text").cast("binary").alias("text"))
-    return slim.mapInArrow(made, "doc_id long, text_key long, words long, sketch binary")
+    return slim.mapInArrow(made, "doc_id long, text_key long, words long, sketch binary, fp long")
+
+
+def trie_pairs(distinct: DataFrame) -> DataFrame:
+    """a, b (a < b): word keys of texts of one fingerprint with its first text, and of first texts whose fingerprints the trie links."""
+    prints = stored(distinct.groupBy("fp").agg(F.min("words").alias("least")), "fingerprints")
+    equal = distinct.select("fp", "words").join(prints, "fp").select("least", "words")
+    of_a, of_b = (prints.select(F.col("fp").alias(f"fp_{x}"), F.col("least").alias(x)) for x in "ab")
+    linked = links(prints.select("fp")).join(of_a, "fp_a").join(of_b, "fp_b").select("a", "b")
+    both = equal.union(linked).toDF("a", "b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
 
 
 def bucket_pairs(sketches: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +197,7 @@ def sets_of(docs: DataFrame, distinct: DataFrame, meant: DataFrame, size: int) -
 
 def near_links(docs: DataFrame, distinct: DataFrame, size: int, similarity: float) -> DataFrame:
     """a, b: candidates whose shingle sets have at least the Jaccard similarity."""
-    pairs = stored(candidates(distinct, similarity), "near-candidates")
+    pairs = stored(trie_pairs(distinct).union(candidates(distinct, similarity)).distinct(), "near-candidates")
     sets = sets_of(docs, distinct, pairs.select(F.explode(F.array("a", "b")).alias("words")).distinct(), size)
     a = sets.select(F.col("words").alias("a"), F.col("shingles").alias("of_a"))
     b = sets.select(F.col("words").alias("b"), F.col("shingles").alias("of_b"))
@@ -243,7 +260,7 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILA
     """One row of each component of near copies: of the smallest doc_id (null last), then the
     smallest text hash. Of rows that repeat doc_id and text, one stays."""
     rows = sketched(docs, size)
-    distinct = stored(rows.groupBy("words").agg(first_row().alias("first"), F.first("sketch").alias("sketch")), "sketches")
+    distinct = stored(rows.groupBy("words").agg(first_row().alias("first"), F.first("sketch").alias("sketch"), F.first("fp").alias("fp")), "sketches")
     links = stored(near_links(docs, distinct, size, similarity), "near-links")
     roots = components(links, "a", "b")
     more = stored(stray_links(docs, distinct, roots, size, similarity), "near-links")

@@ -56,8 +56,16 @@ def fingerprint(text: bytes) -> int:
     for at in range(0, n, _PIECE):
         begins, stops = start[at : min(n, at + _PIECE)].tolist(), end[at + 2 : at + 2 + _PIECE].tolist()
         h = np.fromiter((digest(line[a:b], SEED) for a, b in zip(begins, stops)), np.uint64, len(begins))
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
+        counts += bits_set(h)
+    return majority(counts, n)
+
+
+def bits_set(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits."""
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 

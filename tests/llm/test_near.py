@@ -90,3 +90,14 @@ def test_rows_and_empty(spark):
     got = near.one_of_each(docs).collect()
     assert sorted((r.text, r.doc_id) for r in got) == [("a b c d e f g", 1), ("h i j k l m n", None), ("o p q r s t u", 1)]
     assert near.one_of_each(docs.where(F.lit(False))).count() == 0
+
+
+def test_trie_of_fingerprints_links_without_bands(spark, monkeypatch):
+    # One changed word in 2000: fingerprints that differ in few bits. The third text is another one.
+    rng = random.Random(3)
+    text = " ".join(f"w{rng.randrange(5000)}" for _ in range(2000))
+    words = text.split()
+    rows = [(1, text), (2, " ".join([*words[:1000], "other", *words[1001:]])), (3, " ".join(reversed(words)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(near, "candidates", lambda distinct, similarity: spark.createDataFrame([], "a long, b long"))
+    assert sorted(r.doc_id for r in near.one_of_each(docs).collect()) == [1, 3]
