@@ -9,6 +9,8 @@ little at first, and those far from the first fit then. Periods without a value
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,24 +36,29 @@ def _place(period: str) -> tuple[Column, Column]:
     return month_number(F.col(period)), F.month(period)
 
 
-def _line_here(value: Column, keys: list[str], reach: int) -> Column:
-    """The weighted line through the values around, at the period itself; columns _t and _weight."""
-    around = F.collect_list(F.when(value.isNotNull(), F.struct(F.col("_t").alias("t"), value.alias("v"), F.col("_weight").alias("w"))))
-    near = around.over(W.partitionBy(*keys).orderBy("_t").rangeBetween(-reach, reach))
-    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("w", "d", "dd", "y", "dy")])
+def _with_line(df: DataFrame, name: str, value: Column, keys: list[str], reach: int) -> DataFrame:
+    """Adds the weighted line through the values around, at the period itself; columns _t and _weight.
 
-    def add(s: Column, p: Column) -> Column:
-        d = (p["t"] - F.col("_t")) / F.lit(float(reach + 1))
-        w = F.pow(1 - F.pow(F.abs(d), F.lit(3.0)), F.lit(3.0)) * p["w"]
-        parts = {"w": w, "d": w * d, "dd": w * d * d, "y": w * p["v"], "dy": w * d * p["v"]}
-        return F.struct(*[(s[n] + c).alias(n) for n, c in parts.items()])
+    A distance has one tricube weight, so what lies at each distance is summed by itself (a period may lack rows or
+    have several), and the sums of the line are sums over distances.
+    """
+    order = W.partitionBy(*keys).orderBy("_t")
+    known = value.isNotNull()
+    df = df.withColumns({"_lw": F.when(known, F.col("_weight")), "_ly": F.when(known, F.col("_weight") * value)})
+    steps = range(-reach, reach + 1)
+    at = {f"_l{c}{k + reach}": F.sum(f"_l{c}").over(order.rangeBetween(k, k)) for k in steps for c in "wy"}
+    df = df.withColumns(at)
 
-    def at_zero(s: Column) -> Column:
-        spread = s["w"] * s["dd"] - s["d"] * s["d"]
-        line = (s["dd"] * s["y"] - s["d"] * s["dy"]) / spread
-        return F.when(spread > NOISE * s["w"] * s["w"], line).when(s["w"] > 0, s["y"] / s["w"])
+    def total(c: str, power: int) -> Column:
+        terms = [F.coalesce(f"_l{c}{k + reach}", F.lit(0.0)) * F.lit((1 - abs(k / (reach + 1)) ** 3) ** 3 * (k / (reach + 1)) ** power) for k in steps if k or not power]
+        return reduce(lambda a, b: a + b, terms)
 
-    return F.aggregate(near, zero, add, at_zero)
+    sums = {"_sw": total("w", 0), "_sd": total("w", 1), "_sdd": total("w", 2), "_sy": total("y", 0), "_sdy": total("y", 1)}
+    df = df.withColumns(sums).drop("_lw", "_ly", *at)
+    w, d, dd, y, dy = (F.col(c) for c in sums)
+    spread = w * dd - d * d
+    line = F.when(spread > NOISE * w * w, (dd * y - d * dy) / spread).when(w > 0, y / w)
+    return df.withColumn(name, line).drop(*sums)
 
 
 def _robust_weight(rows: DataFrame, rest: Column, keys: list[str]) -> DataFrame:
@@ -80,7 +87,7 @@ def decomposed(df: DataFrame, value: str, keys: list[str], period: str, robust:
     if robust:
         out = _robust_weight(out.withColumn("_centre", F.median(value).over(whole)), F.col(value) - F.col("_centre"), keys).drop("_centre")
     for second in (False, True):
-        out = out.withColumn("_trend", _line_here(F.col(value) - F.col("_season"), keys, reach))
+        out = _with_line(out, "_trend", F.col(value) - F.col("_season"), keys, reach)
         left = F.col(value) - F.col("_trend")
         mean = F.sum(left * F.col("_weight")).over(W.partitionBy(*keys, "_part")) / F.sum(F.when(left.isNotNull(), F.col("_weight"))).over(W.partitionBy(*keys, "_part"))
         out = out.withColumn("_level", F.coalesce(F.when(F.col("_long"), mean), F.lit(0.0)))
