@@ -58,7 +58,8 @@ def _with_line(df: DataFrame, name: str, value: Column, keys: list[str], reach:
     w, d, dd, y, dy = (F.col(c) for c in sums)
     spread = w * dd - d * d
     line = F.when(spread > NOISE * w * w, (dd * y - d * dy) / spread).when(w > 0, y / w)
-    return df.withColumn(name, line).drop(*sums)
+    # Rows without a period are each other's peers in every frame, at no distance: they have no line.
+    return df.withColumn(name, F.when(F.col("_t").isNotNull(), line)).drop(*sums)
 
 
 def _robust_weight(rows: DataFrame, rest: Column, keys: list[str]) -> DataFrame:

@@ -525,13 +525,13 @@ def test_lines_against_plain_weighted_regression(spark):
     # Gaps, repeated periods, missing values; a row per value near must not be folded one by one.
     rng = np.random.default_rng(4)
     t = np.sort(rng.choice(60, 45, replace=False)).tolist() + [7, 7]
-    rows = [("a", i, None if rng.random() < 0.1 else float(rng.normal()), float(rng.random())) for i in t] + [("b", 3, 2.0, 0.5), ("c", 1, None, 1.0)]
+    rows = [("a", i, None if rng.random() < 0.1 else float(rng.normal()), float(rng.random())) for i in t] + [("b", 3, 2.0, 0.5), ("c", 1, None, 1.0), ("a", None, 9.0, 1.0), ("a", None, 5.0, 1.0)]
     df = spark.createDataFrame(rows, "k string, _t int, v double, _weight double")
     got = seasonal_models._with_line(df, "line", F.col("v"), ["k"], 9)
     assert "aggregate(" not in got._jdf.queryExecution().optimizedPlan().toString()
     want = {}
     for k, i, *_ in rows:
-        near = [(j - i, v, w * (1 - abs((j - i) / 10) ** 3) ** 3) for q, j, v, w in rows if q == k and abs(j - i) <= 9 and v is not None]
+        near = [(j - i, v, w * (1 - abs((j - i) / 10) ** 3) ** 3) for q, j, v, w in rows if q == k and None not in (i, j) and abs(j - i) <= 9 and v is not None]
         if len({d for d, *_ in near}) > 1:
             x, y, w = map(np.array, zip(*near))
             want[k, i] = np.polynomial.polynomial.polyfit(x, y, 1, w=np.sqrt(w))[0]
