@@ -24,7 +24,7 @@ from ..functions.flags import (
     present,
     with_error_label,
 )
-from ..functions.joins import lookup
+from ..functions.joins import by_facility, lookup
 from ..functions.periods import period_column
 
 SERIES = ["orgUnit", "data_id"]
@@ -42,15 +42,16 @@ def key_entry_values(df: DataFrame, by: str = "dataElement") -> DataFrame:
     """Values of more than three characters that repeat suspiciously often.
 
     Per element: frequency above three times the median frequency of the ten
-    most common such values. Ranks are cut to ten on the map side before the
-    rows of an element meet.
+    most common such values. Values are counted before they are printed, and ranks are
+    cut to ten on the map side before the rows of an element meet.
     """
     value = F.col("original")
     printed = F.when(value == F.floor(value), value.cast("long").cast("string")).otherwise(value.cast("string"))
     counts = (
-        df.filter(F.col("effectiveLeaf") & (F.length(printed) > 3))
+        df.filter("effectiveLeaf")
         .groupBy(by, "original")
         .agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.when(F.col("n") > 0, F.length(printed)) > 3)  # names the count, so it stays above
     )
     w = W.partitionBy(by).orderBy(F.desc("n"), F.asc("original"))
     top = counts.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= 10)
@@ -69,7 +70,7 @@ def add_scale(df: DataFrame, value: str, keys: list[str], prefix: str = "_s") ->
     """
     w = W.partitionBy(*keys)
     x, c = F.col(value), F.col(f"{prefix}_centre")
-    out = df.withColumns(
+    out = (by_facility(df) if "orgUnit" in keys else df).withColumns(
         {
             f"{prefix}_q": F.percentile(x, F.array(F.lit(0.5), F.lit(0.01), F.lit(0.99))).over(w),
         }
@@ -131,7 +132,8 @@ def mad_flags(
     # More than three times the median of the ten highest counts: at most five
     # values per element, so this is a short list on a dictionary-sized table.
     lists = lookup(repeated.groupBy(element).agg(F.collect_set("original").alias("_bad")), element, "_bad")
-    out = df.withColumn("_bad", F.try_element_at(lists, F.col(element)))
+    dealt = by_facility(df) if "orgUnit" in keys else df
+    out = dealt.withColumn("_bad", F.try_element_at(lists, F.col(element)))
     known = F.col("original").isNotNull()
     capped = F.col("data").rlike(STOCK_WORD) & F.col("data").rlike(STOCK_OUT_WORD) & F.col("effectiveLeaf")
     out = out.withColumns(
@@ -167,7 +169,7 @@ def add_expected(df: DataFrame, value: str, keys: list[str], period: str, name:
     w = W.partitionBy(*keys)
     near = w.orderBy(period).rowsBetween(-6, 6)
     season_key = F.month(period) if period == "Month" else F.weekofyear(period)
-    around = F.array_sort(F.collect_list(value).over(near))
+    around = F.sort_array(F.collect_list(value).over(near))
     n = F.size("_near")
     middle = (
         F.get("_near", F.floor((n - 1) / 2).cast("int")) + F.get("_near", F.floor(n / 2).cast("int"))
