@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.joins import by_facility
 from ..functions.periods import period_column
 
 # Comparison names of rules.
@@ -29,7 +30,6 @@ _PIECE = r"#\{" + text.UID + r"(?:\." + text.UID + r")?\}|[0-9]+(?:\.[0-9]*)?|\.
 _STEPS = "array<struct<op:string,num:double,ref:string>>"
 _TERMS = "array<struct<coef:double,ref:string>>"
 _FORM = f"struct<const:double,terms:{_TERMS},ok:boolean>"
-SALTS = 16  # pieces in which the values of one element meet the rules
 
 
 def holds(left: Column, right: Column, operator: str) -> Column:
@@ -225,7 +225,8 @@ def rule_values(facts: DataFrame, rules: DataFrame) -> DataFrame:
     """Value per facility, period and id for the elements that rules mention.
 
     Effective leaves only; known values are summed per id. An element that
-    never occurs without a category also gets the sum of its categories.
+    never occurs without a category also gets the sum of its categories. The ids come from
+    the rules, a table of metadata, and go to every task; values stay with their facility.
     """
     period = period_column(facts)
     wanted = rule_ids(rules).select(text.element_uid(F.col("ref")).alias("uid")).distinct()
@@ -239,7 +240,8 @@ def rule_values(facts: DataFrame, rules: DataFrame) -> DataFrame:
     sums = (
         facts.filter(F.col("effectiveLeaf") & F.col("original").isNotNull())
         .withColumn("uid", text.element_uid(data_id))
-        .join(wanted, "uid", "left_semi")
+        .join(F.broadcast(wanted), "uid", "left_semi")
+        .transform(by_facility)
         .select("orgUnit", "orgUnitName", period, "original", F.explode(refs).alias("r"))
         .groupBy("orgUnit", "orgUnitName", period, F.col("r.ref").alias("ref"), F.col("r.summed").alias("summed"))
         .agg(F.sum("original").alias("v"))
@@ -247,7 +249,7 @@ def rule_values(facts: DataFrame, rules: DataFrame) -> DataFrame:
     # The condition names the sum, so it stays above the aggregation and both uses read one shuffle.
     own = F.when(F.col("v").isNotNull(), ~F.col("summed") & ~F.col("ref").contains("_"))
     bare = sums.filter(own).select("ref", F.lit(True).alias("summed")).distinct()
-    return sums.join(bare, ["ref", "summed"], "left_anti").select("orgUnit", "orgUnitName", period, "ref", "v")
+    return sums.join(F.broadcast(bare), ["ref", "summed"], "left_anti").select("orgUnit", "orgUnitName", period, "ref", "v")
 
 
 def value_maps(values: DataFrame) -> DataFrame:
@@ -294,8 +296,8 @@ def _linear_needs(side: str) -> list[Column]:
 def evaluate_rules(facts: DataFrame, rules: DataFrame, data_ids: list[str] | None = None) -> DataFrame:
     """Counts of evaluated, passed and failed facility-periods per rule and year.
 
-    Values meet the rules that mention them, salted by facility since an
-    element has many values. Linear rules are sums of products, combined before the shuffle
+    Values meet the rules that mention them where their facility is: the rules go to
+    every task. Linear rules are sums of products
     (added up in no fixed order, which matters to the last digit of three terms or more); rules that
     multiply or divide values are evaluated on the few values they need. Facility-
     periods with none of them all have the outcome of a rule without values
@@ -306,32 +308,28 @@ def evaluate_rules(facts: DataFrame, rules: DataFrame, data_ids: list[str] | Non
     values = rule_values(facts, rules)
     period = period_column(values)
     unit = ["orgUnit", "orgUnitName", period]
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    salt = F.pmod(F.xxhash64("orgUnit"), F.lit(SALTS)).cast("int")
     read = with_steps(rules)
     linear = F.col("left_form").isNotNull() & F.col("right_form").isNotNull()
-    salted = values.withColumn("_salt", salt)
 
     # Linear rules: sums of products by rule, facility and period.
     terms = read.filter(linear).select("id", F.explode(_coefficients()).alias("t")).groupBy("id", "t.ref")
-    terms = terms.agg(F.sum("t.left").alias("cl"), F.sum("t.right").alias("cr")).select("id", "ref", "cl", "cr", salts)
-    sums = salted.join(terms, ["ref", "_salt"]).groupBy("id", "_salt", *unit)
+    terms = terms.agg(F.sum("t.left").alias("cl"), F.sum("t.right").alias("cr")).select("id", "ref", "cl", "cr")
+    sums = values.join(F.broadcast(terms), "ref").groupBy("id", *unit)
     sums = sums.agg(*[f(x).alias(f"{n}{side}") for side in "lr" for n, f, x in (("s", F.sum, F.col(f"c{side}") * F.col("v")), ("n", F.count, f"c{side}"))])
-    needs = read.filter(linear).select("id", "operator", *[c for side in ("left", "right") for c in _linear_needs(side)], salts)
+    needs = read.filter(linear).select("id", "operator", *[c for side in ("left", "right") for c in _linear_needs(side)])
     side = lambda x: F.when(F.col(f"n{x}") == F.col(f"need_{x}"), F.col(f"const_{x}") + F.coalesce(f"s{x}", F.lit(0.0)))
-    by_sums = sums.join(needs, ["id", "_salt"]).select("id", F.year(period).alias("year"), holds_by_name(side("l"), side("r"), F.col("operator")).alias("pass"))
+    by_sums = sums.join(F.broadcast(needs), "id").select("id", F.year(period).alias("year"), holds_by_name(side("l"), side("r"), F.col("operator")).alias("pass"))
 
     # The others: the steps over the few values that a rule needs.
     others = read.filter(~linear & F.col("left_steps").isNotNull() & F.col("right_steps").isNotNull())
-    refs = rule_ids(others).select("id", "ref", salts)
-    met = salted.join(refs, ["ref", "_salt"]).groupBy("id", "_salt", *unit)
+    met = values.join(F.broadcast(rule_ids(others)), "ref").groupBy("id", *unit)
     met = met.agg(F.map_from_entries(F.collect_list(F.struct("ref", "v"))).alias("vals"))
 
     def outcome(vals: Column) -> Column:
         left, right = (side_value(F.col(f"{side}_steps"), F.col(f"{side}_form"), vals) for side in ("left", "right"))
         return holds_by_name(left, right, F.col("operator"))
 
-    by_steps = met.join(others.select("id", "operator", "left_steps", "right_steps", "left_form", "right_form", salts), ["id", "_salt"]).select(
+    by_steps = met.join(F.broadcast(others.select("id", "operator", "left_steps", "right_steps", "left_form", "right_form")), "id").select(
         "id", F.year(period).alias("year"), outcome(F.col("vals")).alias("pass")
     )
     decided = by_sums.unionByName(by_steps)
