@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import draws as rnd
 from ..functions.flags import any_set, flags_through, present
+from ..sources.staging import settle
 from .reporting import champion_grid, within
 from .series_fits import fits
 from .totals import aggregate_hierarchy
@@ -414,8 +415,9 @@ def scenario_totals(df: DataFrame, settings: list[dict], keys: list[str]) -> Dat
     """Monthly totals under many settings in one pass.
 
     Each setting has ``setting``, ``error`` (a cleaning level or none) and
-    the champion options of :func:`champion_grid`. Facts are sent to the
-    settings in which their facility is a champion.
+    the champion options of :func:`champion_grid`. Facts are summed by
+    facility first; these sums are sent to the settings in which their facility is
+    a champion.
     """
     levels = {s["setting"]: s.get("error", "none") for s in settings}
     value = {
@@ -426,12 +428,10 @@ def scenario_totals(df: DataFrame, settings: list[dict], keys: list[str]) -> Dat
         levels.items(),
         F.when(F.lit(False), F.lit(None).cast("double")),
     )
-    slim = df.withColumns({f"_v_{lv}": c for lv, c in value.items()}).select(
-        "orgUnit", "Month", *keys, *[f"_v_{lv}" for lv in value]
-    )
+    sums = df.groupBy("orgUnit", *keys, "Month").agg(*[F.sum(c).alias(f"_v_{lv}") for lv, c in value.items()])
     units = champion_grid(df, settings)
     return (
-        slim.join(units, "orgUnit")
+        sums.join(units, "orgUnit")
         .withColumn("v", chosen)
         .groupBy("setting", *keys, "Month")
         .agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("total"))
@@ -442,8 +442,11 @@ def scenario_errors(
     df: DataFrame, settings: list[dict], keys: list[str], evaluation_month, horizon: int = 12,
     model: str = "t", transform: str | None = None,
 ) -> DataFrame:
-    """Fit and score one model per setting and series in a single job."""
-    totals = scenario_totals(df, settings, keys)
+    """Fit and score one model per setting and series.
+
+    The totals, which are fitted and scored, are worked out once and stored.
+    """
+    totals = settle(scenario_totals(df, settings, keys))
     all_keys = ["setting", *keys]
     fits = fitted_only(window_forecast(totals, all_keys, evaluation_month, horizon, models=(model,), transform=transform), all_keys)
     point = fits.withColumn("mean", _back(F.col("mean"), transform))

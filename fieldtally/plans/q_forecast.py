@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import draws as rnd
 from ..operators import forecast as fc
+from ..operators import outliers as ol
+from ..sources.staging import settle
 from . import fixtures as fx
 from .fixtures import SQL, sql_hash, sql_normal, sql_uniform
-from .q_outliers import flagged, madded
+from .q_outliers import madded
 from .q_reporting import SERIES
 from .registry import query
 from .sql_fits import sql_fits
@@ -433,4 +435,6 @@ def scenario_totals(spark, sf):
 
 @query("scenario_errors")
 def scenario_errors(spark, sf):
-    return fc.scenario_errors(flagged(spark, sf), SCENARIOS, K, CUT, transform="log1p")
+    """Facts are stored first: flags, the values behind them and the champions each read them."""
+    facts = settle(fx.stored_fact(spark, sf))
+    return fc.scenario_errors(ol.seasonal_flags(ol.mad_flags(facts)), SCENARIOS, K, CUT, transform="log1p")
