@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import periods
-from ..functions.joins import with_dictionary
+from ..functions.joins import by_facility, with_dictionary
 
 LIST_SEPARATOR = r" ;\n "
 
@@ -83,23 +84,39 @@ def datasets_per_element(dataset_elements: DataFrame) -> DataFrame:
     )
 
 
+LEAF_KEYS = ["orgUnit", "dataElement_id", "leaf"]
+
+
+def _largest_count() -> Column:
+    return F.max(F.col("COUNT").try_cast("int"))
+
+
+def _reports_itself(largest: Column) -> Column:
+    return (largest == 1) | F.coalesce(F.col("leaf"), F.lit(False))
+
+
 def effective_leaf(data: DataFrame) -> DataFrame:
     """Per facility, element and leaf mark: does the unit itself report?
 
     True for tree leaves and for units whose largest count is 1.
     """
     return (
-        data.groupBy("orgUnit", "dataElement_id", "leaf")
-        .agg(F.max(F.col("COUNT").try_cast("int")).alias("n"))
-        .select(
-            "orgUnit",
-            "dataElement_id",
-            "leaf",
-            ((F.col("n") == 1) | F.coalesce(F.col("leaf"), F.lit(False))).alias("effectiveLeaf"),
-        )
+        data.groupBy(*LEAF_KEYS)
+        .agg(_largest_count().alias("n"))
+        .select(*LEAF_KEYS, _reports_itself(F.col("n")).alias("effectiveLeaf"))
     )
 
 
+def with_effective_leaf(data: DataFrame) -> DataFrame:
+    """Each row with the mark of :func:`effective_leaf`, NULL without a facility or element.
+
+    A window, so rows dealt by facility stay where they are and are read once.
+    """
+    known = F.col("orgUnit").isNotNull() & F.col("dataElement_id").isNotNull()
+    mark = _reports_itself(_largest_count().over(W.partitionBy(*LEAF_KEYS)))
+    return data.withColumn("effectiveLeaf", F.when(known, mark))
+
+
 def _glue(first: Column, second: Column) -> Column:
     """``first_second`` where a missing part is left out."""
     tail = F.when(second.isNull(), F.lit("")).otherwise(F.concat(F.lit("_"), second))
@@ -185,16 +202,9 @@ def prepare(
     if "categoryOptionCombo" not in raw.columns:
         raw = raw.withColumn("categoryOptionCombo", F.lit(None).cast("string"))
     named = attach_names(raw.filter(F.col("SUM").isNotNull()), elements, categories)
-    placed = with_dictionary(named, datasets_per_element(dataset_elements), ["dataElement_id"], "orgUnit").join(
-        tree, "orgUnit", "left"
-    )
-    leaves = effective_leaf(placed)
-    cond = (
-        (F.col("p.orgUnit") == F.col("l.orgUnit"))
-        & (F.col("p.dataElement_id") == F.col("l.dataElement_id"))
-        & F.col("p.leaf").eqNullSafe(F.col("l.leaf"))
-    )
-    placed = placed.alias("p").join(leaves.alias("l"), cond, "left").select("p.*", "l.effectiveLeaf")
+    named = with_dictionary(named, datasets_per_element(dataset_elements), ["dataElement_id"], "orgUnit")
+    # All that follows is by facility: rows are dealt once, and a task meets few units of the tree, which it looks up without a sort.
+    placed = with_effective_leaf(by_facility(named).join(tree.hint("shuffle_hash"), "orgUnit", "left"))
     series = dedup_series(parse_periods(placed, period), period)
     out = series.withColumn("original", F.col("SUM")).withColumn("value", F.col("SUM").isNotNull())
     if scan_outliers:

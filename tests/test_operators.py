@@ -257,6 +257,31 @@ def test_preparation_scans_what_it_prepared(spark):
     assert differences(got, want) is None and whole.where("expected is not null").count() > 0
 
 
+def test_effective_leaf_of_rows_is_that_of_their_unit(spark):
+    d = spark.createDataFrame(
+        [("A", "x", "1", True), ("A", "x", "3", False), ("A", "x", "1", False), ("A", "y", "1", False), ("B", "x", None, None),
+         ("B", "x", "1", None), ("B", "x", "n/a", False), (None, "x", "1", True), ("A", None, "1", True)],
+        "orgUnit string, dataElement_id string, COUNT string, leaf boolean",
+    )
+    got = {(r.orgUnit, r.dataElement_id, r.leaf): r.effectiveLeaf for r in conform.with_effective_leaf(d).collect()}
+    want = {(r.orgUnit, r.dataElement_id, r.leaf): r.effectiveLeaf for r in conform.effective_leaf(d).collect()}
+    assert got == want | {k: None for k in want if None in k[:2]}
+    assert got["A", "x", False] is False and got["A", "y", False] is True and got["B", "x", None] is True
+
+
+def test_prepared_facts_are_dealt_once_by_facility(spark):
+    """Merged pieces grow with the facts; each sort of a task holds all rows of its piece."""
+    raw = spark.createDataFrame([(f"F{i % 40}", "de", "cc", f"20200{i % 9 + 1}", 1, float(i)) for i in range(360)], "orgUnit string, dataElement string, categoryOptionCombo string, period string, COUNT int, SUM double")
+    elements = spark.createDataFrame([("de", "Cases")], "dataElement_id string, dataElement string")
+    categories = spark.createDataFrame([("mix", "Mix", "new", "cc")], "categoryCombo_id string, categoryCombo string, Categories string, categoryOptionCombo_ids string")
+    sets = spark.createDataFrame([("ds", "Monthly", "de")], "dataSet_id string, dataSet string, dataElement_id string")
+    tree = spark.createDataFrame([(f"F{i}", f"Unit {i}", i % 2 == 0) for i in range(40)], "orgUnit string, orgUnitName string, leaf boolean")
+    out = conform.prepare(raw, elements, categories, sets, tree, scan_outliers=False)
+    assert out.count() == 360 and out.filter("effectiveLeaf AND data = 'Cases_new' AND dataSet = 'Monthly'").count() == 360
+    pieces = out.withColumn("piece", F.spark_partition_id()).select("orgUnit", "piece").distinct().collect()
+    assert len(pieces) == 40 and len({p.piece for p in pieces}) > 1
+
+
 def scenario_facts(spark):
     rows = [(u, r, "Cases", month(i), None if v is None else float(v), bad) for u, r, v, bad in
             (("A", "North", 5, False), ("A", "North", 5, True), ("B", "North", None, False), ("C", None, 7, None), (None, "South", 9, False)) for i in range(24)]
