@@ -214,7 +214,7 @@ def test_adders_against_plain_counts():
         words = rng.integers(0, 2**32, size, np.uint32)
         plane = int(rng.integers(0, 3))
         adder.add(words, plane)
-        want += np.array([((words >> b) & 1).sum() << plane for b in range(32)])
+        want += np.array([int(((words >> b) & 1).sum()) << plane for b in range(32)])
     assert adder.counts() == want.tolist() and all(len(p) <= 2 for p in adder.planes)
 
 
