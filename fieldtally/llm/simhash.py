@@ -280,8 +280,10 @@ def first_row() -> Column:
 def rows_of_components(docs: DataFrame, distinct: DataFrame, key: str, roots: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are first in their component; ``distinct`` has a key's first row."""
     rooted = distinct.join(roots, distinct[key] == roots.node, "left").select(F.coalesce("root", key).alias("root"), "first")
-    keep = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_doc"), F.col("first.text_key").alias("_key"))
-    keep = stored(keep, "kept")
-    marked = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("given"), docs["doc_id"].cast("long").alias("id"), text_key(docs).alias("row_key"))
-    on = F.col("id").eqNullSafe(F.col("_doc")) & (F.col("row_key") == F.col("_key"))
-    return marked.join(keep, on, "left_semi").dropDuplicates(["id", "row_key"]).select("given.*")
+    first = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    keep = stored(first.select("first.no_id", F.coalesce("first.doc_id", F.lit(0)).alias("id"), F.col("first.text_key").alias("row_key")), "kept")
+    id = docs["doc_id"].cast("long")
+    marked = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("given"), id.isNull().alias("no_id"), F.coalesce(id, F.lit(0)).alias("id"), text_key(docs).alias("row_key"))
+    # Null ids are set apart in a column, so that both steps have the same keys: whole rows are shuffled once.
+    on = ["no_id", "id", "row_key"]
+    return marked.dropDuplicates(on).join(keep, on, "left_semi").select("given.*")

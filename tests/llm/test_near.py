@@ -101,3 +101,16 @@ def test_trie_of_fingerprints_links_without_bands(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(near, "candidates", lambda distinct, similarity: spark.createDataFrame([], "a long, b long"))
     assert sorted(r.doc_id for r in near.one_of_each(docs).collect()) == [1, 3]
+
+
+def test_whole_rows_are_shuffled_once(spark):
+    # The last step only: what picks the rows is stored. One exchange of the rows, one of the keys to keep.
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(None, "a b c d e f g"), (None, "a b c d e f g"), (0, "h i j k l m n"), (None, "h i j k l m n"), (1, "a b c d e f g"), (1, "a b c d e f g"), (None, "u v w")]
+        got = near.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        assert sorted((r.text, r.doc_id) for r in got.collect()) == [("a b c d e f g", 1), ("h i j k l m n", 0), ("u v w", None)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -1,10 +1,12 @@
 """Classifiers, SimHash, decontamination: the numpy parts and their Spark jobs."""
 
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from fieldtally.llm import decontamination, quality, queries, simhash, toxicity
@@ -219,3 +221,20 @@ def test_decontamination_against_brute_force(spark, block, monkeypatch):
             assert plain_scan(cut, items)[0] == end - first and cut == cut.strip(" .!-\n")
     assert decontamination.find(docs, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
     assert decontamination.find(docs.limit(0), bench).count() == 0
+
+
+def test_toxicity_scores_in_short_pieces():
+    # 4 MB of short words, a row of floats for each word: 400 MB at once, a quarter of it in pieces.
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(2000)]
+    texts = [" ".join(rng.choice(words, 400)) for _ in range(2100)]
+    rows = [(i, i % 2, "en", toxicity.features([t.encode()])[0].tobytes()) for i, t in enumerate(texts[:40])]
+    model = toxicity.fit_rows(rows)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    want = toxicity.score_texts(model, [t.encode() for t in texts])
+    tracemalloc.start()
+    got = [x for out in toxicity.score_pieces(model, batch, ["doc_id", "text"], 1) for x in out.column("_score").to_pylist()]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, want, rtol=0, atol=1e-12)
+    assert most < 150e6
