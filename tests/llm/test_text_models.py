@@ -238,3 +238,49 @@ def test_toxicity_scores_in_short_pieces():
     tracemalloc.stop()
     assert np.allclose(got, want, rtol=0, atol=1e-12)
     assert most < 150e6
+
+
+def test_toxicity_learns_from_every_label(spark):
+    # Each of 40 rude words is in six texts only; 60 rows of each class would not have most of them three times.
+    rng = np.random.default_rng(11)
+    rude = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(40)]
+    plain = [f"word{i}" for i in range(30)]
+    docs = [(i, " ".join([*rng.choice(plain, 5), *([rude[i // 2 % 40]] if i % 2 else []), *rng.choice(plain, 5)]), "en") for i in range(480)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(480)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(table, labels, F.lit(True), 60)
+    owned = toxicity.rows_of(toxicity.features([" ".join(rude).encode()])[0], model.row_of, model.tag)
+    assert (owned > 0).all()
+    score = {r.doc_id: r.score for r in toxicity.score(table, model).collect()}
+    assert np.mean([(s >= 0.5) == bool(d % 2) for d, s in score.items()]) > 0.95
+    again = toxicity.fit(table.repartition(5), labels, F.lit(True), 60)
+    assert (again.table == model.table).all() and (again.cut == model.cut).all() and (again.out == model.out).all()
+
+
+@pytest.mark.parametrize("piece_rows,size", [(400, 1 << 26), (400, 20_000), (20, 1 << 26)])
+def test_toxicity_in_pieces_counts_as_in_one_go(spark, piece_rows, size, monkeypatch):
+    monkeypatch.setattr(toxicity, "PIECE_BYTES", size)
+    texts = [f"you idiot number w{i % 7} and w{i % 11}" if i % 3 == 0 else f"nice day w{i % 5} or w{i % 13}" for i in range(200)]
+    rows = [(i % 190, int(i % 3 == 0), ["en", "de", None][i % 3 if i % 4 else 0], t) for i, t in enumerate(texts)]
+    slim = spark.createDataFrame([(o, y, g, t.encode()) for o, y, g, t in rows], "order long, label int, lang string, text binary")
+    one = toxicity.fit_rows([(o, y, g, toxicity.features([t.encode()])[0].tobytes()) for o, y, g, t in rows])
+    got = toxicity.fit_pieces(slim.repartition(4), 1, piece_rows)
+    assert (got.row_of == one.row_of).all() and (got.tag == one.tag).all()
+    assert np.allclose(got.language, one.language) and np.allclose(got.prior, one.prior)
+    raw = [toxicity.score_texts(got, [t.encode()])[0] >= 0.5 for _, _, _, t in rows]
+    assert raw == [bool(y) for _, y, _, _ in rows]
+    assert toxicity.fit_pieces(slim.where("label = 1"), 2, 20) is None
+    # The only toxic rows are aside, fifth in their piece: then training takes all rows.
+    few = slim.where("label = 0 and order < 40").withColumn("label", (F.col("order") == sorted(o for o, y, _, _ in rows if not y and o < 40)[4]).cast("int"))
+    assert toxicity.fit_pieces(few, 1, 20) is not None
+
+
+def test_cuts_by_spark_are_those_of_numpy(spark):
+    rng = np.random.default_rng(5)
+    for n, most in ((1, 3), (7, 3), (60, 6), (60, 40), (200, 1000)):
+        raw, label, guess = rng.integers(0, most, n) / 4, rng.integers(0, 2, n), rng.integers(0, 3, n)
+        rows = sorted(zip(raw.tolist(), label.tolist(), guess.tolist(), range(n)), key=lambda r: r[3])
+        got = toxicity.best_cuts(spark.createDataFrame(rows, "raw double, label int, guess int, order long").repartition(3))
+        for k in {-1, *guess.tolist()}:
+            own = guess == k if k >= 0 else guess >= 0
+            assert got[k] == (toxicity.best_cut(raw[own], label[own]), int((label[own] == 0).sum()), int(label[own].sum()))
