@@ -265,8 +265,8 @@ def test_toxicity_in_pieces_counts_as_in_one_go(spark, piece_rows, size, monkeyp
     slim = spark.createDataFrame([(o, y, g, t.encode()) for o, y, g, t in rows], "order long, label int, lang string, text binary")
     one = toxicity.fit_rows([(o, y, g, toxicity.features([t.encode()])[0].tobytes()) for o, y, g, t in rows])
     got = toxicity.fit_pieces(slim.repartition(4), 1, piece_rows)
-    assert (got.row_of == one.row_of).all() and (got.tag == one.tag).all()
-    assert np.allclose(got.language, one.language) and np.allclose(got.prior, one.prior)
+    assert (got.tag == one.tag).all() and len(np.unique(got.row_of)) == len(np.unique(one.row_of)) == len(got.table)
+    assert np.allclose(got.language[got.row_of], one.language[one.row_of]) and np.allclose(got.prior, one.prior)
     raw = [toxicity.score_texts(got, [t.encode()])[0] >= 0.5 for _, _, _, t in rows]
     assert raw == [bool(y) for _, y, _, _ in rows]
     assert toxicity.fit_pieces(slim.where("label = 1"), 2, 20) is None
@@ -284,3 +284,15 @@ def test_cuts_by_spark_are_those_of_numpy(spark):
         for k in {-1, *guess.tolist()}:
             own = guess == k if k >= 0 else guess >= 0
             assert got[k] == (toxicity.best_cut(raw[own], label[own]), int((label[own] == 0).sum()), int(label[own].sum()))
+
+
+def test_labels_meet_their_texts_by_either_join(spark, odd, monkeypatch):
+    docs = spark.createDataFrame([(i % 900, f"text {i}") for i in range(1000)] + [(None, "none")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i * 2, 1, i % 2) for i in range(500)] + [(4, 1, 0), (4, 1, 1), (None, 1, 1), (3, 1, None), (5, 1, 2)], "doc_id long, quality int, toxic int")
+    some = quality.usable_labels(labels, "toxic", F.lit(True))
+    assert 450 <= quality.passing(docs, some, 500).count() < 700
+    one = Counter(map(tuple, quality.labelled_rows(docs, labels, "toxic", F.lit(True)).collect()))
+    monkeypatch.setattr(quality, "SENT_ROWS", 10)
+    two = Counter(map(tuple, quality.labelled_rows(docs, labels, "toxic", F.lit(True)).collect()))
+    assert one == two and sum(one.values()) == 502
+    assert quality.labelled_rows(odd, labels, "toxic", F.lit(True)).count() == 3
