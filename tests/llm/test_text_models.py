@@ -295,4 +295,4 @@ def test_labels_meet_their_texts_by_either_join(spark, odd, monkeypatch):
     monkeypatch.setattr(quality, "SENT_ROWS", 10)
     two = Counter(map(tuple, quality.labelled_rows(docs, labels, "toxic", F.lit(True)).collect()))
     assert one == two and sum(one.values()) == 502
-    assert quality.labelled_rows(odd, labels, "toxic", F.lit(True)).count() == 3
+    assert quality.labelled_rows(odd, labels, "toxic", F.lit(True)).count() == 5
